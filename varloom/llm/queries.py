@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality, sharding, token_files, url_filter
+from . import chat, langid, quality, sentencepiece_viterbi, sharding, token_files, url_filter
 from .common import new_path, read_table
 
 URL_RULES = [
@@ -40,6 +40,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select("doc_id", *[F.col("quality")[n].alias(n) for n in names])
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.train(read_table(spark, sf_dir, "documents"))
+    return langid.identify(read_table(spark, sf_dir, "pages"), model)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = sharding.assign_shards(docs, limit=SHARD_BYTES)
@@ -53,5 +58,20 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path, manifest)
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_viterbi.digest(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+ALL = (
+    op1_url_filters,
+    op2_chat_formatting,
+    op3_quality_rules,
+    op4_language_id,
+    op5_sharding,
+    op9_token_files,
+    op10_sentencepiece,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op3_quality_rules, op5_sharding, op9_token_files)}
+    return {f.__name__: f for f in ALL}
