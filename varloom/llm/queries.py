@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, minhash, quality, sentencepiece_viterbi, sharding, token_files, url_filter
+from . import chat, langid, minhash, quality, sentencepiece_viterbi, sharding, suffix_dedup, token_files, url_filter
 from .common import new_path, read_table
 
 URL_RULES = [
@@ -51,6 +51,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "shard.*")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs, keep_text=False)
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ ALL = (
     op3_quality_rules,
     op4_language_id,
     op5_sharding,
+    op7_suffix_dedup,
     op8_minhash,
     op9_token_files,
     op10_sentencepiece,
