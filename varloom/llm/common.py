@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -65,6 +66,18 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, n: int):
+    """Actions inside send at most n rows at once to Python, so that long texts make no huge batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row, however often (and in whatever lambda) it is used."""
     return F.transform(F.array(value), body)[0]
@@ -130,6 +143,13 @@ def blocks(offsets: np.ndarray, limit: int):
         i = j
 
 
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The little-endian number of the eight bytes from each position, zeros after the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data),), "<u8", padded.data, 0, (1,)).copy()
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the white-space separated words of the texts, and per text the number of words."""
     n_docs, size = len(offsets) - 1, len(data)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, minhash, quality, sentencepiece_viterbi, sharding, suffix_dedup, token_files, url_filter
+from . import chat, decontaminate, langid, minhash, quality, sentencepiece_viterbi, sharding, suffix_dedup, token_files, url_filter
 from .common import new_path, read_table
 
 URL_RULES = [
@@ -51,6 +51,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "shard.*")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    ids = F.array_sort(F.array_distinct(F.col("leaks.item_id")))
+    return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), F.array_min(F.col("leaks.edits")).alias("least_edits"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.remove_repeats(docs, keep_text=False)
@@ -77,6 +83,7 @@ ALL = (
     op3_quality_rules,
     op4_language_id,
     op5_sharding,
+    op6_decontamination,
     op7_suffix_dedup,
     op8_minhash,
     op9_token_files,

@@ -298,6 +298,15 @@ class Codec:
         return data[keep], np.concatenate([[0], np.cumsum(size)])
 
 
+    def round_trip(self, ids: np.ndarray, lens: np.ndarray, data: np.ndarray, off: np.ndarray) -> tuple[list[bool], np.ndarray]:
+        """Whether each text decodes to itself, and the offsets of the decoded texts."""
+        back, back_off = self.decode(ids, lens)
+        if np.array_equal(back_off, off) and np.array_equal(back, data):
+            return [True] * len(lens), back_off
+        pairs = zip(back_off[:-1].tolist(), back_off[1:].tolist(), off[:-1].tolist(), off[1:].tolist(), strict=True)
+        return [np.array_equal(_plain(back[a:b]), _plain(data[c:d])) for a, b, c, d in pairs], back_off
+
+
 _codecs: dict[str, Codec] = {}
 
 
@@ -307,9 +316,31 @@ def codec(file: str, model: Model | None = None) -> Codec:
     return _codecs[file]
 
 
-def encode(docs: DataFrame, model_file: str, text: str = "text", out: str = "ids", block_bytes: int = 4 << 20) -> DataFrame:
-    """docs with array<int> column `out`: the ids of the whole text."""
-    return _mapped(docs, model_file, text, block_bytes, f"{out} array<int>")
+def encode(docs: DataFrame, model_file: str, text: str = "text", out: str = "ids", check: str | None = None, block_bytes: int = 4 << 20) -> DataFrame:
+    """docs with array<int> column `out`: the ids of the whole text; and, if named, the boolean column
+    `check`: whether decoding them gives the text back."""
+    import pyarrow as pa
+
+    place = docs.columns.index(text)
+    keep = [c for c in docs.columns if c not in (out, check)]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", `{out}` array<int>" + (f", `{check}` boolean" if check else "")
+
+    def work(batches):
+        tool = codec(model_file)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data, off = text_buffers(batch.column(place))
+            for i, j in blocks(off, block_bytes):
+                part = batch.slice(i, j - i)
+                ids, lens = tool.encode(part.column(place).to_pylist())
+                cut = pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32))
+                columns = [*(part.column(part.schema.names.index(c)) for c in keep), pa.ListArray.from_arrays(cut, pa.array(ids, pa.int32()))]
+                if check:
+                    columns.append(pa.array(tool.round_trip(ids, lens, data[off[i] : off[j]], off[i : j + 1] - off[i])[0], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, out, *[check] * bool(check)])
+
+    return docs.mapInArrow(work, schema)
 
 
 def digest(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
@@ -328,15 +359,10 @@ def _run(rows: DataFrame, model_file: str, block_bytes: int) -> DataFrame:
             tool = codec(model_file)
             for i, j in blocks(off, block_bytes):
                 ids, lens = tool.encode(batch.column(1).slice(i, j - i).to_pylist())
-                back, back_off = tool.decode(ids, lens)
+                same, back_off = tool.round_trip(ids, lens, data[off[i] : off[j]], off[i : j + 1] - off[i])
                 cut = np.concatenate([[0], np.cumsum(lens)]).tolist()
                 whole = ids.astype("<u4")
                 crc = [zlib.crc32(whole[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                src = data[off[i] : off[j]]
-                if np.array_equal(back_off, off[i : j + 1] - off[i]) and np.array_equal(_plain(back), _plain(src)):
-                    same = [True] * (j - i)
-                else:
-                    same = [np.array_equal(_plain(back[a:b]), _plain(src[c:d])) for a, b, c, d in zip(back_off[:-1], back_off[1:], off[i:j] - off[i], off[i + 1 : j + 1] - off[i], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array(lens), pa.array(crc, pa.int64()), pa.array(np.diff(back_off)), pa.array(same, pa.bool_())],
                     names=["doc_id", "n_tokens", "ids_crc32", "n_bytes", "round_trip"],
@@ -353,29 +379,6 @@ def _plain(data: np.ndarray) -> np.ndarray:
     return np.frombuffer(data.tobytes().replace(SPACE.encode(), b" "), np.uint8)
 
 
-def _mapped(docs: DataFrame, model_file: str, text: str, block_bytes: int, field: str) -> DataFrame:
-    import pyarrow as pa
-
-    place = docs.columns.index(text)
-    name = field.split(" ")[0]
-    keep = [c for c in docs.columns if c != name]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", {field}"
-
-    def work(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            _, off = text_buffers(batch.column(place))
-            for i, j in blocks(off, block_bytes):
-                part = batch.slice(i, j - i)
-                ids, lens = codec(model_file).encode(part.column(place).to_pylist())
-                cut = pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(cut, pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.names.index(c)) for c in keep), lists], names=[*keep, name])
-
-    return docs.mapInArrow(work, schema)
-
-
 def decode(encoded: DataFrame, model_file: str, ids: str = "ids", out: str = "text") -> DataFrame:
     """encoded with a text column `out` decoded from the id lists; a null list decodes to ''."""
     import pyarrow as pa

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _powers, blocks, mix64, text_buffers, written
+from .common import _powers, blocks, eight_bytes, mix64, text_buffers, written
 from .sais import common_prefix, suffix_array
 
 SPAN = 50
@@ -42,16 +42,6 @@ _PLACE = np.dtype([("key", "<u8"), ("offset", "<i8"), ("bucket", "<i4")])
 _RUN = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("count", "<i4")])
 
 
-def _words(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position (zeros after the end), as little-endian numbers."""
-    padded = np.zeros(len(data) + 8, np.uint8)
-    padded[: len(data)] = data
-    out = padded[: len(data)].astype(np.uint64)
-    for k in range(1, 8):
-        out |= padded[k : k + len(data)].astype(np.uint64) << np.uint64(8 * k)
-    return out
-
-
 def _gram_hash(word: np.ndarray, at: np.ndarray | slice, later: np.ndarray | slice) -> np.ndarray:
     return mix64(word[at] * np.uint64(0x9E3779B97F4A7C15) + word[later] * np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -81,7 +71,7 @@ class Segments:
         width = span - GRAM + 1
         if n < span:
             return
-        word = _words(data)
+        word = eight_bytes(data)
         grams = n - GRAM + 1
         self.gram = _gram_hash(word, slice(0, grams), slice(8, grams + 8))
         low = self.gram & np.uint64(0xFFFFFFFF00000000) | np.arange(grams, dtype=np.uint64)
@@ -233,7 +223,7 @@ def _shard_runs(blobs: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray]:
 def _may_repeat(text: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.ndarray, doc: np.ndarray, span: int) -> np.ndarray:
     """Whether a segment shares with another document what any shared window would hold: the anchor with
     the `side` bytes before it, or with those after it, where half of a window's other bytes must lie."""
-    word = np.append(_words(text), np.zeros(40, np.uint64))
+    word = np.append(eight_bytes(text), np.zeros(40, np.uint64))
     side = (span - GRAM + 1) // 2
     live = np.zeros(len(start), bool)
     at = start + anchor
