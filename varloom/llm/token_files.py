@@ -30,7 +30,7 @@ MAGIC = 0x5641524C
 #: A space beside white space or at an end of the text: there a split at the space could change the pre-tokens.
 _ODD = re.compile(r"\s |[ ]\s|^ | $")
 _SAFE_SPLIT = re.compile(r"(?<=\S) (?=\S)")
-_CACHE_WORDS, _CACHE_CHARS = 400_000, 8_000_000
+_CACHE_WORDS, _CACHE_CHARS, _AT_ONCE = 600_000, 8_000_000, 1 << 16
 
 
 class _Codes(dict):
@@ -58,6 +58,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok, self.end_id = Tokenizer.from_file(file), end_id
+        vocab = self.tok.get_vocab()
+        self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each id: byte-level pieces have a character a byte
+        for piece, i in vocab.items():
+            self.width[i] = len(piece)
         self._reset()
 
     def _reset(self) -> None:
@@ -65,16 +69,40 @@ class WordEncoder:
         self.flat, self.at = np.array([self.end_id], np.uint32), np.array([0, 1], np.int64)  # code 0: the end
 
     def _learn(self) -> None:
+        """Ids of the fresh words. Words without white space at an end are encoded many in one string, since
+        the space before each opens a pre-token, and cut apart by the byte lengths of their ids."""
         fresh, self.codes.fresh = self.codes.fresh, []
         if not fresh:
             return
         self.chars += sum(map(len, fresh))
-        texts = [k[0] if isinstance(k, tuple) else " " + k for k in fresh]
-        got = [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-        lens = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(lens.sum()))
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lens)])
-        self.flat = np.concatenate([self.flat, flat])
+        alone = [n for n, k in enumerate(fresh) if isinstance(k, tuple) or not k or k[0].isspace() or k[-1].isspace()]
+        single = set(alone)
+        joint = [n for n in range(len(fresh)) if n not in single] if alone else range(len(fresh))
+        words = [" " + fresh[n] for n in joint]
+        lens = np.zeros(len(fresh), np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for i in range(0, len(words), _AT_ONCE):
+            some = words[i : i + _AT_ONCE]
+            strings = ["".join(some[k : k + 256]) for k in range(0, len(some), 256)]
+            ids = self._ids(strings)
+            done = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(w.encode()) for w in some])) + 1
+            parts.append((ids, np.diff(done, prepend=0)))
+        if alone:
+            got = [e.ids for e in self.tok.encode_batch_fast([k[0] if isinstance(k, tuple) else " " + k for k in (fresh[n] for n in alone)], add_special_tokens=False)]
+            parts.append((np.array([i for ids in got for i in ids], np.uint32), np.array([len(ids) for ids in got], np.int64)))
+        order = np.array([*joint, *alone], np.int64)
+        flat, size = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        lens[order] = size
+        start = np.zeros(len(fresh), np.int64)
+        start[order] = np.cumsum(size) - size
+        ends = np.cumsum(lens)
+        place = np.arange(int(ends[-1])) + np.repeat(start - (ends - lens), lens)
+        self.at = np.concatenate([self.at, self.at[-1] + ends])
+        self.flat = np.concatenate([self.flat, flat[place].astype(np.uint32)])
+
+    def _ids(self, strings: list[str]) -> np.ndarray:
+        got = self.tok.encode_batch_fast(strings, add_special_tokens=False)
+        return np.concatenate([np.array(e.ids, np.uint32) for e in got])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end id after each text, and the number of ids of each text."""
@@ -106,13 +134,23 @@ def gather(flat: np.ndarray, at: np.ndarray, codes: np.ndarray) -> tuple[np.ndar
     return flat[index], lens
 
 
+_encoders: dict[tuple[str, int], WordEncoder] = {}
+
+
+def encoder_of(file: str, end_id: int) -> WordEncoder:
+    """One encoder a Python worker, so that later tasks find words known."""
+    if (file, end_id) not in _encoders:
+        _encoders[file, end_id] = WordEncoder(file, end_id)
+    return _encoders[file, end_id]
+
+
 def _open_fs(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, key: str = "doc_id", text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, key: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """Writes the files and manifest.json under path (a URI all executors share); returns the manifest rows."""
     from tokenizers import Tokenizer
 
@@ -127,11 +165,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
         ctx = TaskContext.get()
         name = f"shard-{ctx.partitionId():06d}.{ctx.taskAttemptId()}"
         store, root = _open_fs(path)
-        encoder, counts, keys, nulls, data = None, [], [], [], None
+        counts, keys, nulls, data = [], [], [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            encoder = encoder or WordEncoder(tokenizer_file, end_id)
+            encoder = encoder_of(tokenizer_file, end_id)
             data = data or store.open_output_stream(f"{root}/{name}.bin")
             texts = batch.column(1)
             step = max(1, int(batch.num_rows * block_bytes / max(1, texts.nbytes)))
