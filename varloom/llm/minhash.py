@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix64, shingle_hashes, text_buffers, word_hashes, written
+from .common import arrow_rows, blocks, mix64, shingle_hashes, text_buffers, word_hashes, written
 from .components import connected_components
 
 BUCKETS = 1 << 18
@@ -45,7 +45,7 @@ class MinHashParams:
     bands: int = 12
     rows: int = 4
     block: int = 64  # texts a side of a block comparison
-    block_bytes: int = 2 << 20  # text bytes worked on at once
+    block_bytes: int = 1 << 19  # text bytes worked on at once
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,7 +82,9 @@ def document_frequency(docs: DataFrame, text: str, p: MinHashParams) -> tuple[np
         at = np.flatnonzero(tally)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(tally[at], n))], names=["bucket", "n"])
 
-    rows = docs.select(text).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = docs.select(text).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    with arrow_rows(docs.sparkSession, 2000):
+        rows = counts.toArrow()
     at, n = rows["bucket"].to_numpy(), rows["n"].to_numpy()
     df = np.zeros(BUCKETS, np.int64)
     df[at[at >= 0]] = n[at >= 0]
@@ -288,7 +290,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", p:
     spark = docs.sparkSession
     df, n_docs = document_frequency(docs, text, p)
     idf = spark.sparkContext.broadcast(idf_table(df, n_docs))  # 1 MB whatever the input
-    signed = written(sign_documents(docs, key, text, idf, p), "signed")
+    with arrow_rows(spark, 2000):
+        signed = written(sign_documents(docs, key, text, idf, p), "signed")
     nodes = written(signed.where("bands is not null").groupBy("node").agg(F.min("typical").alias("typical"), F.first("bands").alias("bands")), "nodes")
     entry = nodes.select("node", "typical", F.posexplode("bands").alias("band", "value"))
     heads = entry.groupBy("band", "value").agg(F.min(F.struct("typical", "node")).alias("m"), F.count("*").alias("n")).where("n > 1")
@@ -300,7 +303,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", p:
     ids = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = written(wanted.join(ids, "node"), "wanted")
     raw = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    texts = raw.join(wanted, raw.doc_id.eqNullSafe(wanted.doc_id)).where(F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("node")).select("node", "text")
+    # always by shuffle: whether the candidates fit a broadcast must not decide the plan
+    texts = raw.join(wanted.hint("merge"), raw.doc_id.eqNullSafe(wanted.doc_id)).where(F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("node")).select("node", "text")
     texts = written(texts.withColumn("n", F.lit(1)).groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     def verify(batches):
@@ -321,7 +325,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", p:
 
     head_texts = texts.select(F.col("node").alias("head"), F.col("text").alias("head_text"))
     pairs = tested.join(texts, "node").join(head_texts, "head").select("node", "head", "text", "head_text")
-    stars = written(pairs.mapInArrow(verify, "node binary, head binary, sim double"), "stars")
+    with arrow_rows(spark, 256):
+        stars = written(pairs.mapInArrow(verify, "node binary, head binary, sim double"), "stars")
     links = stars.where(F.col("sim") >= p.threshold).select(F.col("node").alias("src"), F.col("head").alias("dst"))
     links = links.union(_left_over(stars, texts, idf, p))
     links = written(links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct(), "links")
