@@ -3,28 +3,33 @@
 Every byte covered by a string of `span` bytes that also starts in a document with a smaller id goes;
 overlaps count, and all strings are judged on the input.
 
-1. Sharding. A window (any span bytes of a document) belongs to its anchor: the 16 bytes in it with the
-   smallest hash, leftmost first. Equal windows have equal anchors at equal places, so windows are sent to
-   shards by anchor, as segments: maximal runs of windows with one anchor. Shards have a byte size that does
-   not depend on the input. A chunk of a task sends the bytes of equal segments once, with the smallest
-   document; in all later documents of the chunk they are repeats already (a combine before the shuffle).
-2. In a shard, segments that share neither the 33 bytes before and with their anchor nor the 33 with and
-   after it with another document hold no repeated window (one of the two lies inside any window). Of the
-   others, the distinct ones form the shard's text. Its suffix array is made by induced sorting (see sais), the
-   permuted common prefixes tell which neighbours agree in span bytes, and a window is a repeat if a
-   neighbour in its run of agreeing suffixes comes from a smaller document.
+1. Sharding. A window (any span bytes of a document) belongs to its anchor: the 24 bytes in it with the
+   smallest hash, leftmost first. Equal windows have equal anchors at equal places, so a segment (a maximal
+   run of windows with one anchor) can only repeat where its anchor does. A first pass sends the
+   fingerprints of anchors alone, five bytes each, and keeps those of two documents or more; the segments
+   at such anchors are then sent, with their bytes, to shards by anchor. Equal segments of a bucket of
+   documents are sent once, with the smallest document: in the bucket's later documents they are repeats
+   already (a combine before the shuffle).
+2. In a shard, segments that share neither the bytes before and with their anchor nor those with and after
+   it with another document (half of a window's other bytes lie on one side) are left out. The distinct
+   others form the shard's text. Its suffix array is made by induced sorting (see sais), the permuted common
+   prefixes tell which neighbours agree in span bytes, and a window is a repeat if a neighbour in its run
+   of agreeing suffixes comes from a smaller document.
 3. The repeats go back to their documents, which are cut.
 
+Documents are dealt to buckets of bounded bytes once; all three steps read that one exchange.
+
 Defined cases: null and empty texts, and texts shorter than span, lose nothing; rows with a null id count
-as later than all others, and not as repeats of each other; rows that share an id are one document (no repeats of each
-other), and identical rows are worked on once and returned each; an empty table gives an empty result;
-other columns pass through `remove_repeats`.
+as later than all others, and not as repeats of each other; rows that share an id are one document (no
+repeats of each other), and identical rows are worked on once and returned each; an empty table gives an
+empty result; other columns pass through `remove_repeats`.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -35,15 +40,21 @@ from .common import _powers, blocks, eight_bytes, mix64, text_buffers, written
 from .sais import common_prefix, suffix_array
 
 SPAN = 50
-GRAM = 16
+GRAM = 24
+_PRINT_BITS = 40
 NO_ID = np.iinfo(np.int64).max
 _META = np.dtype([("anchor", "u1"), ("size", "u1"), ("n_places", "<u4"), ("doc", "<i8")])
 _PLACE = np.dtype([("key", "<u8"), ("offset", "<i8"), ("bucket", "<i4")])
 _RUN = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("count", "<i4")])
 
 
-def _gram_hash(word: np.ndarray, at: np.ndarray | slice, later: np.ndarray | slice) -> np.ndarray:
-    return mix64(word[at] * np.uint64(0x9E3779B97F4A7C15) + word[later] * np.uint64(0xC2B2AE3D27D4EB4F))
+def _gram_hash(word: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the GRAM bytes from each of the first n positions, from the eight bytes at each position."""
+    h = word[:n] * np.uint64(0x9E3779B97F4A7C15)
+    for later in range(8, GRAM, 8):
+        h ^= h >> np.uint64(29)
+        h = (h + word[later : later + n]) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return mix64(h)
 
 
 def text_keys(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -73,7 +84,7 @@ class Segments:
             return
         word = eight_bytes(data)
         grams = n - GRAM + 1
-        self.gram = _gram_hash(word, slice(0, grams), slice(8, grams + 8))
+        self.gram = _gram_hash(word, grams)
         low = self.gram & np.uint64(0xFFFFFFFF00000000) | np.arange(grams, dtype=np.uint64)
         reach = 1
         while reach * 2 <= width:
@@ -94,130 +105,175 @@ class Segments:
         self.anchor = place[self.first]
 
 
-def _chunk(data: np.ndarray, off: np.ndarray, doc: np.ndarray, bucket: np.ndarray, span: int, shards: int):
-    """Blobs by shard of a chunk's segments, and the runs that are repeats within the chunk."""
-    seg = Segments(data, off, span)
-    if not len(seg.first):
-        return [], np.zeros(0, _RUN), np.zeros(0, np.int32)
-    keys = text_keys(data, off)
-    size = seg.last - seg.first + span
-    owner = np.searchsorted(off, seg.first, side="right") - 1
-    power, inverse = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-    content = mix64((total[seg.first + size] - total[seg.first]) * inverse[seg.first] ^ size.astype(np.uint64) << np.uint64(50))
-    shard = (seg.gram[seg.anchor] % np.uint64(shards)).astype(np.int64)
-    order = np.lexsort((doc[owner], content, shard))
-    c, s, d = content[order], shard[order], doc[owner][order]
-    head = np.append(True, (c[1:] != c[:-1]) | (s[1:] != s[:-1]))
-    group = np.cumsum(head) - 1
-    least = d[head][group]
-    later = d > least
-    later &= d != NO_ID  # never reached: an id above the least is a real repeat even without an id
-    later |= (d == NO_ID) & (least != NO_ID)
-    old = order[later]
-    runs = np.zeros(len(old), _RUN)
-    runs["key"], runs["doc"] = keys[owner[old]], doc[owner[old]]
-    runs["start"], runs["count"] = seg.first[old] - off[owner[old]], seg.last[old] - seg.first[old] + 1
-    keep = order[~later]
-    heads = order[head]
-    places = np.zeros(len(keep), _PLACE)
-    places["key"], places["offset"], places["bucket"] = keys[owner[keep]], seg.first[keep] - off[owner[keep]], bucket[owner[keep]]
-    meta = np.zeros(len(heads), _META)
-    meta["anchor"], meta["size"], meta["doc"] = seg.anchor[heads] - seg.first[heads], size[heads], doc[owner[heads]]
-    meta["n_places"] = np.bincount(group[~later], minlength=len(heads))
-    by_shard = shard[heads]
-    cut = np.flatnonzero(np.append(True, by_shard[1:] != by_shard[:-1]))
-    place_at = np.concatenate([[0], np.cumsum(meta["n_places"].astype(np.int64))])
-    blobs = []
-    for a, b in zip(cut, np.append(cut[1:], len(heads)), strict=True):
-        text = data[_spans(seg.first[heads[a:b]], size[heads[a:b]])]
-        raw = np.array([b - a, place_at[b] - place_at[a]], "<i8").tobytes() + meta[a:b].tobytes() + places[place_at[a] : place_at[b]].tobytes() + text.tobytes()
-        blobs.append((int(by_shard[a]), raw))
-    return blobs, runs, bucket[owner[old]]
-
-
-def _shard_runs(blobs: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Repeated runs of a shard, and the bucket of each."""
-    metas, places, texts = [], [], []
-    for raw in blobs:
+@dataclass
+class Batch:
+    """Segments with their places in documents: meta in order of text, places in order of meta."""
+
+    meta: np.ndarray
+    place: np.ndarray
+    text: np.ndarray
+
+    def pack(self) -> bytes:
+        return np.array([len(self.meta), len(self.place)], "<i8").tobytes() + self.meta.tobytes() + self.place.tobytes() + self.text.tobytes()
+
+    @staticmethod
+    def unpack(raw: bytes) -> Batch:
         n, m = np.frombuffer(raw[:16], "<i8").tolist()
         a = 16 + n * _META.itemsize
         b = a + m * _PLACE.itemsize
-        metas.append(np.frombuffer(raw[16:a], _META))
-        places.append(np.frombuffer(raw[a:b], _PLACE))
-        texts.append(np.frombuffer(raw[b:], np.uint8))
-    meta, place, text = np.concatenate(metas), np.concatenate(places), np.concatenate(texts)
-    size, doc = meta["size"].astype(np.int64), meta["doc"]
-    start = np.cumsum(size) - size
-    place_at = np.cumsum(meta["n_places"].astype(np.int64)) - meta["n_places"]
-
-    live = _may_repeat(text, start, size, meta["anchor"].astype(np.int64), doc, span)
-    keep = np.flatnonzero(live)
-    if not len(keep):
+        return Batch(np.frombuffer(raw[16:a], _META), np.frombuffer(raw[a:b], _PLACE), np.frombuffer(raw[b:], np.uint8))
+
+    @staticmethod
+    def join(parts: list[Batch]) -> Batch:
+        return Batch(*(np.concatenate([getattr(x, n) for x in parts]) for n in ("meta", "place", "text")))
+
+    def starts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start and size of each segment's text, first and number of its places."""
+        size, n = self.meta["size"].astype(np.int64), self.meta["n_places"].astype(np.int64)
+        return np.cumsum(size) - size, size, np.cumsum(n) - n, n
+
+    def take(self, rows: np.ndarray) -> Batch:
+        start, size, first, n = self.starts()
+        return Batch(self.meta[rows], self.place[_spans(first[rows], n[rows])], self.text[_spans(start[rows], size[rows])])
+
+    def combine(self, span: int) -> tuple[Batch, np.ndarray, np.ndarray]:
+        """Equal segments as one, with the places of the smallest document; and the runs, with their buckets, of
+        all later documents, in which such a segment is a repeat whole."""
+        start, size, first, n = self.starts()
+        doc = self.meta["doc"]
+        content = _content(self.text, start, size)
+        order = np.lexsort((doc, content, size))
+        same = np.append(False, (content[order][1:] == content[order][:-1]) & (size[order][1:] == size[order][:-1]))
+        same[same] = _equal(self.text, start, size, order[np.flatnonzero(same) - 1], order[same])
+        group = np.cumsum(~same) - 1
+        heads = order[~same]
+        later = doc[order] != doc[heads][group]
+        old, kept = order[later], order[~later]
+        where = _spans(first[old], n[old])
+        runs = np.zeros(len(where), _RUN)
+        runs["key"], runs["doc"], runs["start"] = self.place["key"][where], np.repeat(doc[old], n[old]), self.place["offset"][where]
+        runs["count"] = np.repeat(size[old] - span + 1, n[old])
+        meta = self.meta[heads].copy()
+        meta["n_places"] = np.bincount(group[~later], weights=n[kept], minlength=len(heads)).astype(np.uint32)
+        out = Batch(meta, self.place[_spans(first[kept], n[kept])], self.text[_spans(start[heads], size[heads])])
+        return out, runs, self.place["bucket"][where]
+
+
+def anchor_prints(data: np.ndarray, off: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor hashes, documents) of some texts, each pair once."""
+    seg = Segments(data, off, span)
+    h, owner = seg.gram[seg.anchor] if len(seg.first) else np.zeros(0, np.uint64), np.searchsorted(off, seg.first, side="right") - 1
+    order = np.lexsort((owner, h))
+    h, owner = h[order], owner[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))[: len(h)]
+    return h[new], owner[new]
+
+
+def name_prints(h: np.ndarray, groups: int) -> np.ndarray:
+    """Group number and fingerprint of anchors, as one number: the group deals them out."""
+    low = np.uint64((1 << _PRINT_BITS) - 1)
+    return (h >> np.uint64(_PRINT_BITS)) % np.uint64(groups) << np.uint64(_PRINT_BITS) | h & low
+
+
+def pack_prints(once: np.ndarray, twice: np.ndarray) -> bytes:
+    """Two ascending lists of fingerprints, as five-byte steps."""
+    parts = [np.array([len(once)], "<i8").tobytes()]
+    for p in (once, twice):
+        step = np.diff(p, prepend=np.uint64(0)).astype("<u8")
+        parts.append(step.view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes())
+    return b"".join(parts)
+
+
+def unpack_prints(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(raw[:8], "<i8")[0])
+    out = []
+    for part in (raw[8 : 8 + 5 * n], raw[8 + 5 * n :]):
+        step = np.zeros((len(part) // 5, 8), np.uint8)
+        step[:, :5] = np.frombuffer(part, np.uint8).reshape(5, -1).T
+        out.append(np.cumsum(step.view("<u8").ravel(), dtype=np.uint64))
+    return out[0], out[1]
+
+
+def live_prints(blobs: list[bytes]) -> list[np.ndarray]:
+    """Of each bucket's fingerprints, those of two documents or more, in the bucket or in another one."""
+    lists = [unpack_prints(x) for x in blobs]
+    every = np.concatenate([np.concatenate(x) for x in lists])
+    many = np.concatenate([np.concatenate([np.zeros(len(x[0]), bool), np.ones(len(x[1]), bool)]) for x in lists])
+    order = np.argsort(every, kind="stable")
+    got = every[order]
+    twice = np.zeros(len(got), bool)
+    equal = got[1:] == got[:-1]
+    twice[1:] |= equal
+    twice[:-1] |= equal
+    alive = many.copy()
+    alive[order] |= twice
+    cut = np.cumsum([len(x[0]) + len(x[1]) for x in lists])[:-1]
+    return [np.sort(p[a]) for p, a in zip(np.split(every, cut), np.split(alive, cut), strict=True)]
+
+
+def cut_segments(data: np.ndarray, off: np.ndarray, doc: np.ndarray, bucket: int, span: int, shards: int, live: np.ndarray, groups: int) -> list[tuple[int, Batch]]:
+    """(shard, its segments) of the live anchors of some texts; live is ascending."""
+    seg = Segments(data, off, span)
+    if not len(seg.first) or not len(live):
+        return []
+    h = seg.gram[seg.anchor]
+    name = name_prints(h, groups)
+    keep = np.flatnonzero(live[np.minimum(np.searchsorted(live, name), len(live) - 1)] == name)
+    keys = text_keys(data, off)
+    shard = (h[keep] >> np.uint64(8)) % np.uint64(shards)
+    order = keep[np.argsort(shard, kind="stable")]
+    shard = np.sort(shard)
+    first, size = seg.first[order], (seg.last - seg.first + span)[order]
+    owner = np.searchsorted(off, first, side="right") - 1
+    place, meta = np.zeros(len(first), _PLACE), np.zeros(len(first), _META)
+    place["key"], place["offset"], place["bucket"] = keys[owner], first - off[owner], bucket
+    meta["anchor"], meta["size"], meta["doc"], meta["n_places"] = seg.anchor[order] - first, size, doc[owner], 1
+    cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])[: len(shard)])
+    return [(int(shard[a]), Batch(meta[a:b], place[a:b], data[_spans(first[a:b], size[a:b])])) for a, b in zip(cut, np.append(cut[1:], len(first)), strict=False)]
+
+
+def shard_runs(batch: Batch, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Repeated runs of a shard's documents, and their buckets."""
+    start, size, _, _ = batch.starts()
+    live = np.flatnonzero(_may_repeat(batch.text, start, size, batch.meta["anchor"].astype(np.int64), batch.meta["doc"], span))
+    if not len(live):
         return np.zeros(0, _RUN), np.zeros(0, np.int32)
-    # equal segments of several chunks: one text, the smallest document; later documents repeat it whole
-    size, doc, at = size[keep], doc[keep], start[keep]
-    content = _content(text, at, size)
-    order = np.lexsort((doc, content, size))
-    same = np.append(False, (content[order][1:] == content[order][:-1]) & (size[order][1:] == size[order][:-1]))
-    same[same] = _equal(text, at, size, order[np.flatnonzero(same) - 1], order[same])
-    group = np.cumsum(~same) - 1
-    heads = order[~same]
-    least = doc[heads][group]
-    whole = np.zeros(len(keep), bool)
-    whole[order] = doc[order] != least
-    rank = np.zeros(len(keep), np.int64)
-    rank[order] = group
-
-    # the suffix array over the distinct segments, parted by a symbol below all bytes
-    h_size, h_doc = size[heads], doc[heads]
-    h_start = np.cumsum(h_size + 1) - (h_size + 1)
-    t = np.ones(int((h_size + 1).sum()) + 1, np.int32)
+    batch, whole, whole_bucket = batch.take(live).combine(span)
+    start, size, first, n = batch.starts()
+    doc = batch.meta["doc"]
+
+    # the text: the distinct segments, parted by a symbol below all bytes, and the end below all
+    at = start + np.arange(len(size))
+    t = np.ones(len(batch.text) + len(size) + 1, np.int32)
     t[-1] = 0
-    inside = _spans(h_start, h_size)
-    t[inside] = text[_spans(at[heads], h_size)].astype(np.int32) + 2
+    inside = _spans(at, size)
+    t[inside] = batch.text.astype(np.int32) + 2
     sa = suffix_array(t)
     raw = np.zeros(len(t), np.uint8)
-    raw[inside] = t[inside] - 2
+    raw[inside] = batch.text
     windows = np.zeros(len(t), bool)
-    windows[_spans(h_start, h_size - span + 1)] = True
-    agree = common_prefix(raw, sa, span)
-    own = np.zeros(len(t), np.int64)
-    own[inside] = np.repeat(h_doc, h_size)
+    windows[_spans(at, size - span + 1)] = True
+    own = np.full(len(t), NO_ID)
+    own[inside] = np.repeat(doc, size)
     # runs of neighbours that agree in span bytes, both of them whole windows
     real = windows[sa]
-    linked = agree[sa] & real
+    linked = common_prefix(raw, sa, span)[sa] & real
     linked[1:] &= real[:-1]
     linked[0] = False
     head = np.flatnonzero(~linked)
-    smallest = np.minimum.reduceat(np.where(real, own[sa], NO_ID), head)
+    smallest = np.minimum.reduceat(own[sa], head)
     repeat = np.zeros(len(t), bool)
     repeat[sa] = real & (own[sa] > np.repeat(smallest, np.diff(np.append(head, len(sa)))))
 
-    # runs of repeated windows, by segment
+    # each run of repeated windows of a segment, for each of the segment's places
     begin = np.flatnonzero(repeat & ~np.append(False, repeat[:-1]))
     end = np.flatnonzero(repeat & ~np.append(repeat[1:], False)) + 1
-    seg_of = np.searchsorted(h_start, begin, side="right") - 1
-    n_runs = np.bincount(seg_of, minlength=len(heads))
-    run_at = np.cumsum(n_runs) - n_runs
-    # every place of a segment gets the segment's runs; a whole repeat is one run
-    counts = np.where(whole, 1, n_runs[rank])
-    n_places = meta["n_places"][keep].astype(np.int64)
-    seg_place = np.repeat(np.arange(len(keep)), n_places)
-    place_no = _spans(place_at[keep], n_places)
-    times = counts[seg_place]
-    out = np.zeros(int(times.sum()), _RUN)
-    which = np.repeat(np.arange(len(seg_place)), times)
-    seg = seg_place[which]
-    nth = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-    p = place[place_no[which]]
-    is_whole = whole[seg]
-    run = np.where(is_whole, 0, run_at[rank[seg]] + nth)
-    lead = np.where(is_whole, 0, begin[run] - h_start[rank[seg]]) if len(begin) else np.zeros(len(which), np.int64)
-    length = np.where(is_whole, size[seg] - span + 1, end[run] - begin[run]) if len(begin) else size[seg] - span + 1
-    out["key"], out["doc"], out["start"], out["count"] = p["key"], doc[seg], p["offset"] + lead, length
-    return out, p["bucket"].copy()
+    seg = np.searchsorted(at, begin, side="right") - 1
+    where = _spans(first[seg], n[seg])
+    runs = np.zeros(len(where), _RUN)
+    runs["key"], runs["doc"] = batch.place["key"][where], np.repeat(doc[seg], n[seg])
+    runs["start"], runs["count"] = batch.place["offset"][where] + np.repeat(begin - at[seg], n[seg]), np.repeat(end - begin, n[seg])
+    return np.concatenate([whole, runs]), np.concatenate([whole_bucket, batch.place["bucket"][where]])
 
 
 def _may_repeat(text: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.ndarray, doc: np.ndarray, span: int) -> np.ndarray:
@@ -271,66 +327,94 @@ def _bucket_column(doc: Column, text: Column, n: int) -> Column:
     return F.pmod(F.pmod(F.coalesce(doc, F.lit(0)), F.lit(n)) + F.pmod(F.crc32(F.coalesce(text, F.lit("")).cast("binary")), F.lit(n)), F.lit(n)).cast("int")
 
 
-def find_repeats(docs: DataFrame, key: str, text: str, span: int, shards: int, buckets: int, chunk_bytes: int = 24 << 20) -> DataFrame:
+def _packed(pairs: list[tuple], names: list[str]):
+    """Arrow table of rows of int32s and a binary last."""
+    import pyarrow as pa
+
+    kinds = [pa.int32()] * (len(names) - 1) + [pa.binary()]
+    return pa.table([pa.array([x[k] for x in pairs], kind) for k, kind in enumerate(kinds)], names=names)
+
+
+def _by_bucket(runs: np.ndarray, of: np.ndarray) -> list[tuple[int, bytes]]:
+    """(bucket, packed runs)"""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1)
+    order = np.argsort(of, kind="stable")
+    runs, of = runs[order], of[order]
+    at = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)])
+    return [(int(of[a]), pack.compress(runs[a:b].tobytes())) for a, b in zip(at, np.append(at[1:], len(runs)), strict=False)]
+
+
+def find_repeats(left: DataFrame, bucket: str, key: str, text: str, span: int, shards: int, groups: int, block_bytes: int = 1 << 19) -> DataFrame:
     """(bucket, runs): packed runs of repeated windows, by bucket of documents."""
     import pyarrow as pa
     import zstandard
 
-    def cut(batches):
-        pack = zstandard.ZstdCompressor(level=1)
-        held, held_bytes = [], 0
-
-        def flush():
-            docs_, texts = pa.chunked_array([b.column(0) for b in held]), pa.chunked_array([b.column(1) for b in held]).combine_chunks()
-            data, off = text_buffers(texts)
-            ids = docs_.fill_null(NO_ID).to_numpy()
-            zero = docs_.fill_null(0).to_numpy()
-            crc = np.array([zlib.crc32(data[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], np.int64)
-            bucket = ((zero % buckets + crc % buckets) % buckets).astype(np.int32)
-            for i, j in blocks(off, chunk_bytes):
-                blobs, runs, of = _chunk(data[off[i] : off[j]], off[i : j + 1] - off[i], ids[i:j], bucket[i:j], span, shards)
-                yield from _batches([(s, pack.compress(raw)) for s, raw in blobs], "shard", "blob")
-                yield from _run_batches(runs, of, -1)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            held_bytes += batch.column(1).nbytes
-            if held_bytes >= chunk_bytes:
-                yield from flush()
-                held, held_bytes = [], 0
-        if held:
-            yield from flush()
-
-    def _batches(pairs, first, second):
-        for i in range(0, len(pairs), 256):
-            part = pairs[i : i + 256]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int32()), pa.array([x[1] for x in part], pa.binary())], names=[first, second])
-
-    def _run_batches(runs, of, sign):
-        """Runs packed by bucket; in the first step such rows have the shard -1 - bucket."""
-        if not len(runs):
-            return
-        order = np.argsort(of, kind="stable")
-        runs, of = runs[order], of[order]
-        at = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    def prints(key_, table):
+        """The bucket's anchors, by group."""
+        data, off = text_buffers(table.column(text))
+        h, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for i, j in blocks(off, block_bytes):
+            a, b = anchor_prints(data[off[i] : off[j]], off[i : j + 1] - off[i], span)
+            h.append(a)
+            owner.append(b + i)
+        name = np.sort(name_prints(np.concatenate(h), groups))
+        head = np.flatnonzero(np.append(True, name[1:] != name[:-1])[: len(name)])
+        count = np.diff(np.append(head, len(name)))
+        name = name[head]
+        group = name >> np.uint64(_PRINT_BITS)
+        low = np.uint64((1 << _PRINT_BITS) - 1)
+        cut = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(group)])
         pack = zstandard.ZstdCompressor(level=1)
-        pairs = [(int(sign - of[a]) if sign < 0 else int(of[a]), pack.compress(runs[a:b].tobytes())) for a, b in zip(at, np.append(at[1:], len(runs)), strict=True)]
-        yield from _batches(pairs, "shard" if sign < 0 else "bucket", "blob" if sign < 0 else "runs")
+        rows = []
+        for a, b in zip(cut, np.append(cut[1:], len(name)), strict=False):
+            part, many = name[a:b] & low, count[a:b] > 1
+            rows.append((int(group[a]), key_[0].as_py(), pack.compress(pack_prints(part[~many], part[many]))))
+        return _packed(rows, ["g", "b", "blob"])
+
+    def live(key_, table):
+        tool = zstandard.ZstdDecompressor()
+        got = live_prints([tool.decompress(x) for x in table.column("blob").to_pylist()])
+        pack, mine = zstandard.ZstdCompressor(level=1), key_[0].as_py() << _PRINT_BITS
+        rows = [(b, pack.compress((p | np.uint64(mine)).tobytes())) for b, p in zip(table.column("b").to_pylist(), got, strict=True) if len(p)]
+        return _packed(rows, ["b", "blob"])
+
+    def segments(table, lists):
+        """The bucket's segments at live anchors, by shard; repeats within it under the shard -1 - bucket."""
+        tool, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        if not len(table) or not len(lists):
+            return _packed([], ["shard", "blob"])
+        own = table.column(bucket)[0].as_py()
+        alive = np.sort(np.concatenate([np.frombuffer(tool.decompress(x), np.uint64) for x in lists.column("blob").to_pylist()]))
+        data, off = text_buffers(table.column(text))
+        ids = table.column(key).cast(pa.int64()).fill_null(NO_ID).to_numpy()
+        held: dict[int, list[Batch]] = {}
+        for i, j in blocks(off, block_bytes):
+            for shard, found in cut_segments(data[off[i] : off[j]], off[i : j + 1] - off[i], ids[i:j], own, span, shards, alive, groups):
+                held.setdefault(shard, []).append(found)
+        rows, runs = [], []
+        for shard in sorted(held):
+            batch, more, _ = Batch.join(held.pop(shard)).combine(span)
+            rows.append((shard, pack.compress(batch.pack())))
+            runs.append(more)
+        done = np.concatenate(runs) if runs else np.zeros(0, _RUN)
+        rows += [(-1 - b, x) for b, x in _by_bucket(done, np.full(len(done), own))]
+        return _packed(rows, ["shard", "blob"])
 
     def reduce(key_, table):
         tool = zstandard.ZstdDecompressor()
         blobs = [tool.decompress(x) for x in table.column("blob").to_pylist()]
         shard = key_[0].as_py()
         if shard < 0:
-            packs = [(-1 - shard, zstandard.ZstdCompressor(level=1).compress(b"".join(blobs)))]
-            return pa.Table.from_batches(_batches(packs, "bucket", "runs"), schema=result)
-        return pa.Table.from_batches(_run_batches(*_shard_runs(blobs, span), 1), schema=result)
+            rows = [(-1 - shard, zstandard.ZstdCompressor(level=1).compress(b"".join(blobs)))]
+        else:
+            rows = _by_bucket(*shard_runs(Batch.join([Batch.unpack(x) for x in blobs]), span))
+        return _packed(rows, ["bucket", "runs"])
 
-    result = pa.schema([("bucket", pa.int32()), ("runs", pa.binary())])
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    return rows.mapInArrow(cut, "shard int, blob binary").groupBy("shard").applyInArrow(reduce, "bucket int, runs binary")
+    alive = left.groupBy(bucket).applyInArrow(prints, "g int, b int, blob binary").groupBy("g").applyInArrow(live, "b int, blob binary")
+    sent = left.groupBy(bucket).cogroup(alive.groupBy("b")).applyInArrow(segments, "shard int, blob binary")
+    return sent.groupBy("shard").applyInArrow(reduce, "bucket int, runs binary")
 
 
 def _cut(data: np.ndarray, off: np.ndarray, ids: np.ndarray, runs: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -356,82 +440,62 @@ def _cut(data: np.ndarray, off: np.ndarray, ids: np.ndarray, runs: np.ndarray, s
     return gone, total[off[1:]] - total[off[:-1]], edges[off[1:]] - edges[off[:-1]]
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, shard_bytes: int = 2 << 20, keep_text: bool = True) -> DataFrame:
+@dataclass(frozen=True)
+class RepeatParams:
+    span: int = SPAN
+    bucket_bytes: int = 2 << 20  # of documents
+    shard_bytes: int = 4 << 20  # of the text whose repeats meet in a shard
+    group_bytes: int = 32 << 20  # of the text whose anchors meet in a group
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", p: RepeatParams = RepeatParams(), keep_text: bool = True) -> DataFrame:
     """docs (without its text unless keep_text; bytes of a character cut in two go) with n_bytes, n_removed,
     n_spans and kept_sha256 of each text."""
-    import pyarrow as pa
-    import zstandard
-
     ids = docs.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col(text))).alias("b"))
     seen = ids.agg(F.sum("b").alias("b"), F.max("n").alias("n")).first()
-    if (seen["n"] or 0) > 1:
-        return _with_repeated_rows(docs, key, text, span, shard_bytes, keep_text)
-    total = seen["b"] or 0
-    shards, buckets = total // shard_bytes + 1, _prime_from(total // (2 * shard_bytes) + 1)
-    runs = written(find_repeats(docs, key, text, span, shards, buckets), "repeats")
-    added = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    keep = [c for c in docs.columns if c not in added and (keep_text or c != text)]
-    fields = [docs.schema[c] for c in keep]
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in fields), *(T.StructField(c, T.LongType()) for c in added[:3]), T.StructField(added[3], T.StringType())])
-
-    def cut(left, right):
-        tool = zstandard.ZstdDecompressor()
-        found = [np.frombuffer(tool.decompress(x), _RUN) for x in right.column("runs").to_pylist()]
-        data, off = text_buffers(left.column(text))
-        ids_ = left.column(key).cast(pa.int64()).fill_null(NO_ID).to_numpy()
-        gone, removed, spans = _cut(data, off, ids_, np.concatenate(found) if found else np.zeros(0, _RUN), span)
-        kept = data[~gone]
-        at = np.concatenate([[0], np.cumsum(np.diff(off) - removed)]).tolist()
-        raw = kept.tobytes()
-        parts = [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-        columns = {c: left.column(c) for c in keep}
-        if keep_text:
-            given = left.column(text).to_pylist()
-            columns[text] = pa.array([None if g is None else g if not n else x.decode("utf-8", "ignore") for g, n, x in zip(given, removed.tolist(), parts, strict=True)], pa.string())
-        columns |= {"n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(removed), "n_spans": pa.array(spans), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in parts])}
-        return pa.table(columns)
-
-    bucket = "__bucket"
-    left = docs.withColumn(bucket, _bucket_column(F.col(key).cast("long"), F.col(text), buckets))
-    return left.groupBy(bucket).cogroup(runs.groupBy("bucket")).applyInArrow(cut, schema)
-
-
-def _with_repeated_rows(docs: DataFrame, key: str, text: str, span: int, shard_bytes: int, keep_text: bool) -> DataFrame:
-    """Documents whose ids repeat: each distinct (id, text) is worked on once, under a number of its own
-    that orders as the ids do, and its results are joined to all its rows."""
+    if (seen["n"] or 0) <= 1:
+        return _cut_documents(docs, key, text, seen["b"] or 0, p, keep_text)
+    # ids repeat: each distinct (id, text) is worked on once, and its results are joined to all its rows
     mark = "__md5"
     rows = docs.withColumn(mark, F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    once = rows.groupBy(F.col(key).cast("long").alias("__id"), mark).agg(F.first(text).alias("__text"))
-    once = written(once, "distinct-rows")
+    once = written(rows.groupBy(F.col(key).cast("long").alias("__id"), mark).agg(F.first(text).alias("__text")), "distinct-rows")
     total = once.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
-    shards, buckets = total // shard_bytes + 1, _prime_from(total // (2 * shard_bytes) + 1)
-    runs = written(find_repeats(once, "__id", "__text", span, shards, buckets), "repeats")
-    done = written(_cut_rows(once, runs, span, buckets), "cut-rows")
+    done = _cut_documents(once, "__id", "__text", total, p, True)
+    done = written(done.withColumnsRenamed({"__text": "__kept", mark: "__mark"}), "cut-rows")
     back = rows.join(done, rows[key].cast("long").eqNullSafe(done["__id"]) & (rows[mark] == done["__mark"]), "left")
-    added = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    keep = [c for c in docs.columns if c not in added and (keep_text or c != text)]
-    new = F.when(F.col("n_removed") == 0, F.col(text)).otherwise(F.col("__kept"))
-    return back.select(*[new.alias(c) if c == text else rows[c] for c in keep], *[done[c] for c in added])
+    keep = [c for c in docs.columns if c not in _ADDED and (keep_text or c != text)]
+    return back.select(*[F.col("__kept").alias(c) if c == text else rows[c] for c in keep], *[done[c] for c in _ADDED])
+
+
+_ADDED = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def _cut_rows(once: DataFrame, runs: DataFrame, span: int, buckets: int) -> DataFrame:
+def _cut_documents(docs: DataFrame, key: str, text: str, total: int, p: RepeatParams, keep_text: bool) -> DataFrame:
+    """remove_repeats for documents of which no two share id and text."""
     import pyarrow as pa
     import zstandard
 
-    def cut(left, right):
+    buckets, bucket = _prime_from(total // p.bucket_bytes + 1), "__bucket"
+    left = docs.withColumn(bucket, _bucket_column(F.col(key).cast("long"), F.col(text), buckets))
+    runs = find_repeats(left, bucket, key, text, p.span, total // p.shard_bytes + 1, total // p.group_bytes + 1)
+    keep = [c for c in docs.columns if c not in _ADDED and (keep_text or c != text)]
+    fields = [T.StructField(c, docs.schema[c].dataType) for c in keep]
+    schema = T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in _ADDED[:3]), T.StructField(_ADDED[3], T.StringType())])
+
+    def cut(table, lists):
         tool = zstandard.ZstdDecompressor()
-        found = [np.frombuffer(tool.decompress(x), _RUN) for x in right.column("runs").to_pylist()]
-        data, off = text_buffers(left.column("__text"))
-        ids = left.column("__id").fill_null(NO_ID).to_numpy()
-        gone, removed, spans = _cut(data, off, ids, np.concatenate(found) if found else np.zeros(0, _RUN), span)
+        found = [np.frombuffer(tool.decompress(x), _RUN) for x in lists.column("runs").to_pylist()]
+        data, off = text_buffers(table.column(text))
+        ids = table.column(key).cast(pa.int64()).fill_null(NO_ID).to_numpy()
+        gone, removed, spans = _cut(data, off, ids, np.concatenate(found) if found else np.zeros(0, _RUN), p.span)
         raw = data[~gone].tobytes()
         at = np.concatenate([[0], np.cumsum(np.diff(off) - removed)]).tolist()
         parts = [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-        return pa.table({
-            "__id": left.column("__id"), "__mark": left.column("__md5"), "__kept": pa.array([x.decode("utf-8", "ignore") for x in parts], pa.string()),
-            "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(removed), "n_spans": pa.array(spans), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in parts]),
-        })
-
-    left = once.withColumn("__bucket", _bucket_column(F.col("__id"), F.col("__text"), buckets))
-    schema = "__id long, __mark string, __kept string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return left.groupBy("__bucket").cogroup(runs.groupBy("bucket")).applyInArrow(cut, schema)
+        columns = {c: table.column(c) for c in keep}
+        if keep_text:
+            given = table.column(text).to_pylist()
+            columns[text] = pa.array([g if not n else x.decode("utf-8", "ignore") for g, n, x in zip(given, removed.tolist(), parts, strict=True)], pa.string())
+        sha = pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string())
+        return pa.table(columns | dict(zip(_ADDED, (pa.array(np.diff(off)), pa.array(removed), pa.array(spans), sha), strict=True)))
+
+    return left.groupBy(bucket).cogroup(runs.groupBy("bucket")).applyInArrow(cut, schema)
