@@ -152,7 +152,7 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray], key: str = "
     hosts = written(scored.groupBy("host", "domain").agg(sums(F.col("q")).alias("hs")), "hosts")
     domains = hosts.groupBy("domain").agg(sums(F.col("hs")).alias("ds"))
     # one row each: at most 27**2 suffixes and 27**3 + 27**2 codes
-    total = [float(x) for x in domains.agg(sums(F.col("ds")).alias("g")).first()["g"] or [0.0] * size]
+    total = [float(x or 0) for x in domains.agg(sums(F.col("ds")).alias("g")).first()["g"]]
     hosts = written(hosts.join(domains, "domain").select("host", "hs", "ds"), "host-priors")
     prior = [(x + 1.0) / (sum(total) + size) for x in total]
 
