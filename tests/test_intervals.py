@@ -72,6 +72,8 @@ def test_neighborhoods_walk(spark):
         want[i] = ne
     df = spark.createDataFrame(rows, "chrom string, start long, end long, ordinal long")
     assert {r.ordinal: r.ne for r in neighborhoods.neighborhoods(df, 20).collect()} == want
+    for width in (16, 100, 10_000):
+        assert {r.ordinal: r.ne for r in neighborhoods.binned_neighborhoods(df, 20, width).collect()} == want
 
 
 def test_edges(spark):

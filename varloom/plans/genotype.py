@@ -51,7 +51,7 @@ def genotype(records: DataFrame, reads: DataFrame, regions: DataFrame, p: Genoty
     deletions. Rejected records come back without a genotype, those of ploidy 0 without reads looked at."""
     p.validate()
     flagged = variants.flag_keep(variants.derive(records), regions, p)
-    kept = neighborhoods.number_nodes(neighborhoods.neighborhoods(flagged.where("keep"), p.neighdist))
+    kept = neighborhoods.number_nodes(neighborhoods.binned_neighborhoods(flagged.where("keep"), p.neighdist, 1 << 22))
     hoods = neighborhoods.bounds(kept)
     if ploidy is not None:
         named = intervals.interval_lookup(hoods, ploidy, ["chrom", "ne"], "chrom", "start", "ploidy", 1 << 20)
