@@ -59,6 +59,12 @@ def flag_keep(variants: DataFrame, regions: DataFrame, p: GenotypeParams) -> Dat
     return inside.withColumn("keep", F.coalesce(ok, F.lit(False))).drop("in_region")
 
 
+def keep_tally(flagged: DataFrame, hoods: DataFrame) -> DataFrame:
+    """One row: variants, kept and skipped ones, and neighbourhoods."""
+    counts = flagged.agg(F.count("*").alias("n_variants"), F.count_if("keep").alias("n_kept"), F.count_if(~F.col("keep")).alias("n_skipped"))
+    return counts.crossJoin(F.broadcast(hoods.agg(F.count("*").alias("n_neighborhoods"))))  # one row each
+
+
 def feature_udf(k: int, longest: int):
     """(ref, alt) -> array<float>: k-mers of ALT less those of REF, both without the anchor base."""
 

@@ -487,6 +487,29 @@ def genotype_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return records, reads, intervals.contig_regions(regions)
 
 
+@query("""
+WITH v AS (SELECT p_partkey, p_size % 5 AS a_ref, p_size % 9 AS c_alt FROM part)
+SELECT p_partkey, (-a_ref)::BIGINT AS a, 0::BIGINT AS g, c_alt::BIGINT AS c, 0::BIGINT AS t FROM v""")
+def variant_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1-mers of ALT less those of REF, without their anchor bases."""
+    v = table(spark, sf_dir, "part").select("p_partkey", F.expr("repeat('A', 1 + p_size % 5)").alias("ref"), F.expr("concat('A', repeat('C', p_size % 9))").alias("alt"))
+    v = v.withColumn("k", variants.feature_udf(1, 0)("ref", "alt"))
+    return v.select("p_partkey", *[F.col("k")[i].cast("long").alias(c) for i, c in enumerate("agct")])
+
+
+@query("""
+SELECT count(*) AS n_variants, count(*) FILTER (s_suppkey % 5 > 0) AS n_kept, count(*) FILTER (s_suppkey % 5 = 0) AS n_skipped,
+  (count(DISTINCT (s_nationkey, s_suppkey // 25)) FILTER (s_suppkey % 5 > 0))::BIGINT AS n_neighborhoods FROM supplier""")
+def variant_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records pass, and the neighbourhoods they make; every fifth fails its filter."""
+    records, _, regions = genotype_inputs(spark, sf_dir)
+    failed = F.col("id").cast("long") % 5 == 0
+    records = records.withColumn("filter", F.when(failed, F.array(F.lit("q10"))).otherwise(F.array().cast("array<string>")))
+    p = GenotypeParams(passonly=True)
+    flagged = variants.flag_keep(variants.derive(records), regions, p)
+    return variants.keep_tally(flagged, neighborhoods.bounds(neighborhoods.binned_neighborhoods(flagged.where("keep"), p.neighdist, 1 << 14)))
+
+
 @query()
 def full_genotype(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters, neighbourhoods, spanning reads, clustering, path search and annotation, end to end."""
