@@ -17,17 +17,20 @@ def classify(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s = np.ones(n, bool)
     step = np.flatnonzero(t[1:] != t[:-1])  # where a symbol differs from the next one
     up = t[step] < t[step + 1]
-    s[: n - 1] = up[np.searchsorted(step, np.arange(n - 1))]
+    s[: n - 1] = np.repeat(up, np.diff(step, prepend=-1))
     return s, np.flatnonzero(s[1:] & ~s[:-1]) + 1
 
 
-def _spread(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Stable order by symbol, the sorted symbols, the rank within the symbol, and where symbols begin."""
-    order = np.argsort(symbols, kind="stable")
-    got = symbols[order]
-    head = np.flatnonzero(np.append(True, got[1:] != got[:-1]))
-    rank = np.arange(len(got)) - np.repeat(head, np.diff(np.append(head, len(got))))
-    return order, got, rank, head
+def _heads(got: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where sorted symbols change, and how many there are of each."""
+    new = np.empty(len(got), bool)
+    new[0] = True
+    np.not_equal(got[1:], got[:-1], out=new[1:])
+    head = new.nonzero()[0]
+    size = np.empty(len(head), np.int64)
+    np.subtract(head[1:], head[:-1], out=size[:-1])
+    size[-1] = len(got) - head[-1]
+    return head, size
 
 
 def _induce(t: np.ndarray, short: np.ndarray, s: np.ndarray, marked: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -36,55 +39,75 @@ def _induce(t: np.ndarray, short: np.ndarray, s: np.ndarray, marked: np.ndarray,
     short is t in the smallest type, which sorts faster."""
     n = len(t)
     sa = np.full(n, -1, np.int32)
-    order, got, _, head = _spread(short[marked])
-    size = np.diff(np.append(head, len(got)))
-    sym = got[head].astype(np.int64)
-    sa[np.repeat(ends[sym] - size, size) + np.arange(len(got)) - np.repeat(head, size)] = marked[order]
+    every = np.arange(max(len(marked), 1 << 18) + 1)
+    order = short[marked].argsort(kind="stable")
+    head, size = _heads(short[marked][order])
+    sym = short[marked][order][head].astype(np.int64)
+    sa[np.repeat(ends[sym] - size - head, size) + every[: len(marked)]] = marked[order]
+    flag = np.zeros(n + 2, bool)  # the last two stand for "no suffix before" (-1) and "no entry" (-2)
+    flag[:n] = ~s
     # L-type suffixes, left to right
     free, at, window = (ends - counts).copy(), 0, 4096
     while at < n:
         stop = min(at + window, n)
         j = sa[at:stop] - 1
-        live = np.flatnonzero(j >= 0)
-        live = live[~s[j[live]]]
+        live = flag[j].nonzero()[0]
         if not len(live):
             at, window = stop, min(window * 2, 1 << 18)
             continue
         j = j[live]
-        target = free[t[j]]
-        reach = np.minimum.accumulate(target)
-        bad = np.flatnonzero(live[1:] + at >= reach[:-1])  # an entry that earlier ones may still write, or shift
-        take = len(live) if not len(bad) else int(bad[0]) + 1
-        last = min(stop, int(reach[take - 1]))
-        nxt = int(live[take]) + at if take < len(live) else stop
-        order, got, rank, head = _spread(short[j[:take]])
-        sa[free[got] + rank] = j[:take][order]
-        free[got[head]] += np.diff(np.append(head, take))
-        done = max(at + int(live[take - 1]) + 1, min(nxt, last))
-        window = min(max(2 * (done - at), 512), 1 << 18)
+        reach = np.minimum.accumulate(free[t[j]])
+        bad = live[1:] + at >= reach[:-1]  # an entry that earlier ones may still write, or shift
+        take = int(bad.argmax()) + 1 if len(bad) else 1
+        if not len(bad) or not bad[take - 1]:
+            take = len(live)
+        limit = int(live[take]) + at if take < len(live) else stop
+        done = max(at + int(live[take - 1]) + 1, min(limit, int(reach[take - 1])))
+        if take == 1:
+            c = t[j[0]]
+            sa[free[c]] = j[0]
+            free[c] += 1
+        else:
+            sym = short[j[:take]]
+            order = sym.argsort(kind="stable")
+            got = sym[order]
+            head, size = _heads(got)
+            which = got[head]
+            sa[np.repeat(free[which] - head, size) + every[:take]] = j[:take][order]
+            free[which] += size
+        window = min(max(2 * (done - at), 256), 1 << 18)
         at = done
     # S-type suffixes, right to left; they overwrite the marked ones
+    flag[:n] = s
     free, at, window = ends.copy(), n, 4096
     while at > 0:
         stop = max(at - window, 0)
         j = sa[stop:at][::-1] - 1
-        live = np.flatnonzero(j >= 0)
-        live = live[s[j[live]]]
+        live = flag[j].nonzero()[0]
         if not len(live):
             at, window = stop, min(window * 2, 1 << 18)
             continue
         j = j[live]
-        target = free[t[j]] - 1
-        reach = np.maximum.accumulate(target)
-        bad = np.flatnonzero(at - 1 - live[1:] <= reach[:-1])
-        take = len(live) if not len(bad) else int(bad[0]) + 1
-        last = max(stop, int(reach[take - 1]) + 1)
-        nxt = at - int(live[take]) if take < len(live) else stop
-        order, got, rank, head = _spread(short[j[:take]])
-        sa[free[got] - 1 - rank] = j[:take][order]
-        free[got[head]] -= np.diff(np.append(head, take)).astype(free.dtype)
-        done = min(at - int(live[take - 1]) - 1, max(nxt, last))
-        window = min(max(2 * (at - done), 512), 1 << 18)
+        reach = np.maximum.accumulate(free[t[j]]) - 1
+        bad = at - 1 - live[1:] <= reach[:-1]
+        take = int(bad.argmax()) + 1 if len(bad) else 1
+        if not len(bad) or not bad[take - 1]:
+            take = len(live)
+        limit = at - int(live[take]) if take < len(live) else stop
+        done = min(at - int(live[take - 1]) - 1, max(limit, int(reach[take - 1]) + 1))
+        if take == 1:
+            c = t[j[0]]
+            free[c] -= 1
+            sa[free[c]] = j[0]
+        else:
+            sym = short[j[:take]]
+            order = sym.argsort(kind="stable")
+            got = sym[order]
+            head, size = _heads(got)
+            which = got[head]
+            sa[np.repeat(free[which] - 1 + head, size) - every[:take]] = j[:take][order]
+            free[which] -= size
+        window = min(max(2 * (at - done), 256), 1 << 18)
         at = done
     return sa
 
