@@ -66,6 +66,27 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables of one run of an operator, deleted once nothing reads them any more."""
+
+    def __init__(self):
+        self._tables: list[tuple[DataFrame, str]] = []
+
+    def written(self, df: DataFrame, tag: str) -> DataFrame:
+        path = new_path(df.sparkSession, tag)
+        df.write.mode("overwrite").parquet(path)
+        out = df.sparkSession.read.schema(df.schema).parquet(path)
+        self._tables.append((out, path))
+        return out
+
+    def drop(self, keep: tuple[DataFrame, ...] = ()) -> None:
+        """Deletes all tables but those to keep."""
+        for table, path in self._tables:
+            if not any(table is k for k in keep):
+                delete(table.sparkSession, path)
+        self._tables = [t for t in self._tables if any(t[0] is k for k in keep)]
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, n: int):
     """Actions inside send at most n rows at once to Python, so that long texts make no huge batches."""

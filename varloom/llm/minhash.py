@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, blocks, mix64, shingle_hashes, text_buffers, word_hashes, written
+from .common import Scratch, arrow_rows, blocks, mix64, shingle_hashes, text_buffers, word_hashes, written
 from .components import connected_components
 
 BUCKETS = 1 << 18
@@ -285,9 +285,14 @@ def _forest(links: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", p: MinHashParams = MinHashParams()) -> DataFrame:
     """(doc_id, class_id, n_links): n_links counts the texts verified as links of the document's text that
     closed its class; 0 for a text without near copies."""
+    return _classed(docs, key, text, p, Scratch())
+
+
+def _classed(docs: DataFrame, key: str, text: str, p: MinHashParams, scratch: Scratch) -> DataFrame:
+    """near_duplicates; the tables that the result reads stay in scratch, all others are deleted."""
     import pyarrow as pa
 
-    spark = docs.sparkSession
+    spark, written = docs.sparkSession, scratch.written
     df, n_docs = document_frequency(docs, text, p)
     idf = spark.sparkContext.broadcast(idf_table(df, n_docs))  # 1 MB whatever the input
     with arrow_rows(spark, 2000):
@@ -328,7 +333,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", p:
     with arrow_rows(spark, 256):
         stars = written(pairs.mapInArrow(verify, "node binary, head binary, sim double"), "stars")
     links = stars.where(F.col("sim") >= p.threshold).select(F.col("node").alias("src"), F.col("head").alias("dst"))
-    links = links.union(_left_over(stars, texts, idf, p))
+    links = links.union(_left_over(stars, texts, idf, p, scratch))
     links = written(links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct(), "links")
     classes = connected_components(links)
     degree = links.select(F.col("src").alias("node")).union(links.select(F.col("dst").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
@@ -338,10 +343,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", p:
     # copies of one text without near copies share the text's smallest id; texts without words stay alone
     alone = signed.groupBy("node").agg(F.min("doc_id").alias("own_id"), F.count("bands").alias("worded"))
     full = written(alone.join(named, "node", "left").select("node", F.when(F.col("worded") > 0, F.coalesce("class_id", "own_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
+    scratch.drop(keep=(signed, full))
     return signed.select("doc_id", "node").join(full, "node").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links")
 
 
-def _left_over(stars: DataFrame, texts: DataFrame, idf, p: MinHashParams) -> DataFrame:
+def _left_over(stars: DataFrame, texts: DataFrame, idf, p: MinHashParams, scratch: Scratch) -> DataFrame:
     """Links of the members that are not linked to their head, with the other members of the head's group.
 
     A group's linked members are one class already, so only left x left and left x linked blocks are
@@ -353,7 +359,7 @@ def _left_over(stars: DataFrame, texts: DataFrame, idf, p: MinHashParams) -> Dat
     sizes = group.groupBy("head").agg(F.sum((~F.col("linked")).cast("long")).alias("n_left"), F.sum(F.col("linked").cast("long")).alias("n_linked"))
     sizes = sizes.where("n_left > 1 or (n_left = 1 and n_linked > 0)")
     parts = lambda c: F.ceil(F.col(c) / p.block).cast("int")
-    sizes = written(sizes.select("head", parts("n_left").alias("bl"), parts("n_linked").alias("bs")), "left-sizes")
+    sizes = scratch.written(sizes.select("head", parts("n_left").alias("bl"), parts("n_linked").alias("bs")), "left-sizes")
     g = group.join(sizes, "head")
     slot = F.pmod(F.xxhash64("node"), F.when(F.col("linked"), F.col("bs")).otherwise(F.col("bl"))).cast("int")
     g = g.withColumn("slot", slot)
@@ -379,9 +385,11 @@ def _left_over(stars: DataFrame, texts: DataFrame, idf, p: MinHashParams) -> Dat
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", p: MinHashParams = MinHashParams()) -> DataFrame:
     """docs with one document of each class: the one whose id names it (one of them if that id repeats);
     documents without an id are kept unless their class has a named one."""
-    found = written(near_duplicates(docs, key, text, p), "classed")
+    scratch = Scratch()
+    found = written(_classed(docs, key, text, p, scratch), "classed")
+    scratch.drop()
     first = written(found.where("class_id is null or doc_id = class_id").groupBy(F.col("doc_id").alias("__first")).agg(F.count("*").alias("n")), "first")
-    once = docs.join(first, docs[key].cast("long").eqNullSafe(first["__first"]), "left_semi")
+    once = docs.join(first.hint("merge"), docs[key].cast("long").eqNullSafe(first["__first"]), "left_semi")
     if first.where("n > 1").isEmpty():
         return once
     return once.withColumn("__md5", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).dropDuplicates([key, "__md5"]).drop("__md5")
