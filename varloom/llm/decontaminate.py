@@ -153,51 +153,68 @@ class Items:
         return sorted((d, k, x, y) for (d, k, y), x in found.items())
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", p: LeakParams = LeakParams()) -> DataFrame:
-    """(doc_id, leaks array<struct<item_id, edits, end>>) of every document; end is a byte offset."""
-    spark = docs.sparkSession
+_LEAKS = "array<struct<item_id:bigint,edits:bigint,end:bigint>>"
+
+
+def _passes(rows: DataFrame, benchmark: DataFrame, item: str, item_text: str, p: LeakParams, step) -> DataFrame:
+    """step(rows, broadcast index) for each part of the items, of about part_bytes at most. Of several parts,
+    each has a pass of its own, so that no worker holds two."""
+    spark = rows.sparkSession
     items = benchmark.select(F.col(item).cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = total // p.part_bytes + 1
-    base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    part = F.pmod(F.xxhash64("t"), F.lit(parts))
-    if parts == 1:
-        return _scan(spark, base, items.collect(), p)
-    # several passes, each against a part of bounded size; ids alone are joined afterwards
-    out = None
-    numbered = written(base.withColumn("n", F.monotonically_increasing_id()), "numbered")
     for k in range(parts):
-        got = _scan(spark, numbered.select(F.col("n").alias("doc_id"), "text"), items.where(part == k).collect(), p).where(F.size("leaks") > 0)
-        got = written(got, "leaks")
-        out = got if out is None else out.union(got)
-    merged = out.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("leaks"))
-    empty = F.array().cast("array<struct<item_id:bigint,edits:bigint,end:bigint>>")
-    return numbered.select("n", F.col("doc_id").alias("id")).join(merged.withColumnRenamed("doc_id", "n"), "n", "left").select(F.col("id").alias("doc_id"), F.coalesce("leaks", empty).alias("leaks"))
+        part = items.where(F.pmod(F.xxhash64("t"), F.lit(parts)) == k).collect()
+        part = sorted(part, key=lambda r: (r.i is None, r.i, r.t))
+        index = spark.sparkContext.broadcast(Items([r.i for r in part], [r.t for r in part], p))
+        rows = step(rows, index)
+        if parts > 1:
+            rows = written(rows, "leak-pass")
+            index.unpersist()
+    return rows
 
 
-def _scan(spark, base: DataFrame, rows: list, p: LeakParams) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", p: LeakParams = LeakParams()) -> DataFrame:
+    """(doc_id, leaks array<struct<item_id, edits, end>>) of every document; end is a byte offset."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.array().cast(_LEAKS).alias("leaks"))
+    step = lambda df, index: df.mapInArrow(_marker(index, p), f"doc_id long, text string, leaks {_LEAKS}")
+    return _passes(rows, benchmark, item, item_text, p, step).select("doc_id", "leaks")
+
+
+def _marker(index, p: LeakParams):
     import pyarrow as pa
 
-    rows = sorted(rows, key=lambda r: (r.i is None, r.i, r.t))
-    index = spark.sparkContext.broadcast(Items([r.i for r in rows], [r.t for r in rows], p))  # at most part_bytes of items
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int64()), ("end", pa.int64())]))
 
-    def scan(batches):
+    def mark(batches):
         items = index.value
         for batch in batches:
             data, off = text_buffers(batch.column(1))
+            before = batch.column(2).to_pylist()
             for i, j in blocks(off, p.block_bytes):
-                out: list[list] = [[] for _ in range(j - i)]
                 for d, k, x, y in items.leaks(data[off[i] : off[j]], off[i : j + 1] - off[i]):
-                    out[d].append({"item_id": items.ids[k], "edits": x, "end": y})
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(out, kind)], names=["doc_id", "leaks"])
+                    before[i + d].append({"item_id": items.ids[k], "edits": x, "end": y})
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(before, kind)], names=["doc_id", "text", "leaks"])
 
-    return base.mapInArrow(scan, "doc_id long, leaks array<struct<item_id:bigint,edits:bigint,end:bigint>>")
+    return mark
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", p: LeakParams = LeakParams()) -> DataFrame:
-    """docs without the documents that hold an item."""
-    number = "__number"
-    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
-    leaks = find_leaks(rows, benchmark, number, text, item, item_text, p).where(F.size("leaks") > 0).select(F.col("doc_id").alias(number))
-    return rows.join(leaks, number, "left_anti").select(*docs.columns)
+    """docs without the documents that hold an item; rows are filtered where they are read, nothing is shuffled."""
+    import pyarrow as pa
+
+    place = docs.columns.index(text)
+
+    def clean(index):
+        def work(batches):
+            items = index.value
+            for batch in batches:
+                data, off = text_buffers(batch.column(place))
+                keep = np.ones(batch.num_rows, bool)
+                for i, j in blocks(off, p.block_bytes):
+                    keep[[i + d for d, *_ in items.leaks(data[off[i] : off[j]], off[i : j + 1] - off[i])]] = False
+                yield batch.filter(pa.array(keep))
+
+        return work
+
+    return _passes(docs, benchmark, item, item_text, p, lambda df, index: df.mapInArrow(clean(index), docs.schema))
