@@ -106,7 +106,9 @@ def line_stats(text: Column, p: QualityParams) -> Column:
 def judge(docs: DataFrame, text: str = "text", params: QualityParams = QualityParams(), out: str = "quality") -> DataFrame:
     """docs with one struct column `out`: the statistics, base_failed, kept and clean_text."""
     col = F.col(text)
-    base = docs.withColumn(out, F.struct(word_stats(col).alias("w"), line_stats(col, params).alias("l")))
+    # a generator of one row: filters on the result stay above it, so that a text is walked once
+    stats = F.struct(word_stats(col).alias("w"), line_stats(col, params).alias("l"))
+    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != out], F.explode(F.array(stats)).alias(out))
     w, l = F.col(out)["w"], F.col(out)["l"]
     failed = (w["n_words"] < params.min_words) | (100 * w["n_repeat_words"] > params.max_repeat_percent * w["n_words"])
     symbols = F.regexp_count(F.coalesce(col, F.lit("")), F.lit("[#*$%&|<>]")).cast("long")
