@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .common import eight_bytes
+
 
 def classify(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(S-type flags, leftmost S positions) of a text that ends with its unique smallest symbol."""
@@ -165,11 +167,7 @@ def common_prefix(text: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
     n = len(text)
     phi = np.full(n, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
-    padded = np.zeros(n + cap + 8, np.uint8)
-    padded[:n] = text
-    word = np.zeros(n + cap, np.uint64)
-    for k in range(8):
-        word |= padded[k : k + n + cap].astype(np.uint64) << np.uint64(8 * k)
+    word = eight_bytes(np.concatenate([text, np.zeros(cap, np.uint8)]))
     i = np.flatnonzero(phi >= 0)
     for depth in [*range(0, cap - 7, 8), cap - 8]:
         i = i[word[i + depth] == word[phi[i] + depth]]

@@ -3,7 +3,7 @@
 Every byte covered by a string of `span` bytes that also starts in a document with a smaller id goes;
 overlaps count, and all strings are judged on the input.
 
-1. Sharding. A window (any span bytes of a document) belongs to its anchor: the 24 bytes in it with the
+1. Sharding. A window (any span bytes of a document) belongs to its anchor: the 16 bytes in it with the
    smallest hash, leftmost first. Equal windows have equal anchors at equal places, so a segment (a maximal
    run of windows with one anchor) can only repeat where its anchor does. A first pass sends the
    fingerprints of anchors alone, five bytes each, and keeps those of two documents or more; the segments
@@ -40,10 +40,10 @@ from .common import _powers, blocks, eight_bytes, mix64, text_buffers, written
 from .sais import common_prefix, suffix_array
 
 SPAN = 50
-GRAM = 24
+GRAM = 16
 _PRINT_BITS = 40
 NO_ID = np.iinfo(np.int64).max
-_META = np.dtype([("anchor", "u1"), ("size", "u1"), ("n_places", "<u4"), ("doc", "<i8")])
+_META = np.dtype([("anchor", "u1"), ("size", "u1"), ("n_places", "<u4"), ("shard", "<u4"), ("doc", "<i8")])
 _PLACE = np.dtype([("key", "<u8"), ("offset", "<i8"), ("bucket", "<i4")])
 _RUN = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("count", "<i4")])
 
@@ -51,7 +51,7 @@ _RUN = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("count", "<i
 def _gram_hash(word: np.ndarray, n: int) -> np.ndarray:
     """Hash of the GRAM bytes from each of the first n positions, from the eight bytes at each position."""
     h = word[:n] * np.uint64(0x9E3779B97F4A7C15)
-    for later in range(8, GRAM, 8):
+    for later in sorted({8, GRAM - 8}):
         h ^= h >> np.uint64(29)
         h = (h + word[later : later + n]) * np.uint64(0xC2B2AE3D27D4EB4F)
     return mix64(h)
@@ -136,6 +136,18 @@ class Batch:
         start, size, first, n = self.starts()
         return Batch(self.meta[rows], self.place[_spans(first[rows], n[rows])], self.text[_spans(start[rows], size[rows])])
 
+    def split(self) -> list[tuple[int, Batch]]:
+        """(shard, its segments), by shard."""
+        whole = self.take(np.argsort(self.meta["shard"], kind="stable"))
+        start, size, first, n = whole.starts()
+        shard = whole.meta["shard"]
+        cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])[: len(shard)])
+        text_at, place_at = np.append(start, len(whole.text)), np.append(first, len(whole.place))
+        out = []
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(shard)], strict=False):
+            out.append((int(shard[a]), Batch(whole.meta[a:b], whole.place[place_at[a] : place_at[b]], whole.text[text_at[a] : text_at[b]])))
+        return out
+
     def combine(self, span: int) -> tuple[Batch, np.ndarray, np.ndarray]:
         """Equal segments as one, with the places of the smallest document; and the runs, with their buckets, of
         all later documents, in which such a segment is a repeat whole."""
@@ -211,25 +223,19 @@ def live_prints(blobs: list[bytes]) -> list[np.ndarray]:
     return [np.sort(p[a]) for p, a in zip(np.split(every, cut), np.split(alive, cut), strict=True)]
 
 
-def cut_segments(data: np.ndarray, off: np.ndarray, doc: np.ndarray, bucket: int, span: int, shards: int, live: np.ndarray, groups: int) -> list[tuple[int, Batch]]:
-    """(shard, its segments) of the live anchors of some texts; live is ascending."""
+def cut_segments(data: np.ndarray, off: np.ndarray, doc: np.ndarray, bucket: int, span: int, shards: int, live: np.ndarray, groups: int) -> Batch:
+    """The segments at live anchors of some texts; live is ascending."""
     seg = Segments(data, off, span)
-    if not len(seg.first) or not len(live):
-        return []
-    h = seg.gram[seg.anchor]
+    h = seg.gram[seg.anchor] if len(seg.first) else np.zeros(0, np.uint64)
     name = name_prints(h, groups)
     keep = np.flatnonzero(live[np.minimum(np.searchsorted(live, name), len(live) - 1)] == name)
-    keys = text_keys(data, off)
-    shard = (h[keep] >> np.uint64(8)) % np.uint64(shards)
-    order = keep[np.argsort(shard, kind="stable")]
-    shard = np.sort(shard)
-    first, size = seg.first[order], (seg.last - seg.first + span)[order]
+    first, size = seg.first[keep], (seg.last - seg.first)[keep] + span
     owner = np.searchsorted(off, first, side="right") - 1
-    place, meta = np.zeros(len(first), _PLACE), np.zeros(len(first), _META)
-    place["key"], place["offset"], place["bucket"] = keys[owner], first - off[owner], bucket
-    meta["anchor"], meta["size"], meta["doc"], meta["n_places"] = seg.anchor[order] - first, size, doc[owner], 1
-    cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])[: len(shard)])
-    return [(int(shard[a]), Batch(meta[a:b], place[a:b], data[_spans(first[a:b], size[a:b])])) for a, b in zip(cut, np.append(cut[1:], len(first)), strict=False)]
+    place, meta = np.zeros(len(keep), _PLACE), np.zeros(len(keep), _META)
+    place["key"], place["offset"], place["bucket"] = text_keys(data, off)[owner], first - off[owner], bucket
+    meta["anchor"], meta["size"], meta["doc"], meta["n_places"] = seg.anchor[keep] - first, size, doc[owner], 1
+    meta["shard"] = (h[keep] >> np.uint64(8)) % np.uint64(shards)
+    return Batch(meta, place, data[_spans(first, size)])
 
 
 def shard_runs(batch: Batch, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -389,17 +395,14 @@ def find_repeats(left: DataFrame, bucket: str, key: str, text: str, span: int, s
         alive = np.sort(np.concatenate([np.frombuffer(tool.decompress(x), np.uint64) for x in lists.column("blob").to_pylist()]))
         data, off = text_buffers(table.column(text))
         ids = table.column(key).cast(pa.int64()).fill_null(NO_ID).to_numpy()
-        held: dict[int, list[Batch]] = {}
-        for i, j in blocks(off, block_bytes):
-            for shard, found in cut_segments(data[off[i] : off[j]], off[i : j + 1] - off[i], ids[i:j], own, span, shards, alive, groups):
-                held.setdefault(shard, []).append(found)
-        rows, runs = [], []
-        for shard in sorted(held):
-            batch, more, _ = Batch.join(held.pop(shard)).combine(span)
-            rows.append((shard, pack.compress(batch.pack())))
-            runs.append(more)
-        done = np.concatenate(runs) if runs else np.zeros(0, _RUN)
-        rows += [(-1 - b, x) for b, x in _by_bucket(done, np.full(len(done), own))]
+        found = [cut_segments(data[off[i] : off[j]], off[i : j + 1] - off[i], ids[i:j], own, span, shards, alive, groups) for i, j in blocks(off, block_bytes)]
+        # equal segments have one anchor and so one shard
+        batch = Batch.join(found)
+        if not len(batch.meta):
+            return _packed([], ["shard", "blob"])
+        batch, runs, _ = batch.combine(span)
+        rows = [(shard, pack.compress(part.pack())) for shard, part in batch.split()]
+        rows += [(-1 - b, x) for b, x in _by_bucket(runs, np.full(len(runs), own))]
         return _packed(rows, ["shard", "blob"])
 
     def reduce(key_, table):
@@ -444,7 +447,7 @@ def _cut(data: np.ndarray, off: np.ndarray, ids: np.ndarray, runs: np.ndarray, s
 class RepeatParams:
     span: int = SPAN
     bucket_bytes: int = 2 << 20  # of documents
-    shard_bytes: int = 4 << 20  # of the text whose repeats meet in a shard
+    shard_bytes: int = 2 << 20  # of the text whose repeats meet in a shard
     group_bytes: int = 32 << 20  # of the text whose anchors meet in a group
 
 
