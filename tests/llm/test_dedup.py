@@ -71,7 +71,7 @@ def random_docs():
     return [(i, "".join(piece() for _ in range(6)) + "a" * rng.randrange(200)) for i in range(120)], base
 
 
-SMALL = suffix_dedup.RepeatParams(bucket_bytes=1 << 13, shard_bytes=1 << 14, group_bytes=1 << 14)
+SMALL = suffix_dedup.RepeatParams(bucket_bytes=1 << 13, shard_bytes=1 << 14, group_bytes=1 << 14, fan_in=4)
 
 
 @pytest.mark.parametrize("repeated", [False, True])

@@ -28,7 +28,6 @@ empty result; other columns pass through `remove_repeats`.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -352,7 +351,7 @@ def _by_bucket(runs: np.ndarray, of: np.ndarray) -> list[tuple[int, bytes]]:
     return [(int(of[a]), pack.compress(runs[a:b].tobytes())) for a, b in zip(at, np.append(at[1:], len(runs)), strict=False)]
 
 
-def find_repeats(left: DataFrame, bucket: str, key: str, text: str, span: int, shards: int, groups: int, block_bytes: int = 1 << 19) -> DataFrame:
+def find_repeats(left: DataFrame, bucket: str, key: str, text: str, span: int, shards: int, groups: int, buckets: int, fan_in: int, block_bytes: int = 1 << 19) -> DataFrame:
     """(bucket, runs): packed runs of repeated windows, by bucket of documents."""
     import pyarrow as pa
     import zstandard
@@ -390,7 +389,7 @@ def find_repeats(left: DataFrame, bucket: str, key: str, text: str, span: int, s
         """The bucket's segments at live anchors, by shard; repeats within it under the shard -1 - bucket."""
         tool, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         if not len(table) or not len(lists):
-            return _packed([], ["shard", "blob"])
+            return _packed([], ["shard", "part", "blob"])
         own = table.column(bucket)[0].as_py()
         alive = np.sort(np.concatenate([np.frombuffer(tool.decompress(x), np.uint64) for x in lists.column("blob").to_pylist()]))
         data, off = text_buffers(table.column(text))
@@ -399,11 +398,21 @@ def find_repeats(left: DataFrame, bucket: str, key: str, text: str, span: int, s
         # equal segments have one anchor and so one shard
         batch = Batch.join(found)
         if not len(batch.meta):
-            return _packed([], ["shard", "blob"])
+            return _packed([], ["shard", "part", "blob"])
         batch, runs, _ = batch.combine(span)
-        rows = [(shard, pack.compress(part.pack())) for shard, part in batch.split()]
-        rows += [(-1 - b, x) for b, x in _by_bucket(runs, np.full(len(runs), own))]
-        return _packed(rows, ["shard", "blob"])
+        rows = [(shard, own, pack.compress(part.pack())) for shard, part in batch.split()]
+        rows += [(-1 - b, own, x) for b, x in _by_bucket(runs, np.full(len(runs), own))]
+        return _packed(rows, ["shard", "part", "blob"])
+
+    def merge(key_, table):
+        """Equal segments of several buckets as one, before all meet."""
+        tool, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        blobs = [tool.decompress(x) for x in table.column("blob").to_pylist()]
+        shard, part = key_[0].as_py(), key_[1].as_py()
+        if shard < 0:
+            return _packed([(shard, part, pack.compress(b"".join(blobs)))], ["shard", "part", "blob"])
+        batch, runs, of = Batch.join([Batch.unpack(x) for x in blobs]).combine(span)
+        return _packed([(shard, part, pack.compress(batch.pack())), *((-1 - b, part, x) for b, x in _by_bucket(runs, of))], ["shard", "part", "blob"])
 
     def reduce(key_, table):
         tool = zstandard.ZstdDecompressor()
@@ -416,7 +425,10 @@ def find_repeats(left: DataFrame, bucket: str, key: str, text: str, span: int, s
         return _packed(rows, ["bucket", "runs"])
 
     alive = left.groupBy(bucket).applyInArrow(prints, "g int, b int, blob binary").groupBy("g").applyInArrow(live, "b int, blob binary")
-    sent = left.groupBy(bucket).cogroup(alive.groupBy("b")).applyInArrow(segments, "shard int, blob binary")
+    sent = left.groupBy(bucket).cogroup(alive.groupBy("b")).applyInArrow(segments, "shard int, part int, blob binary")
+    while buckets > fan_in:  # a passage of every bucket meets itself at most fan_in times at once
+        parts = sent.withColumn("part", F.floor(F.col("part") / F.lit(fan_in)).cast("int"))
+        sent, buckets = parts.groupBy("shard", "part").applyInArrow(merge, "shard int, part int, blob binary"), -(-buckets // fan_in)
     return sent.groupBy("shard").applyInArrow(reduce, "bucket int, runs binary")
 
 
@@ -449,6 +461,7 @@ class RepeatParams:
     bucket_bytes: int = 2 << 20  # of documents
     shard_bytes: int = 2 << 20  # of the text whose repeats meet in a shard
     group_bytes: int = 32 << 20  # of the text whose anchors meet in a group
+    fan_in: int = 1024  # buckets whose segments meet at once
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", p: RepeatParams = RepeatParams(), keep_text: bool = True) -> DataFrame:
@@ -480,7 +493,7 @@ def _cut_documents(docs: DataFrame, key: str, text: str, total: int, p: RepeatPa
 
     buckets, bucket = _prime_from(total // p.bucket_bytes + 1), "__bucket"
     left = docs.withColumn(bucket, _bucket_column(F.col(key).cast("long"), F.col(text), buckets))
-    runs = find_repeats(left, bucket, key, text, p.span, total // p.shard_bytes + 1, total // p.group_bytes + 1)
+    runs = find_repeats(left, bucket, key, text, p.span, total // p.shard_bytes + 1, total // p.group_bytes + 1, buckets, p.fan_in)
     keep = [c for c in docs.columns if c not in _ADDED and (keep_text or c != text)]
     fields = [T.StructField(c, docs.schema[c].dataType) for c in keep]
     schema = T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in _ADDED[:3]), T.StructField(_ADDED[3], T.StringType())])
