@@ -214,3 +214,16 @@ def test_dataframe_haplotypes(spark):
     assert [r.read_ord for r in haplotypes.ordered(df, ["g"]).orderBy("rank").collect()] == [0, 1, 2]
     (s,) = haplotypes.sum_parts(df, ["g"], "size", "kfeat", 2).collect()
     assert (s["size"], s.n, s.kfeat) == (50, 3, [2.0, -1.0])
+
+
+def test_alike_reads_count_as_weights():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        kinds = rng.integers(0, 9, (int(rng.integers(1, 5)), 4)).astype(np.float32)
+        haps = [hap(int(k) + 1, kinds[k], hp=int(rng.integers(1, 3)) if k else None) for k in rng.integers(0, len(kinds), 12)]
+        first, which = cluster.distinct(haps)
+        assert all(haps[first[w]].hp == h.hp and (haps[first[w]].kfeat == h.kfeat).all() for w, h in zip(which, haps, strict=True))
+        if len(first) > 1:
+            whole = cluster.distances(np.stack([h.kfeat for h in haps]), 1)
+            few = whole[np.ix_(first, first)]
+            assert cluster.two_medoids(few, np.bincount(which))[2] == pytest.approx(cluster.two_medoids(whole)[2], abs=1e-4)

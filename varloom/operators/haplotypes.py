@@ -124,7 +124,8 @@ class Haplotype:
 
 
 def build_haplotypes(reads: Iterable[tuple], k: int, longest: int) -> tuple[list[Haplotype], int]:
-    """(haplotypes, coverage) of (ps, hp, pileups) in read order; the phase set is the first one seen."""
+    """(haplotypes, coverage) of (ps, hp, [(position, size, indel, sequence)]) in read order; the phase set is the
+    first one seen. Each distinct pileup is counted into k-mers once."""
     rows = list(reads)
     ps = next((r[0] for r in rows if r[0] is not None), None)
     known: dict[tuple, tuple[int, np.ndarray]] = {}
@@ -134,9 +135,10 @@ def build_haplotypes(reads: Iterable[tuple], k: int, longest: int) -> tuple[list
             continue
         parts = []
         for v in pileups:
-            name = (v["position"], v["size"], v["indel"], v["sequence"] if v["indel"] == "Ins" else None)
+            position, size, indel, sequence = v
+            name = (position, size, indel, sequence if indel == "Ins" else None)
             if name not in known:
-                known[name] = (v["size"], kmer_counts((v["sequence"] or "").encode(), k, v["indel"] == "Del", longest))
+                known[name] = (size, kmer_counts((sequence or "").encode(), k, indel == "Del", longest))
             parts.append(known[name])
         feature = np.sum([f for _, f in parts], axis=0, dtype=np.float32)
         out.append(Haplotype(sum(s for s, _ in parts), len(parts), 1, feature, parts, 0, ps, hp))

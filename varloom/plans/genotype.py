@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,29 +20,32 @@ def find_paths(nodes: DataFrame, spanning: DataFrame, p: GenotypeParams) -> Data
     by one shuffle on (chrom, ne).
     """
 
-    def trace(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    import pyarrow as pa
+
+    def trace(left, right):
         if not len(left):
-            return pd.DataFrame(columns=["chrom", "ne", "coverage", "paths"])
-        left, right = left.sort_values("node"), right.sort_values("read_ord")
-        rows = [
-            (None if pd.isna(ps) else int(ps), None if pd.isna(hp) else int(hp), list(v) if v is not None else [])
-            for ps, hp, v in zip(right["ps"], right["hp"], right["pileups"], strict=True)
-        ]
+            return pa.table({n: pa.array([], k) for n, k in kinds.items()})
+        left, right = left.sort_by("node").to_pydict(), right.sort_by("read_ord").combine_chunks()
+        lists = right.column("pileups").combine_chunks() if len(right) else pa.array([], pa.list_(pa.null()))
+        values = lists.flatten()
+        items = list(zip(*(values.field(n).to_pylist() for n in ("position", "size", "indel", "sequence")), strict=True)) if len(values) else []
+        cut = np.concatenate([[0], np.cumsum([n or 0 for n in lists.value_lengths().to_pylist()])]).astype(int).tolist()
+        rows = [(ps, hp, items[a:b]) for ps, hp, a, b in zip(right.column("ps").to_pylist(), right.column("hp").to_pylist(), cut[:-1], cut[1:], strict=True)]
         haps, cov = haplotypes.build_haplotypes(rows, p.kmer, p.maxhom)
-        ploidy = left["ploidy"].iloc[0]
-        haps = cluster.haploid(haps) if ploidy == "Haploid" else cluster.diploid(haps, cov, p)
-        graph = [
-            pathsearch.Node(int(r.node), int(r.start), int(r.end), int(r.delta), kmer_counts(r.alt[1:].encode(), p.kmer, longest=p.maxhom) - kmer_counts(r.ref[1:].encode(), p.kmer, longest=p.maxhom))
-            for r in left.itertuples()
-        ]
+        haps = cluster.haploid(haps) if left["ploidy"][0] == "Haploid" else cluster.diploid(haps, cov, p)
+        count = lambda seq: kmer_counts(seq[1:].encode(), p.kmer, longest=p.maxhom)
+        columns = (left[n] for n in ("node", "start", "end", "delta", "ref", "alt"))
+        graph = [pathsearch.Node(n, s, e, d, count(alt) - count(ref)) for n, s, e, d, ref, alt in zip(*columns, strict=True)]
         got = [
             {"score": float(f.score), "sizesim": float(f.sizesim), "seqsim": float(f.seqsim), "path": list(f.path), "full_target": bool(f.full_target), "coverage": int(f.coverage), "ps": f.ps, "hp": f.hp}
             for f in pathsearch.paths_of(graph, haps, p)
         ]
-        return pd.DataFrame({"chrom": [left["chrom"].iloc[0]], "ne": [np.int64(left["ne"].iloc[0])], "coverage": [cov], "paths": [got]})
+        return pa.table({"chrom": pa.array([left["chrom"][0]], pa.string()), "ne": pa.array([left["ne"][0]], pa.int64()), "coverage": pa.array([cov], pa.int64()), "paths": pa.array([got], kinds["paths"])})
 
+    path = [("score", pa.float32()), ("sizesim", pa.float32()), ("seqsim", pa.float32()), ("path", pa.list_(pa.int32())), ("full_target", pa.bool_()), ("coverage", pa.int64()), ("ps", pa.int64()), ("hp", pa.int32())]
+    kinds = {"chrom": pa.string(), "ne": pa.int64(), "coverage": pa.int64(), "paths": pa.list_(pa.struct(path))}
     spanning = spanning.select(*[F.col(c).alias(c) for c in spanning.columns])  # both sides may come from one table
-    return nodes.groupBy("chrom", "ne").cogroup(spanning.groupBy("chrom", "ne")).applyInPandas(trace, FOUND)
+    return nodes.groupBy("chrom", "ne").cogroup(spanning.groupBy("chrom", "ne")).applyInArrow(trace, FOUND)
 
 
 def genotype(records: DataFrame, reads: DataFrame, regions: DataFrame, p: GenotypeParams, ploidy: DataFrame | None = None, reference: DataFrame | None = None, chunk: int = 1 << 16) -> DataFrame:
