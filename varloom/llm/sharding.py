@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 HASH_BITS = 60
-_STEP = 6
+_STEP = 5
 
 
 def key_hash(key: Column) -> Column:
@@ -47,7 +47,7 @@ def directory(sized: DataFrame, limit: int) -> tuple[DataFrame, int]:
     level = level.withColumn("prefix", F.expr(f"shiftright(cell, {bits} - depth)"))
     sums = level.groupBy("depth", "prefix").agg(F.sum("b").alias("shard_bytes"), F.sum("keys").alias("keys"))
     fits = sums.where((F.col("shard_bytes") <= limit) | (F.col("keys") == 1) | (F.col("depth") == bits))
-    hit = level.join(fits.select("depth", "prefix", "shard_bytes"), ["depth", "prefix"])
+    hit = level.join(fits.select("depth", "prefix", "shard_bytes").hint("merge"), ["depth", "prefix"])
     best = hit.groupBy("cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes")).alias("s"))
     return written(best.select("cell", "s.depth", "s.prefix", "s.shard_bytes"), "directory"), bits
 
@@ -61,7 +61,8 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limi
     cells, bits = directory(sized, limit)
     placed = rows.withColumn("__cell", F.shiftright(F.col(spare)["h"], HASH_BITS - bits))
     cells = cells.select(F.col("cell").alias("__cell"), F.struct("prefix", "depth", "shard_bytes").alias("__dir"))
-    placed = placed.join(cells, "__cell")
+    # the directory grows with the input, so it is shuffled and never broadcast; cells are even, being hash bits
+    placed = placed.join(cells.hint("merge"), "__cell")
     page = F.lit(0).cast("long")
     if not cells.where(F.col("__dir.shard_bytes") > limit).isEmpty():
         placed, page = _pages(placed, spare, limit)
