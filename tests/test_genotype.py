@@ -1,4 +1,6 @@
 import random
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pytest
@@ -8,7 +10,7 @@ from varloom import cli
 from varloom.operators import annotate, cluster, haplotypes, pathsearch, pileup, variants
 from varloom.operators.haplotypes import Haplotype
 from varloom.params import GenotypeParams, PileupParams
-from varloom.plans import genotype
+from varloom.plans import genotype, table_queries
 from varloom.sources import text
 
 P = GenotypeParams(neighdist=100, sizemin=10)
@@ -227,3 +229,28 @@ def test_alike_reads_count_as_weights():
             whole = cluster.distances(np.stack([h.kfeat for h in haps]), 1)
             few = whole[np.ix_(first, first)]
             assert cluster.two_medoids(few, np.bincount(which))[2] == pytest.approx(cluster.two_medoids(whole)[2], abs=1e-4)
+
+
+def test_partial_sizes_of_many_parts(spark):
+    """Keys of 1 to 40 parts against brute force; 2**40 masks could not be made."""
+    parts = {m: [(7 * i + m) % 11 for i in range(m)] for m in (1, 2, 3, 4, 5, 13, 24, 40)}
+    df = spark.createDataFrame([(m, i, x) for m, xs in parts.items() for i, x in enumerate(xs)], "k int, i int, size long")
+    got = sorted((r.k, r.partial, r.total) for r in haplotypes.partial_sizes(df, ["k"], "size", "i", 3, 100).collect())
+    want = [(m, n, sum(xs) - sum(out)) for m, xs in parts.items() for n in range(4) if n < m for out in combinations(xs, n)]
+    assert got == sorted(want)
+    alone = haplotypes.partial_sizes(df, ["k"], "size", "i", 3, 24).where("k >= 24").collect()
+    assert sorted((r.k, r.partial, r.total) for r in alone) == [(m, 0, sum(parts[m])) for m in (24, 40)]
+
+
+def test_partial_haplotypes_of_every_customer(spark):
+    sf = "/root/testdata/sf0.001"
+    keys: dict = {}
+    for r in spark.read.parquet(f"{sf}/orders.parquet").collect():
+        keys.setdefault(r.o_custkey, []).append(r.o_orderkey % 50)
+    want = {}
+    for k, xs in keys.items():
+        for n in range(4):
+            if n < len(xs):
+                want[k, n] = (comb(len(xs), n), sum(sum(xs) - sum(out) for out in combinations(xs, n)))
+    got = {(r.o_custkey, r.partial): (r.n, r.total) for r in table_queries.partial_haplotypes_whole(spark, sf).collect()}
+    assert max(map(len, keys.values())) > 12 and got == want

@@ -81,14 +81,19 @@ def haploid_mode(haps: DataFrame, key: list[str], order: str = "read_ord") -> Da
 
 def partial_sizes(parts: DataFrame, key: list[str], size: str, order: str, fnmax: int, pileupmax: int) -> DataFrame:
     """(key, m, partial, total): the summed size of every subset of a key's m parts that leaves out at most fnmax
-    (none of all), as bit masks; a key of pileupmax parts or more has its whole sum only."""
+    (none of all); a key of pileupmax parts or more has its whole sum only.
+
+    Only those subsets are made: the parts left out are chosen in ascending order, and m stands for none.
+    """
     whole = parts.groupBy(*key).agg(F.count("*").alias("m"), F.array_sort(F.collect_list(F.struct(order, size))).alias("ps"))
-    small = whole.where(F.col("m") < pileupmax).withColumn("mask", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("shiftleft(1L, cast(m as int)) - 1"))))
-    bits = F.bit_count("mask")
-    small = small.where(bits >= F.when(F.col("m") <= fnmax, 1).otherwise(F.col("m") - fnmax))
-    on = F.transform("ps", lambda x, i: F.when(F.expr("mask").bitwiseAND(F.pow(F.lit(2), i).cast("long")) != 0, x[size]).otherwise(0))
+    small = whole.where(F.col("m") < pileupmax).withColumns({"__last": F.lit(-1).cast("long"), "__out": F.array().cast("array<long>")})
+    for _ in range(fnmax):
+        small = small.withColumn("__last", F.explode(F.sequence(F.least(F.col("__last") + 1, "m"), "m")))
+        small = small.withColumn("__out", F.when(F.col("__last") < F.col("m"), F.array_append("__out", F.col("__last"))).otherwise(F.col("__out")))
+    partial = F.size("__out").cast("long")
+    on = F.transform("ps", lambda x, i: F.when(F.array_contains("__out", i.cast("long")), 0).otherwise(x[size]))
     add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    out = small.select(*key, "m", (F.col("m") - F.bit_count("mask")).alias("partial"), add(on).alias("total"))
+    out = small.where(partial < F.col("m")).select(*key, "m", partial.alias("partial"), add(on).alias("total"))
     large = whole.where(F.col("m") >= pileupmax).select(*key, "m", F.lit(0).cast("long").alias("partial"), add(F.transform("ps", lambda x: x[size])).alias("total"))
     return out.unionByName(large)
 

@@ -445,6 +445,15 @@ def partial_haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subsets.where("m <= 12").groupBy("o_custkey", "partial").agg(F.count("*").alias("n"), F.sum("total").alias("total"))
 
 
+@query()
+def partial_haplotypes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """partial_haplotypes of every key, with the genotyper's own bounds; its SQL's 2**m masks would not do for these."""
+    p = GenotypeParams()
+    rows = table(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderkey") % 50).alias("size"), F.col("o_orderkey").alias("i"))
+    subsets = haplotypes.partial_sizes(rows, ["o_custkey"], "size", "i", fnmax=p.fnmax, pileupmax=p.pileupmax)
+    return subsets.groupBy("o_custkey", "partial").agg(F.count("*").alias("n"), F.sum("total").alias("total"))
+
+
 @query("""
 SELECT 'NATION_' || s_nationkey || chr(9) || (s_suppkey + 1) || chr(9) || s_name || chr(9) || 'A' || chr(9) || 'AC' || chr(9) || '.' || chr(9) || CASE WHEN s_suppkey % 2 = 0 THEN 'PASS' ELSE '.' END || chr(9) || '.'
   || chr(9) || 'GT:FT:SQ:GQ:PS:NE:DP:AD:KS' || chr(9) || './.:0:0:0:.:0:0:.:.' AS line FROM supplier""")
