@@ -58,6 +58,19 @@ def test_blocks_follow_aliases_and_allow_goes_first(spark):
     assert rows(url_filter.judge_urls(df.limit(0), URL_RULES)) == []
 
 
+def test_every_link_of_a_page_is_an_edge(spark):
+    refresh = lambda to: f'<meta http-equiv="refresh" content="0; url={to}">'
+    pages = [
+        page(0, "http://a.org/1", canonical("http://a.org/1") + refresh("http://b.net/es/x")),  # self-canonical, redirects to a blocked address
+        page(1, "http://a.org/2", canonical("http://b.net/es/y") + refresh("http://e.com/ok")),
+        page(2, "http://a.org/3", canonical("http://a.org/3") + canonical("http://b.net/fr/z")),
+        page(3, "http://a.org/4", refresh("http://a.org/4") + refresh("http://b.net/fr/q?a=1&amp;b=2")), page(4, "http://a.org/5", canonical("http://a.org/5") + canonical("") + refresh("")), page(5, "http://a.org/6", ""),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, host string")
+    got = {r.page_id: (r.verdict, r.class_id) for r in url_filter.judge_urls(df, URL_RULES).collect()}
+    assert got == {0: ("block", "a.org/1"), 1: ("allow", "a.org/2"), 2: ("block", "a.org/3"), 3: ("block", "a.org/4"), 4: ("allow", None), 5: ("allow", None)}
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(5)
     for n, m in ((40, 25), (60, 80), (30, 0)):

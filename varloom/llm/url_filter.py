@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import written
 from .components import connected_components
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,19 +52,16 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.regexp_replace(quoted, "^[\"']", "")
 
 
-def link_target(html: Column) -> Column:
-    """The raw canonical link, else the target of a refresh redirect, else null."""
-
-    def choose(t: Column) -> Column:
-        refresh = F.regexp_extract(t["content"], "(?is)url\\s*=\\s*[\"']?([^\"']+)", 1)
-        found = let(F.trim(F.when(t["href"] != "", t["href"]).otherwise(refresh)), lambda x: F.when(x != "", x))
-        return F.replace(found, F.lit("&amp;"), F.lit("&"))
-
-    tags = F.struct(
-        _attribute(F.regexp_extract(html, "(?is)<link\\b[^>]*\\brel\\s*=\\s*[\"']?canonical\\b[^>]*>", 0), "href").alias("href"),
-        _attribute(F.regexp_extract(html, "(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b[^>]*>", 0), "content").alias("content"),
+def link_targets(html: Column) -> Column:
+    """The raw targets of all canonical links and all refresh redirects."""
+    tags = lambda pattern: F.regexp_extract_all(html, F.lit(f"(?is)({pattern}[^>]*>)"), F.lit(1))
+    canonical = F.transform(tags("<link\\b[^>]*\\brel\\s*=\\s*[\"']?canonical\\b"), lambda t: _attribute(t, "href"))
+    refresh = F.transform(
+        tags("<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b"),
+        lambda t: F.regexp_extract(_attribute(t, "content"), "(?is)url\\s*=\\s*[\"']?([^\"']+)", 1),
     )
-    return let(tags, choose)
+    found = F.transform(F.concat(canonical, refresh), lambda t: F.replace(F.trim(t), F.lit("&amp;"), F.lit("&")))
+    return F.array_distinct(F.filter(found, lambda t: t != ""))
 
 
 def _resolve(host: Column, path: Column, target: Column) -> Column:
@@ -79,8 +76,8 @@ def _resolve(host: Column, path: Column, target: Column) -> Column:
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(src, dst) addresses of the canonical and refresh links in pages."""
-    found = pages.select(F.col(url).alias("url"), link_target(F.col(html)).alias("t"))
-    found = split_url(written(found.where("t is not null"), "targets"), "url").where("__host <> ''")
+    found = pages.select(F.col(url).alias("url"), F.explode(link_targets(F.col(html))).alias("t"))
+    found = split_url(written(found, "targets"), "url").where("__host <> ''")
     src = F.concat("__host", "__path", "__query")
     found = written(found.select(src.alias("src"), _resolve(F.col("__host"), F.col("__path"), F.col("t")).alias("abs")), "resolved")
     return split_url(found, "abs").where("__host <> ''").select("src", F.concat("__host", "__path", "__query").alias("dst"))
