@@ -71,6 +71,18 @@ def test_every_link_of_a_page_is_an_edge(spark):
     assert got == {0: ("block", "a.org/1"), 1: ("allow", "a.org/2"), 2: ("block", "a.org/3"), 3: ("block", "a.org/4"), 4: ("allow", None), 5: ("allow", None)}
 
 
+def test_relative_targets_are_resolved(spark):
+    base = "http://a.org/b/c/d?q"
+    want = {
+        "g": "a.org/b/c/g", "./g": "a.org/b/c/g", "g/.": "a.org/b/c/g/", ".": "a.org/b/c/", "..": "a.org/b/", "../g": "a.org/b/g", "../../g?y#s": "a.org/g?y", "../../../g": "a.org/g", "/./g/../h": "a.org/h",
+        "g;x=1/../y": "a.org/b/c/y", "g?y/../x": "a.org/b/c/g?y/../x", "?x=1": "a.org/b/c/d?x=1", "?to=http://e.com/": "a.org/b/c/d?to=http://e.com/", "#s": "a.org/b/c/d?q", "..g": "a.org/b/c/..g", "g//h/": "a.org/b/c/g//h/",
+        "//e.com/x": "e.com/x", "https://e.com/x/../y": "e.com/x/../y",
+    }
+    for to, dst in want.items():
+        df = spark.createDataFrame([page(0, base, canonical(to))], "page_id long, url string, html string, host string")
+        assert [(r.src, r.dst) for r in url_filter.link_edges(df).collect()] == [("a.org/b/c/d?q", dst)], to
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(5)
     for n, m in ((40, 25), (60, 80), (30, 0)):

@@ -6,6 +6,7 @@ of its class of equivalent addresses (connected components over redirect and can
 explicitly allowed member makes the class allowed, else a blocked member makes it blocked; else allow.
 
 Addresses are compared as host (A-Z lower-cased), path and query: scheme and fragment name no other page.
+Dot segments of relative targets are resolved; absolute targets and the pages' own urls stay as written.
 
 Defined cases: a null url, or one without `://`, has an empty host and path, fits no rule and joins no
 class; null or empty html has no links; repeated urls share a verdict, repeated rows are all returned; an
@@ -64,13 +65,26 @@ def link_targets(html: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda t: t != ""))
 
 
-def _resolve(host: Column, path: Column, target: Column) -> Column:
+def _without_dots(path: Column) -> Column:
+    """A path that starts with `/`, its `.` and `..` segments resolved."""
+    parts = F.split(F.substring(path, 2, 1 << 30), "/")
+    up = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when(x == "..", up(a)).otherwise(F.array_append(a, x)))
+    ended = F.when(F.element_at(parts, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    return F.concat(F.lit("/"), F.array_join(ended, "/"))
+
+
+def _resolve(host: Column, path: Column, query: Column, target: Column) -> Column:
     """An absolute address of a target as found in a page."""
+    own, rest = F.regexp_extract(target, "^[^?#]*", 0), F.regexp_extract(target, "^[^?#]*((?s).*)", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_replace(path, "[^/]*$", ""))
+    here = F.concat(F.lit("http://"), host)
     return (
-        F.when(target.contains("://"), target)
+        F.when(target.startswith("#"), F.concat(here, path, query))
+        .when(target.startswith("?"), F.concat(here, path, target))
+        .when(own.contains("://"), target)
         .when(target.startswith("//"), F.concat(F.lit("http:"), target))
-        .when(target.startswith("/"), F.concat(F.lit("http://"), host, target))
-        .otherwise(F.concat(F.lit("http://"), host, F.when(path == "", "/").otherwise(F.regexp_replace(path, "[^/]*$", "")), target))
+        .otherwise(F.concat(here, _without_dots(F.when(target.startswith("/"), own).otherwise(F.concat(folder, own))), rest))
     )
 
 
@@ -79,7 +93,7 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     found = pages.select(F.col(url).alias("url"), F.explode(link_targets(F.col(html))).alias("t"))
     found = split_url(written(found, "targets"), "url").where("__host <> ''")
     src = F.concat("__host", "__path", "__query")
-    found = written(found.select(src.alias("src"), _resolve(F.col("__host"), F.col("__path"), F.col("t")).alias("abs")), "resolved")
+    found = written(found.select(src.alias("src"), _resolve(F.col("__host"), F.col("__path"), F.col("__query"), F.col("t")).alias("abs")), "resolved")
     return split_url(found, "abs").where("__host <> ''").select("src", F.concat("__host", "__path", "__query").alias("dst"))
 
 
