@@ -45,6 +45,17 @@ def test_full_genotypes_are_what_was_planted(spark):
     assert len(single) == len(rows)
 
 
+def test_kmers_of_whole_texts(spark):
+    want, outside = {}, 0
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        raw = (r.text or "").encode()
+        outside += any(not 32 <= b < 127 for b in raw)
+        for i in range(len(raw) - 2):
+            kmer = sum(max("AGCT".find(chr(b)), 0) * 4 ** (2 - j) for j, b in enumerate(raw[i : i + 3].upper()))
+            want[r.item_id, kmer] = want.get((r.item_id, kmer), 0) + 1
+    assert outside and {(r.item_id, r.kmer): r.n for r in table_queries.kmer_counts_whole(spark, SF).collect()} == want
+
+
 def test_entry_has_rows(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -235,6 +235,13 @@ def kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("n > 0").select("item_id", "kmer", F.col("n").cast("long").alias("n"))
 
 
+@query()
+def kmer_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kmer_counts over the bytes of the whole texts; its SQL knows characters only."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(sequences.kmer_udf(3)(F.col("text"))).alias("kmer", "n"))
+    return rows.where("n > 0").select("item_id", "kmer", F.col("n").cast("long").alias("n"))
+
+
 @query(f"""
 WITH b AS (SELECT n_nationkey, {_digits('n_name')} AS d FROM nation), k AS (SELECT n_nationkey, substr(d, unnest(range(1, length(d))), 2) AS s FROM b)
 SELECT n_nationkey, (substr(s, 1, 1)::INT * 4 + substr(s, 2, 1)::INT)::INT AS kmer, count(*) AS n FROM k GROUP BY ALL""")
