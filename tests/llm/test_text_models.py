@@ -1,5 +1,6 @@
 """Language ID, token files, SentencePiece and decontamination."""
 
+import hashlib
 import random
 import zlib
 
@@ -134,6 +135,15 @@ def test_leaks_against_sellers():
     assert 10 < hits < 40
 
 
+def test_items_beyond_18_bits_are_found_under_their_own_number():
+    texts = [hashlib.md5(str(k).encode()).hexdigest()[:12] for k in range((1 << 18) + 10)]
+    items = decontaminate.Items(list(range(len(texts))), texts, decontaminate.LeakParams())
+    docs = ["nothing", f"x {texts[-1]} y", f"{texts[5]} {texts[1 << 18]}"]
+    raw = [d.encode() for d in docs]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw])
+    assert [(d, k, x) for d, k, x, _ in items.leaks(data, off)] == [(1, len(texts) - 1, 0), (2, 5, 0), (2, 1 << 18, 0)]
+
+
 def test_find_and_drop_leaks(spark):
     item = "the quick brown fox jumps over the lazy dog and runs into the deep dark forest at night"
     docs = [(1, "A " + item.upper().replace(" ", "\n") + " b", "k"), (2, item[:60], "k"), (3, None, None), (4, "", "k"), (None, item, "k"), (6, "x" * 100_000 + item[:40] + "zz" + item[41:], "k"), (7, "a tiny b", "k"), (7, "a tiny b", "k")]

@@ -31,7 +31,6 @@ from .common import blocks, eight_bytes, text_buffers, written
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32
-_CELL_BITS, _ITEM_BITS = 26, 18
 _OUTSIDE = np.uint8(255)  # in no UTF-8 text
 
 
@@ -90,18 +89,22 @@ class Items:
         doc, i, item, j = self.hits(data, off)
         width = self.edits[item] + 1
         cell = (i - j + self.m[item]) // width  # diagonals start at -m
-        key = np.sort((doc << _ITEM_BITS | item) << _CELL_BITS | cell)
+        # as many bits as this part's items and this block's cells take; the last cell stays free, so that a band ends there
+        item_bits, cell_bits = len(self.m).bit_length(), int(cell.max(initial=0) + 1).bit_length()
+        if int(doc.max(initial=0)).bit_length() + item_bits + cell_bits > 63:
+            raise OverflowError(f"{len(self.m)} items and {len(off) - 1} documents do not fit a band key")
+        key = np.sort((doc << item_bits | item) << cell_bits | cell)
         head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         cells, n = key[head], np.diff(np.append(head, len(key)))
         # the band of a cell and the next one; a lone second cell is also the band that starts before it
         after = np.zeros(len(cells), np.int64)
         if len(cells) > 1:
             after[:-1] = np.where(cells[1:] == cells[:-1] + 1, n[1:], 0)
-        it = cells >> _CELL_BITS & (1 << _ITEM_BITS) - 1
+        it = cells >> cell_bits & (1 << item_bits) - 1
         ok = n + after >= self.need[it]
         cells, it = cells[ok], it[ok]
-        first = (cells & (1 << _CELL_BITS) - 1) * (self.edits[it] + 1) - self.m[it]
-        return cells >> _CELL_BITS + _ITEM_BITS, it, first
+        first = (cells & (1 << cell_bits) - 1) * (self.edits[it] + 1) - self.m[it]
+        return cells >> cell_bits + item_bits, it, first
 
     def align(self, item: int, data: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(edits, end in the text) of the item's best place in each text data[begin:end] within a band.
@@ -160,7 +163,7 @@ def _passes(rows: DataFrame, benchmark: DataFrame, item: str, item_text: str, p:
     """step(rows, broadcast index) for each part of the items, of about part_bytes at most. Of several parts,
     each has a pass of its own, so that no worker holds two."""
     spark = rows.sparkSession
-    items = benchmark.select(F.col(item).cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
+    items = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t")).where("t <> ''")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = total // p.part_bytes + 1
     for k in range(parts):
