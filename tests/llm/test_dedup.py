@@ -178,6 +178,24 @@ def test_keep_first(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for c in found.values()})
 
 
+def test_keep_first_tells_rows_by_id_and_text(spark):
+    rng = random.Random(3)
+    a, c, d, e, f = ([rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(300)] for _ in range(5))
+    near = lambda words, k: " ".join(words[:-1] + [f"other{k}"])
+    text = " ".join
+    rows = [
+        (1, text(a)), (1, near(a, 1)), (None, near(a, 2)),  # near copies under one id, and one without
+        (4, text(c)), (6, near(c, 1)), (6, text(d)),  # 6 names a class, but its first text belongs to 4
+        (None, text(e)), (None, near(e, 1)), (9, text(f)), (9, text(f)),
+        (7, ""), (8, None), (None, " "), (None, " "),
+    ]
+    kept = [(r.doc_id, r.text) for r in minhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    one_of = lambda *some: sum(x in some for x in kept) == 1
+    assert one_of(*rows[:2]) and one_of(*rows[6:8]) and one_of((9, text(f)))
+    rest = [x for x in kept if x not in rows[:2] + rows[6:10]]
+    assert sorted(rest, key=str) == sorted([rows[3], rows[5], *rows[10:]], key=str)
+
+
 # --- pipeline
 
 

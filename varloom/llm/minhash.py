@@ -285,11 +285,12 @@ def _forest(links: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", p: MinHashParams = MinHashParams()) -> DataFrame:
     """(doc_id, class_id, n_links): n_links counts the texts verified as links of the document's text that
     closed its class; 0 for a text without near copies."""
-    return _classed(docs, key, text, p, Scratch())
+    return _classed(docs, key, text, p, Scratch()).select("doc_id", "class_id", "n_links")
 
 
 def _classed(docs: DataFrame, key: str, text: str, p: MinHashParams, scratch: Scratch) -> DataFrame:
-    """near_duplicates; the tables that the result reads stay in scratch, all others are deleted."""
+    """near_duplicates with the text's digest, a digest that stands for its class, and whether it has words; the
+    tables that the result reads stay in scratch, all others are deleted."""
     import pyarrow as pa
 
     spark, written = docs.sparkSession, scratch.written
@@ -339,12 +340,15 @@ def _classed(docs: DataFrame, key: str, text: str, p: MinHashParams, scratch: Sc
     degree = links.select(F.col("src").alias("node")).union(links.select(F.col("dst").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     member = written(classes.join(degree, "node").join(ids.select("node", F.col("doc_id").alias("least")), "node"), "member")
     names = written(member.groupBy("component").agg(F.min("least").alias("class_id")), "names")
-    named = written(member.join(names, "component").select("node", "class_id", "n_links"), "named")
+    named = written(member.join(names, "component").select("node", "component", "class_id", "n_links"), "named")
     # copies of one text without near copies share the text's smallest id; texts without words stay alone
     alone = signed.groupBy("node").agg(F.min("doc_id").alias("own_id"), F.count("bands").alias("worded"))
-    full = written(alone.join(named, "node", "left").select("node", F.when(F.col("worded") > 0, F.coalesce("class_id", "own_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
+    worded = F.col("worded") > 0
+    full = alone.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("part"), worded.alias("worded"), F.when(worded, F.coalesce("class_id", "own_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    full = written(full, "classes")
     scratch.drop(keep=(signed, full))
-    return signed.select("doc_id", "node").join(full, "node").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links")
+    # the class of a text without words is the row itself; that of a text without ids has no name
+    return signed.select("doc_id", "node").join(full, "node").select("doc_id", "node", "part", "worded", F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "n_links")
 
 
 def _left_over(stars: DataFrame, texts: DataFrame, idf, p: MinHashParams, scratch: Scratch) -> DataFrame:
@@ -383,13 +387,17 @@ def _left_over(stars: DataFrame, texts: DataFrame, idf, p: MinHashParams, scratc
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", p: MinHashParams = MinHashParams()) -> DataFrame:
-    """docs with one document of each class: the one whose id names it (one of them if that id repeats);
-    documents without an id are kept unless their class has a named one."""
+    """docs with one document of each class: one whose id names it, or one of a class without ids. Rows are told by
+    id and text, so an id may repeat with other texts; of repeated rows one is kept. Texts without words all stay."""
     scratch = Scratch()
     found = written(_classed(docs, key, text, p, scratch), "classed")
     scratch.drop()
-    first = written(found.where("class_id is null or doc_id = class_id").groupBy(F.col("doc_id").alias("__first")).agg(F.count("*").alias("n")), "first")
-    once = docs.join(first.hint("merge"), docs[key].cast("long").eqNullSafe(first["__first"]), "left_semi")
-    if first.where("n > 1").isEmpty():
-        return once
-    return once.withColumn("__md5", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).dropDuplicates([key, "__md5"]).drop("__md5")
+    first = found.where("class_id <=> doc_id").groupBy("part", "class_id").agg(F.min("node").alias("__node"), F.first("worded").alias("worded"), F.count("*").alias("n"))
+    first = written(first.select(F.col("class_id").alias("__first"), "__node", (F.col("worded") & (F.col("n") > 1)).alias("__again")), "first")
+    node = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    same = docs[key].cast("long").eqNullSafe(first["__first"]) & (node == first["__node"])
+    if first.where("__again").isEmpty():
+        return docs.join(first.hint("merge"), same, "left_semi")
+    kept = docs.join(first.hint("merge"), same)
+    again = kept.where("__again").dropDuplicates(["__first", "__node"])
+    return kept.where("not __again").unionByName(again).select(*docs.columns)
