@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from varloom import cli
-from varloom.operators import annotate, cluster, haplotypes, pathsearch, pileup, variants
+from varloom.operators import annotate, cluster, haplotypes, intervals, pathsearch, pileup, variants
 from varloom.operators.haplotypes import Haplotype
 from varloom.params import GenotypeParams, PileupParams
 from varloom.plans import genotype, table_queries
@@ -79,8 +79,6 @@ def test_regions_ploidy_and_modes(spark, files):
     fasta = text.read_fasta(spark, f"{files}/ref.fa", 512)
     (files / "p.bed").write_text("chr1\t1000\t2000\t1\nchr1\t3000\t3500\t0\n")
     (files / "r.bed").write_text("chr1\t0\t4000\nchr9\t0\t10\n")
-    from varloom.operators import intervals
-
     regions = intervals.bed_regions(contigs, text.read_bed(spark, f"{files}/r.bed"))
     for p in (P, GenotypeParams(neighdist=100, sizemin=10, one_to_one=True)):
         done = genotype.genotype(records, reads, regions, p, text.read_ploidy(spark, f"{files}/p.bed"), fasta, 512)
@@ -167,36 +165,84 @@ def test_diploid_and_haploid():
     assert cluster.majority_tag([1, 2]) == 1 and cluster.majority_tag([None, 2]) == 2 and cluster.majority_tag([None]) is None
 
 
-def test_partial_haplotypes():
+def test_forms_of_a_haplotype():
     parts = [(10, np.ones(4, np.float32)), (20, np.ones(4, np.float32) * 2), (30, np.ones(4, np.float32) * 3)]
     h = Haplotype(60, 3, 5, np.ones(4, np.float32) * 6, parts)
-    got = [(x.size, x.n, x.partial) for x in h.partials(3, 100)]
-    assert got == [(60, 3, 0), (30, 2, 1), (40, 2, 1), (50, 2, 1), (10, 1, 2), (20, 1, 2), (30, 1, 2)]
-    assert h.partials(3, 3) == [h] and [x.n for x in h.partials(1, 100)] == [3, 2, 2, 2]
+
+    def forms(**kw):
+        f = pathsearch.Forms(h, GenotypeParams(**kw))
+        return sorted(zip(f.size.tolist(), f.n.tolist(), f.missing.tolist(), f.features(np.arange(len(f.size)))[:, 0].tolist(), strict=True))
+
+    assert forms() == sorted([(60, 3, 0, 6.0), (30, 2, 1, 3.0), (40, 2, 1, 4.0), (50, 2, 1, 5.0), (10, 1, 2, 1.0), (20, 1, 2, 2.0), (30, 1, 2, 3.0)])
+    assert forms(pileupmax=3) == [(60, 3, 0, 6.0)] and [f[1] for f in forms(fnmax=1)] == [2, 2, 2, 3]
+
+
+def plain_score(variants, path, h, p):
+    """The score of one path, form by form, from the definition."""
+    best, m = 0.0, len(h.parts)
+    size, feature = sum(variants[i - 1][2] for i in path), np.sum([variants[i - 1][3] for i in path], axis=0) if path else np.zeros(4)
+    for left in range(0, min(p.fnmax, m - 1) + 1 if m < p.pileupmax else 1):
+        for some in combinations(h.parts, m - left):
+            s, f = sum(x for x, _ in some), np.sum([k for _, k in some], axis=0)
+            if (s > 0) - (s < 0) != (size > 0) - (size < 0):
+                continue
+            ratio = 1 if abs(s) == abs(size) else max(min(abs(s), abs(size)), 1) / max(abs(s), abs(size), 1)
+            use = np.abs(f) + np.abs(feature) >= p.minkfreq
+            total = (np.abs(f) + np.abs(feature))[use].sum()
+            alike = 1 - np.abs(f - feature)[use].sum() / total if total else 0
+            if ratio >= p.sizesim and alike >= p.seqsim:
+                best = max(best, (ratio + alike) / 2 - p.fpenalty * left - p.gpenalty * (len(path) - 1 if p.squish else abs(m - left - len(path))))
+    return best
 
 
 def test_path_search_against_all_paths():
     rng = np.random.default_rng(9)
-    p = GenotypeParams(kmer=1, sizesim=0.1, seqsim=0.1, minkfreq=1)
-    for _ in range(30):
-        nodes = []
-        for i in range(int(rng.integers(1, 6))):
-            s = int(rng.integers(0, 100))
-            nodes.append(pathsearch.Node(i + 1, s, s + int(rng.integers(1, 30)), int(rng.integers(-60, 60)), rng.integers(-9, 9, 4).astype(np.float32)))
-        nodes.sort(key=lambda n: n.start)
-        for i, n in enumerate(nodes):
-            n.number = i + 1
+    found = 0
+    for trial in range(60):
+        p = GenotypeParams(kmer=1, sizesim=0.1, seqsim=0.1, minkfreq=1, squish=trial % 3 == 0, fnmax=trial % 4, one_to_one=trial % 5 == 0)
+        variants = sorted((s, s + int(rng.integers(1, 30)), int(rng.integers(-60, 60)), rng.integers(-9, 9, 4).astype(np.float32)) for s in rng.integers(0, 100, int(rng.integers(1, 6))).tolist())
         parts = [(int(rng.integers(-60, 60)), rng.integers(-9, 9, 4).astype(np.float32)) for _ in range(int(rng.integers(1, 4)))]
-        h = Haplotype(sum(s for s, _ in parts), len(parts), 3, np.sum([k for _, k in parts], axis=0), parts)
-        after = pathsearch.successors(nodes)
-        paths, todo = [], [[]]
-        while todo:
-            path = todo.pop()
-            paths.append(path)
-            todo += [[*path, i] for i in after[path[-1] if path else 0]]
-        want = max(pathsearch.score_path([nodes[i - 1] for i in x], sum(nodes[i - 1].size for i in x), h.partials(3, 100), h, p).score for x in paths)
-        assert pathsearch.best_path(nodes, h, p).score == want
-        assert pathsearch.one_to_one(nodes, h, p).score <= want + 1
+        h = Haplotype(sum(s for s, _ in parts), len(parts), 3, np.sum([k for _, k in parts], axis=0), parts, 5, 1)
+        paths = [(i + 1,) for i in range(len(variants))]
+        whole = h if not p.one_to_one else Haplotype(h.size, h.n, 3, h.kfeat, [(h.size, h.kfeat)])
+        if not p.one_to_one:
+            apart = lambda path: all(max(variants[i - 1][0], variants[j - 1][0]) >= min(variants[i - 1][1], variants[j - 1][1]) for i, j in zip(path[:-1], path[1:], strict=True))
+            paths = [c for k in range(len(variants) + 1) for c in combinations(range(1, len(variants) + 1), k) if apart(c)]
+        scores = {c: plain_score(variants, c, whole, p) if not p.one_to_one else plain_score(variants, c, whole, GenotypeParams(**{**p.__dict__, "gpenalty": 0.0})) - p.gpenalty * (0 if p.squish else abs(h.n - 1)) for c in paths}
+        got = pathsearch.paths_of(pathsearch.Graph(*map(list, zip(*variants, strict=True))), [h], p)
+        want = max(scores.values())
+        if got:
+            found += 1
+            assert got[0]["score"] == pytest.approx(want, abs=1e-5) and scores[tuple(got[0]["path"])] == pytest.approx(want, abs=1e-5)
+            assert (got[0]["coverage"], got[0]["ps"], got[0]["hp"]) == (3, 5, 1)
+        else:
+            assert want <= 0
+    assert found > 20
+
+
+def test_search_stops_and_later_paths_win_ties():
+    one = np.ones(4, np.float32)
+    graph = pathsearch.Graph([0, 5, 9], [1, 6, 10], [50, 50, 50], [one, one, one])
+    h = Haplotype(50, 1, 2, one, [(50, one)])
+    p = GenotypeParams(kmer=1)
+    assert pathsearch.paths_of(graph, [h], p)[0]["path"] == [3]
+    assert pathsearch.nearest_paths(graph, graph.after(), 50, 2) == [(), (1,)]
+    few = GenotypeParams(kmer=1, maxpaths=2)
+    assert pathsearch.paths_of(graph, [h], few)[0]["path"] == [2]
+    tags = [Haplotype(50, 1, 2, one, [(50, one)], None, t) for t in (1, None, 2)]
+    assert [f["hp"] for f in pathsearch.paths_of(graph, tags, p)] == [2, None, 1]
+
+
+def test_swapped_medoids_agree_with_all_pairs():
+    rng = np.random.default_rng(3)
+    for _ in range(10):
+        centre = rng.integers(0, 30, (2, 16))
+        points = np.concatenate([rng.poisson(centre[k], (int(rng.integers(5, 40)), 16)) for k in (0, 1)]).astype(np.float32)
+        d = cluster.distances(points, 1)
+        np.fill_diagonal(d, 0)
+        w = rng.integers(1, 4, len(points))
+        exact, swapped = cluster.two_medoids(d, w), cluster.two_medoids(d, w, exact=0)
+        assert exact[0] == swapped[0] and exact[2] == pytest.approx(swapped[2])
 
 
 def test_annotation_without_paths_and_order(spark):
@@ -204,8 +250,18 @@ def test_annotation_without_paths_and_order(spark):
     found = spark.createDataFrame([("c", 0, "Unset", 0, [])], f"chrom string, ne long, ploidy string, coverage long, paths {annotate.PATHS}")
     (r,) = annotate.annotate(v, found).collect()
     assert (r.gt, r.ft, r.sq, r.gq, r.dp, r.ad, r.ks, r.alt) == ("./.", 30, 5, 0, 0, [0, 0], [], "AC")
-    scores = [pathsearch.PathScore(hp=h) for h in (1, None, 2)]
-    assert [s.hp for s in sorted(scores, key=lambda f: {2: 0, None: 1}.get(f.hp, 2))] == [2, None, 1]
+
+
+def test_spanning_counts_equal_pairs(spark):
+    rng = random.Random(5)
+    spans = [(rng.choice("ab"), s, s + rng.randint(0, 30)) for s in (rng.randint(-20, 60) for _ in range(200))]
+    points = [(i, rng.choice("abc"), rng.randint(-10, 60)) for i in range(80)]
+    left, right = spark.createDataFrame(points, "i int, c string, p long"), spark.createDataFrame(spans, "c string, s long, e long")
+    for length in (0, 7):
+        got = {r.i: r.n for r in intervals.spanning_counts(left, right, "c", "p", length, "s", "e", 16).collect()}
+        assert got == {i: sum(c == x and s < p and e > p + length for x, s, e in spans) for i, c, p in points}
+    assert intervals.spanning_counts(left.limit(0), right, "c", "p", 1, "s", "e", 16).count() == 0
+    assert [r.n for r in intervals.spanning_counts(left, right.limit(0), "c", "p", 1, "s", "e", 16).collect()] == [0] * 80
 
 
 def test_dataframe_haplotypes(spark):
@@ -252,5 +308,5 @@ def test_partial_haplotypes_of_every_customer(spark):
         for n in range(4):
             if n < len(xs):
                 want[k, n] = (comb(len(xs), n), sum(sum(xs) - sum(out) for out in combinations(xs, n)))
-    got = {(r.o_custkey, r.partial): (r.n, r.total) for r in table_queries.partial_haplotypes_whole(spark, sf).collect()}
+    got = {(r.o_custkey, r.partial): (r.n, r.total) for r in table_queries.partial_haplotypes(spark, sf).collect()}
     assert max(map(len, keys.values())) > 12 and got == want

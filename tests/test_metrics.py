@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from varloom.functions import metrics, sequences
+from varloom.functions import metrics, sequences, vectors
 from varloom.operators import cluster
 
 # ref, alt, state, gq, sq
@@ -59,7 +59,7 @@ def test_seqsim(spark):
     for x, y, mink, want in cases:
         df = spark.createDataFrame([(x.tolist(), y.tolist())], "a array<float>, b array<float>")
         assert df.select(metrics.seqsim(F.col("a"), F.col("b"), mink)).first()[0] == pytest.approx(want, abs=1e-6)
-        assert cluster.similarity(x, y, mink) == pytest.approx(want, abs=1e-6)
+        assert 1 - vectors.distances_of(x, y, mink) == pytest.approx(want, abs=1e-6)
         assert cluster.distances(np.stack([x, y]), mink)[0, 1] == pytest.approx(1 - want, abs=1e-6)
 
 
@@ -67,7 +67,7 @@ def test_sizesim_and_overlap(spark):
     df = spark.createDataFrame([(0, 0, 1.0), (0, 50, 0.02), (90, 100, 0.9), (7, 7, 1.0), (-90, 100, 0.9)], "a int, b int, w double")
     for row in df.select(metrics.sizesim(F.col("a"), F.col("b")).alias("g"), "w", "a", "b").collect():
         assert row.g == pytest.approx(row.w)
-        assert cluster.size_similarity(row.a, row.b) == pytest.approx(row.w)
+        assert vectors.size_ratios(row.a, row.b) == pytest.approx(row.w)
     df = spark.createDataFrame([(0, 5, 5, 9, False), (0, 6, 5, 9, True), (0, 0, 0, 9, False)], "a int, b int, c int, d int, w boolean")
     assert all(r.g == r.w for r in df.select(metrics.overlaps(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("g"), "w").collect())
 
@@ -76,8 +76,8 @@ def test_sizesim_and_overlap(spark):
 @given(st.lists(st.integers(-5, 5), min_size=4, max_size=4), st.lists(st.integers(-5, 5), min_size=4, max_size=4), st.integers(1, 3))
 def test_similarity_properties(a, b, mink):
     a, b = np.array(a, np.float32), np.array(b, np.float32)
-    s = cluster.similarity(a, b, mink)
-    assert s == cluster.similarity(b, a, mink)
+    s = 1 - vectors.distances_of(a, b, mink)
+    assert s == 1 - vectors.distances_of(b, a, mink)
     assert 0 <= s <= 1 and not math.isnan(s)
 
 

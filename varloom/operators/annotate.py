@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import genotype_quals, genotyper
+from ..functions.metrics import genotype_call
 
 # The filter bits.
 GT_MISMATCH, LOW_GQ, LOW_COV, LOW_SQ, LOW_ALT, PARTIAL = 0x1, 0x2, 0x4, 0x8, 0x10, 0x20
@@ -24,7 +24,7 @@ def _call(ploidy: Column, cov: Column, node: Column, paths: Column) -> Column:
     none1 = F.when(cov != 0, out("0", "Ref", zero, yes)).otherwise(out(".", "Non", zero, yes))
     none2 = F.when(cov != 0, out("0|0", "Ref", zero, yes)).otherwise(out("./.", "Non", zero, yes))
     haploid = F.when((n > 0) & has(one), out("1", "Hom", F.coalesce(one["coverage"], F.lit(0)), yes)).otherwise(none1)
-    hom = genotyper(cov - one["coverage"], one["coverage"]) == "Hom"
+    hom = genotype_call(cov - one["coverage"], one["coverage"])["state"] == "Hom"
     side = F.when(one["hp"].isNull() | (one["hp"] == 1), "0|1").otherwise("1|0")
     single = (
         F.when(~has(one), out("0|0", "Ref", zero, yes))
@@ -44,12 +44,12 @@ def finish(called: DataFrame) -> DataFrame:
     """called (gt, state, alt, full, dp, ploidy, paths) with ft, sq, gq, ad, ks, gt_state, ps."""
     skip = F.col("ploidy") == "Zero"
     ref, alt = F.col("dp") - F.col("alt"), F.col("alt")
-    out = called.withColumns({"__q": genotype_quals(ref, alt), "__seen": genotyper(ref, alt)})
+    out = called.withColumn("__q", genotype_call(ref, alt))
     gq, sq = F.col("__q.gq"), F.col("__q.sq")
     bit = lambda test, value: F.when(test, value).otherwise(0)
     called_alt = F.col("state") != "Ref"
     bits = (
-        bit(F.col("__seen") != F.col("state"), GT_MISMATCH) + bit(gq < 5, LOW_GQ) + bit(F.col("dp") < 5, LOW_COV)
+        bit(F.col("__q.state") != F.col("state"), GT_MISMATCH) + bit(gq < 5, LOW_GQ) + bit(F.col("dp") < 5, LOW_COV)
         + bit(called_alt & (sq < 5), LOW_SQ) + bit(called_alt & (alt < 5), LOW_ALT) + bit(~F.col("full"), PARTIAL)
     )
     nothing = F.array(F.lit(None).cast("int"))
@@ -60,7 +60,7 @@ def finish(called: DataFrame) -> DataFrame:
         "ad": F.when(skip, nothing).otherwise(F.array(ref.cast("int"), alt.cast("int"))),
         "ks": F.when(skip, nothing).otherwise(F.transform("paths", lambda x: (x["score"] * F.lit(100).cast("float")).cast("float").cast("int"))),
         "gt_state": F.when(skip, "Non").otherwise(F.col("state")),
-    }).drop("__q", "__seen", "state", "alt_cov", "full")
+    }).drop("__q", "state", "alt_cov", "full")
 
 
 def annotate(variants: DataFrame, found: DataFrame) -> DataFrame:

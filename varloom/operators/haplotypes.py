@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -108,25 +107,12 @@ class Haplotype:
     coverage: int
     kfeat: np.ndarray
     parts: list[tuple[int, np.ndarray]] = field(default_factory=list)
-    partial: int = 0
     ps: int | None = None
     hp: int | None = None
 
     def sort_key(self) -> tuple:
         return (-self.coverage, self.n, -self.size, tuple(-np.maximum(self.kfeat, 0)))
 
-    def partials(self, fnmax: int, pileupmax: int) -> list[Haplotype]:
-        """The haplotype without 0, 1, ... up to fnmax of its parts; alone if it has pileupmax parts or more."""
-        m = len(self.parts)
-        if m >= pileupmax:
-            return [self]
-        out = []
-        for kept in range(m, (1 if m <= fnmax else m - fnmax) - 1, -1):
-            for some in combinations(self.parts, kept):
-                feature = np.sum([k for _, k in some], axis=0, dtype=np.float32) if some else np.zeros_like(self.kfeat)
-                out.append(Haplotype(sum(s for s, _ in some), kept, self.coverage, feature, partial=m - kept))
-        return out
-
 
 def build_haplotypes(reads: Iterable[tuple], k: int, longest: int) -> tuple[list[Haplotype], int]:
     """(haplotypes, coverage) of (ps, hp, [(position, size, indel, sequence)]) in read order; the phase set is the
@@ -146,6 +132,6 @@ def build_haplotypes(reads: Iterable[tuple], k: int, longest: int) -> tuple[list
                 known[name] = (size, kmer_counts((sequence or "").encode(), k, indel == "Del", longest))
             parts.append(known[name])
         feature = np.sum([f for _, f in parts], axis=0, dtype=np.float32)
-        out.append(Haplotype(sum(s for s, _ in parts), len(parts), 1, feature, parts, 0, ps, hp))
+        out.append(Haplotype(sum(s for s, _ in parts), len(parts), 1, feature, parts, ps, hp))
     out.sort(key=Haplotype.sort_key)
     return out, len(rows)

@@ -57,6 +57,28 @@ def range_join(points: DataFrame, spans: DataFrame, on: str, point: Column, span
     return left.join(right.withColumnRenamed(on, "__on"), (F.col(on) == F.col("__on")) & (left["__bin"] == right["__bin"]) & condition).drop("__on", "__bin")
 
 
+def spanning_counts(windows: DataFrame, spans: DataFrame, on: str, point: str, length: int, span_start: str, span_end: str, width: int) -> DataFrame:
+    """windows with `n`, the number of spans that strictly hold [point, point + length]: start < point and
+    end > point + length.
+
+    No pair is made. A span no longer than the window holds none; of the others, those that start left of the point
+    less those that end by point + length are the ones that hold it. Starts and ends are counted by place before the
+    shuffle, then summed along each bin with the total of the bins before it, so a bin has at most three rows a
+    place, however many windows and spans meet there.
+    """
+    long = spans.where(F.col(span_end) - F.col(span_start) > length)
+    place = lambda df, at, kind, n: df.groupBy(F.col(on).alias("__on"), at.alias("__at")).agg(n.cast("long").alias("__n")).withColumn("__kind", F.lit(kind))
+    # in the order of kinds at one place: ends count, then windows look, then starts count
+    rows = place(long, F.col(span_end) - length, 0, -F.count("*")).unionByName(place(windows, F.col(point), 1, F.lit(0).cast("long") * F.count("*"))).unionByName(place(long, F.col(span_start), 2, F.count("*")))
+    rows = rows.withColumn("__bin", F.floor(F.col("__at") / F.lit(width)).cast("long"))
+    before = Window.partitionBy("__on").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    past = rows.groupBy("__on", "__bin").agg(F.sum("__n").alias("__s")).select("__on", "__bin", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__past"))
+    inner = Window.partitionBy("__on", "__bin").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.withColumn("__run", F.sum("__n").over(inner)).where("__kind = 1").join(past, ["__on", "__bin"])
+    counted = counted.select("__on", "__at", (F.col("__run") + F.col("__past")).alias("n"))
+    return windows.join(counted, (F.col(on) == F.col("__on")) & (F.col(point) == F.col("__at"))).drop("__on", "__at")
+
+
 def interval_lookup(points: DataFrame, intervals: DataFrame, key: Sequence[str], on: str, point: str, value: str, width: int) -> DataFrame:
     """points with `value` of the first interval [start, end) that holds the point (by start, then end), or null."""
     spans = intervals.select(on, F.col("start").alias("__s"), F.col("end").alias("__e"), F.col(value).alias("__value")).where("__e > __s")

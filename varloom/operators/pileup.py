@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.metrics import bind
 from ..params import GenotypeParams, PileupParams
 
 PILEUP = "struct<position:bigint,end:bigint,indel:string,size:bigint,sequence:string>"
@@ -21,41 +22,38 @@ def tag(value: Column, allowed: tuple[int, ...] | None = None) -> Column:
 
 
 def cigar_ops(cigar: Column) -> Column:
-    """array<struct<n, op>>"""
-    found = F.regexp_extract_all(cigar, F.lit("([0-9]+[MIDNSHP=X])"), F.lit(1))
-    return F.transform(found, lambda x: F.struct(F.regexp_extract(x, "^[0-9]+", 0).cast("bigint").alias("n"), F.substring(x, -1, 1).alias("op")))
+    """struct<n: array<bigint>, op: array<string>>"""
+    pattern = lambda n, op: F.regexp_extract_all(cigar, F.lit(f"{n}[0-9]+){op}[MIDNSHP=X])"), F.lit(1))
+    return F.struct(F.transform(pattern("(", "(?:"), lambda x: x.cast("bigint")).alias("n"), pattern("(?:", "(").alias("op"))
+
+
+def _advance(ops: Column, count: Column | None, kinds: tuple[str, ...]) -> Column:
+    """Summed lengths of the operations of some kinds, among the first `count` (all by default)."""
+    n, op = (ops["n"], ops["op"]) if count is None else (F.slice(ops["n"], F.lit(1), count), F.slice(ops["op"], F.lit(1), count))
+    return F.aggregate(F.zip_with(n, op, lambda a, b: F.when(b.isin(*kinds), a).otherwise(0)), F.lit(0).cast("bigint"), lambda t, x: t + x)
 
 
 def walk_cigar(start: Column, cigar: Column, seq: Column, sizemin: int, sizemax: int) -> Column:
     """array<PILEUP> of the insertions and deletions of a read with a size in bounds.
 
     The alignment offset starts one base left of the read; M, = and X advance both offsets, I and S the
-    read's, D the alignment's; H, P and N neither.
+    read's, D the alignment's; H, P and N neither. Operations in bounds are picked first, and offsets summed for them
+    alone.
     """
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = x["n"].between(sizemin, sizemax)
-        ins = F.struct(
-            acc["at"].alias("position"), (acc["at"] + 1).alias("end"), F.lit("Ins").alias("indel"), x["n"].alias("size"),
-            F.substring(seq, (acc["read"] + 1).cast("int"), x["n"].cast("int")).alias("sequence"),
-        )
-        dele = F.struct(
-            acc["at"].alias("position"), (acc["at"] + x["n"]).alias("end"), F.lit("Del").alias("indel"), (-x["n"]).alias("size"), F.lit(None).cast("string").alias("sequence")
-        )
-        one = F.when(fits & (x["op"] == "I"), F.array(ins)).when(fits & (x["op"] == "D"), F.array(dele)).otherwise(F.array().cast(f"array<{PILEUP}>"))
-        both = x["op"].isin("M", "=", "X")
-        return F.struct(
-            (acc["at"] + F.when(both | (x["op"] == "D"), x["n"]).otherwise(0)).alias("at"),
-            (acc["read"] + F.when(both | x["op"].isin("I", "S"), x["n"]).otherwise(0)).alias("read"),
-            F.concat(acc["got"], one).cast(f"array<{PILEUP}>").alias("got"),
-        )
+    def pick(ops: Column) -> Column:
+        wanted = F.filter(F.sequence(F.lit(0), F.size(ops["n"]) - 1), lambda i: ops["n"][i].between(sizemin, sizemax) & ops["op"][i].isin("I", "D"))
+        wanted = F.when(F.size(ops["n"]) > 0, wanted).otherwise(F.array().cast("array<int>"))
+        return F.transform(wanted, lambda i: bind(F.struct((start - 1 + _advance(ops, i, ("M", "=", "X", "D"))).cast("bigint").alias("at"), ops["n"][i].alias("n"), (ops["op"][i] == "I").alias("ins")), lambda v: F.struct(
+            v["at"].alias("position"), (v["at"] + F.when(v["ins"], 1).otherwise(v["n"])).alias("end"), F.when(v["ins"], "Ins").otherwise("Del").alias("indel"), F.when(v["ins"], v["n"]).otherwise(-v["n"]).alias("size"),
+            F.when(v["ins"], F.substring(seq, (1 + _advance(ops, i, ("M", "=", "X", "I", "S"))).cast("int"), v["n"].cast("int"))).alias("sequence"),
+        )))
 
-    zero = F.struct((start - 1).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("read"), F.array().cast(f"array<{PILEUP}>").alias("got"))
-    return F.aggregate(cigar_ops(cigar), zero, step, lambda acc: acc["got"])
+    return bind(cigar_ops(cigar), pick).cast(f"array<{PILEUP}>")
 
 
 def aligned_end(start: Column, cigar: Column) -> Column:
-    return start + F.aggregate(cigar_ops(cigar), F.lit(0).cast("bigint"), lambda a, x: a + F.when(x["op"].isin("M", "=", "X", "D", "N"), x["n"]).otherwise(0))
+    return start + _advance(cigar_ops(cigar), None, ("M", "=", "X", "D", "N"))
 
 
 def reads_to_pileups(reads: DataFrame, p: PileupParams | GenotypeParams) -> DataFrame:
@@ -76,18 +74,18 @@ def encode_pileups(start: Column, pileups: Column) -> Column:
 
 def decode_pileups(start: Column, text: Column, sizemin: int, sizemax: int) -> Column:
     """array<PILEUP>; malformed items and sizes out of bounds are dropped. A number is a deletion."""
+    item = "(?:^|,){}[0-9]+){}[0-9]+|[A-Za-z=.*]+)(?=,|$)"
+    part = lambda a, b: F.regexp_extract_all(text, F.lit(item.format(a, b)), F.lit(1))
+
+    def one(offset: Column, value: Column) -> Column:
+        made = lambda v: F.struct(
+            v["at"].alias("position"), (v["at"] + F.coalesce(v["cut"], F.lit(1))).alias("end"), F.when(v["cut"].isNull(), "Ins").otherwise("Del").alias("indel"),
+            F.coalesce(-v["cut"], F.length(value).cast("bigint")).alias("size"), F.when(v["cut"].isNull(), value).alias("sequence"),
+        )
+        return bind(F.struct((start + offset.try_cast("bigint")).alias("at"), value.try_cast("bigint").alias("cut")), made)
 
-    def one(item: Column) -> Column:
-        at = start + F.get(F.split(item, ":"), F.lit(0)).try_cast("bigint")
-        value = F.get(F.split(item, ":"), F.lit(1))
-        length = value.try_cast("bigint")
-        dele = F.struct(at.alias("position"), (at + length).alias("end"), F.lit("Del").alias("indel"), (-length).alias("size"), F.lit(None).cast("string").alias("sequence"))
-        ins = F.struct(at.alias("position"), (at + 1).alias("end"), F.lit("Ins").alias("indel"), F.length(value).cast("bigint").alias("size"), value.alias("sequence"))
-        good = F.regexp_like(item, F.lit("^[0-9]+:([0-9]+|[A-Za-z=.*]+)$"))
-        return F.when(good, F.when(length.isNotNull(), dele).otherwise(ins))
-
-    items = F.when(text == ".", F.array().cast("array<string>")).otherwise(F.split(text, ","))
-    return F.filter(F.transform(items, one), lambda v: v.isNotNull() & F.abs(v["size"]).between(sizemin, sizemax)).cast(f"array<{PILEUP}>")
+    found = F.zip_with(part("(", ":(?:"), part("(?:", ":("), one)
+    return F.filter(found, lambda v: v["position"].isNotNull() & F.abs(v["size"]).between(sizemin, sizemax)).cast(f"array<{PILEUP}>")
 
 
 def encode_reads(reads: DataFrame) -> DataFrame:

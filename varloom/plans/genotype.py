@@ -34,12 +34,9 @@ def find_paths(nodes: DataFrame, spanning: DataFrame, p: GenotypeParams) -> Data
         haps, cov = haplotypes.build_haplotypes(rows, p.kmer, p.maxhom)
         haps = cluster.haploid(haps) if left["ploidy"][0] == "Haploid" else cluster.diploid(haps, cov, p)
         count = lambda seq: kmer_counts(seq[1:].encode(), p.kmer, longest=p.maxhom)
-        columns = (left[n] for n in ("node", "start", "end", "delta", "ref", "alt"))
-        graph = [pathsearch.Node(n, s, e, d, count(alt) - count(ref)) for n, s, e, d, ref, alt in zip(*columns, strict=True)]
-        got = [
-            {"score": float(f.score), "sizesim": float(f.sizesim), "seqsim": float(f.seqsim), "path": list(f.path), "full_target": bool(f.full_target), "coverage": int(f.coverage), "ps": f.ps, "hp": f.hp}
-            for f in pathsearch.paths_of(graph, haps, p)
-        ]
+        start, end, delta, ref, alt = (left[n] for n in ("start", "end", "delta", "ref", "alt"))
+        graph = pathsearch.Graph(start, end, delta, np.stack([count(x) - count(r) for r, x in zip(ref, alt, strict=True)]))
+        got = pathsearch.paths_of(graph, haps, p)
         return pa.table({"chrom": pa.array([left["chrom"][0]], pa.string()), "ne": pa.array([left["ne"][0]], pa.int64()), "coverage": pa.array([cov], pa.int64()), "paths": pa.array([got], kinds["paths"])})
 
     path = [("score", pa.float32()), ("sizesim", pa.float32()), ("seqsim", pa.float32()), ("path", pa.list_(pa.int32())), ("full_target", pa.bool_()), ("coverage", pa.int64()), ("ps", pa.int64()), ("hp", pa.int32())]

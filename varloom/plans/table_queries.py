@@ -77,9 +77,8 @@ FROM (SELECT *, {s[0]} AS s0, {s[1]} AS s1, {s[2]} AS s2 FROM ({source}))"""
 
 
 def called(rows: DataFrame, ref: str = "r", alt: str = "a") -> DataFrame:
-    q = metrics.genotype_quals(F.col(ref), F.col(alt))
-    rows = rows.withColumns({"state": metrics.genotyper(F.col(ref), F.col(alt)), "__q": q})
-    return rows.withColumns({"gq": F.round("__q.gq", 3), "sq": F.round("__q.sq", 3)}).drop("__q")
+    rows = rows.withColumn("__q", metrics.genotype_call(F.col(ref), F.col(alt)))
+    return rows.withColumns({"state": F.col("__q.state"), "gq": F.round("__q.gq", 3), "sq": F.round("__q.sq", 3)}).drop("__q")
 
 
 _EVENT_ISLANDS = """
@@ -140,17 +139,14 @@ def genotype_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH v AS (SELECT o_orderkey, o_orderpriority AS chrom, {sql_day('o_orderdate')} AS s, {sql_day('o_orderdate')} + 1 + o_custkey % 30 AS e FROM orders),
-g AS (SELECT o_orderpriority AS chrom, s_suppkey AS o, 9000 + s_suppkey * 25 AS rs, 9000 + s_suppkey * 25 + s_nationkey * 6 + 5 AS re
-      FROM supplier, (SELECT DISTINCT o_orderpriority FROM orders)),
+WITH v AS (SELECT o_orderkey, o_orderkey % 5 AS chrom, {sql_day('o_orderdate')} AS s, {sql_day('o_orderdate')} + 1 + o_custkey % 30 AS e FROM orders),
+g AS (SELECT unnest(range(0, 5)) AS chrom, s_suppkey AS o, 9000 + s_suppkey * 25 AS rs, 9000 + s_suppkey * 25 + s_nationkey * 6 + 5 AS re FROM supplier),
 f AS (SELECT o_orderkey, arg_min(rs, o) AS rs, arg_min(re, o) AS re FROM v JOIN g ON v.chrom = g.chrom AND re >= s GROUP BY o_orderkey)
 SELECT v.o_orderkey, coalesce(rs <= s AND e <= re, false) AS in_region FROM v LEFT JOIN f USING (o_orderkey)""")
 def region_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    v = orders.select("o_orderkey", F.col("o_orderpriority").alias("chrom"), day("o_orderdate").alias("start"), (day("o_orderdate") + 1 + F.col("o_custkey") % 30).alias("end"))
+    v = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 5).alias("chrom"), day("o_orderdate").alias("start"), (day("o_orderdate") + 1 + F.col("o_custkey") % 30).alias("end"))
     start = 9000 + F.col("s_suppkey") * 25
-    regions = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ordinal"), start.alias("start"), (start + F.col("s_nationkey") * 6 + 5).alias("end"), F.lit(1).alias("one"))
-    regions = regions.join(orders.select(F.col("o_orderpriority").alias("chrom")).distinct().withColumn("one", F.lit(1)), "one").drop("one")
+    regions = table(spark, sf_dir, "supplier").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("chrom"), F.col("s_suppkey").alias("ordinal"), start.alias("start"), (start + F.col("s_nationkey") * 6 + 5).alias("end"))
     return intervals.first_live_region(v, regions, width=512).select("o_orderkey", "in_region")
 
 
@@ -158,11 +154,10 @@ def region_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o.o_orderkey, count(*) AS n FROM orders o JOIN lineitem l ON l_linenumber = o_custkey % 7 + 1 AND l_partkey < o_custkey % 2000 AND l_partkey + 10 * l_quantity::BIGINT > o_custkey % 2000 + 5
 GROUP BY o.o_orderkey""")
 def range_join_spanning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads that strictly span a window, by bins."""
+    """How many reads strictly span each window, by running counts in bins."""
     windows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 7 + 1).alias("chrom"), (F.col("o_custkey") % 2000).alias("ws"))
     reads = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("long").alias("chrom"), F.col("l_partkey").alias("s"), (F.col("l_partkey") + 10 * F.col("l_quantity").cast("long")).alias("e"))
-    hit = intervals.range_join(windows, reads, "chrom", F.col("ws"), "s", "e", (F.col("s") < F.col("ws")) & (F.col("e") > F.col("ws") + 5), 512)
-    return hit.groupBy("o_orderkey").agg(F.count("*").alias("n"))
+    return intervals.spanning_counts(windows, reads, "chrom", "ws", 5, "s", "e", 512).where("n > 0").select("o_orderkey", "n")
 
 
 @query("""
@@ -218,26 +213,18 @@ def variant_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("p_partkey", "size", "delta", variants.valid_alt(F.col("alt")).alias("valid"), variants.is_pass(F.col("filter")).alias("pass"), kind.alias("svtype"))
 
 
-_PLAIN = "regexp_replace(text, '[^ -~]', '', 'g')"
-
-
 def _digits(expr: str) -> str:
     return f"translate(regexp_replace(upper({expr}), '[^AGCT]', 'A', 'g'), 'AGCT', '0123')"
 
 
-@query(f"""
-WITH b AS (SELECT item_id, {_digits(_PLAIN)} AS d FROM benchmark),
-k AS (SELECT item_id, substr(d, i, 3) AS s FROM (SELECT item_id, d, unnest(range(1, length(d) - 1)) AS i FROM b))
-SELECT item_id, (substr(s, 1, 1)::INT * 16 + substr(s, 2, 1)::INT * 4 + substr(s, 3, 1)::INT)::INT AS kmer, count(*) AS n FROM k GROUP BY ALL""")
+@query("""
+WITH b AS (SELECT item_id, hex(encode(text)) AS h FROM benchmark),
+d AS (SELECT item_id, i, CASE substr(h, 2 * i + 1, 2) WHEN '47' THEN 1 WHEN '67' THEN 1 WHEN '43' THEN 2 WHEN '63' THEN 2 WHEN '54' THEN 3 WHEN '74' THEN 3 ELSE 0 END AS x
+      FROM (SELECT item_id, h, unnest(range(0, length(h) // 2)) AS i FROM b)),
+k AS (SELECT item_id, x * 16 + lead(x) OVER w * 4 + lead(x, 2) OVER w AS kmer FROM d WINDOW w AS (PARTITION BY item_id ORDER BY i))
+SELECT item_id, kmer::INT AS kmer, count(*) AS n FROM k WHERE kmer IS NOT NULL GROUP BY ALL""")
 def kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = F.regexp_replace("text", "[^ -~]", "")
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(sequences.kmer_udf(3)(plain)).alias("kmer", "n"))
-    return rows.where("n > 0").select("item_id", "kmer", F.col("n").cast("long").alias("n"))
-
-
-@query()
-def kmer_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """kmer_counts over the bytes of the whole texts; its SQL knows characters only."""
+    """k-mers over the bytes of whole texts."""
     rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(sequences.kmer_udf(3)(F.col("text"))).alias("kmer", "n"))
     return rows.where("n > 0").select("item_id", "kmer", F.col("n").cast("long").alias("n"))
 
@@ -361,8 +348,8 @@ def cigar_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("l_quantity").cast("long")
     cigar = F.concat(F.col("l_linenumber"), F.lit("S"), F.col("l_partkey") % 90 + 10, F.lit("M"), 20 + F.col("l_suppkey") % 60, F.lit("I7=3X"), q + 30, F.lit("D"), 5 + F.col("l_linenumber"), F.lit("N20M2H"))
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", cigar.alias("cigar"), F.lit("ACGT" * 50).alias("seq"))
-    walked = rows.select("l_orderkey", "l_linenumber", "l_partkey", F.explode(pileup.walk_cigar(F.col("l_orderkey"), F.col("cigar"), F.col("seq"), 40, 70)).alias("v"))
-    return walked.select("l_orderkey", "l_linenumber", "l_partkey", "v.indel", "v.position", "v.end", "v.size")
+    walked = rows.select("l_orderkey", "l_linenumber", "l_partkey", F.explode_outer(pileup.walk_cigar(F.col("l_orderkey"), F.col("cigar"), F.col("seq"), 40, 70)).alias("v"))
+    return walked.where("v is not null").select("l_orderkey", "l_linenumber", "l_partkey", "v.indel", "v.position", "v.end", "v.size")
 
 
 @query("""
@@ -440,21 +427,16 @@ def one_to_one_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT o_custkey, o_orderkey % 50 AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS m FROM orders),
-t AS (SELECT o_custkey, list(size ORDER BY i) AS parts, any_value(m) AS m FROM p WHERE m <= 12 GROUP BY o_custkey),
-b AS (SELECT o_custkey, parts, m, unnest(range(1, (1 << m)::BIGINT)) AS mask FROM t)
-SELECT o_custkey, m - bit_count(mask) AS partial, count(*) AS n, sum(list_sum(list_transform(range(1, m + 1), lambda i: CASE WHEN mask >> (i - 1) & 1 = 1 THEN parts[i] ELSE 0 END)))::BIGINT AS total
-FROM b WHERE bit_count(mask) >= CASE WHEN m <= 3 THEN 1 ELSE m - 3 END GROUP BY ALL""")
+WITH p AS (SELECT o_custkey AS k, o_orderkey AS i, o_orderkey % 50 AS x FROM orders),
+t AS (SELECT k, count(*) AS m, sum(x)::BIGINT AS total FROM p GROUP BY k),
+f AS (SELECT k, 0::BIGINT AS partial, 0::BIGINT AS gone FROM t
+  UNION ALL SELECT k, 1, x FROM p
+  UNION ALL SELECT a.k, 2, a.x + b.x FROM p a JOIN p b ON a.k = b.k AND a.i < b.i
+  UNION ALL SELECT a.k, 3, a.x + b.x + c.x FROM p a JOIN p b ON a.k = b.k AND a.i < b.i JOIN p c ON b.k = c.k AND b.i < c.i)
+SELECT k AS o_custkey, partial, count(*) AS n, sum(total - gone)::BIGINT AS total FROM f JOIN t USING (k)
+WHERE partial = 0 OR m < 100 AND partial < m GROUP BY ALL""")
 def partial_haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums over all subsets of a haplotype's parts that leave out up to three."""
-    rows = table(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderkey") % 50).alias("size"), F.col("o_orderkey").alias("i"))
-    subsets = haplotypes.partial_sizes(rows, ["o_custkey"], "size", "i", fnmax=3, pileupmax=13)
-    return subsets.where("m <= 12").groupBy("o_custkey", "partial").agg(F.count("*").alias("n"), F.sum("total").alias("total"))
-
-
-@query()
-def partial_haplotypes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """partial_haplotypes of every key, with the genotyper's own bounds; its SQL's 2**m masks would not do for these."""
     p = GenotypeParams()
     rows = table(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderkey") % 50).alias("size"), F.col("o_orderkey").alias("i"))
     subsets = haplotypes.partial_sizes(rows, ["o_custkey"], "size", "i", fnmax=p.fnmax, pileupmax=p.pileupmax)
@@ -487,20 +469,34 @@ def _letters(key: Column, n: int) -> Column:
     return F.substring(F.concat(*parts), 1, n)
 
 
-def genotype_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records, reads, regions): insertions at suppliers, and customers as reads that carry about half of them."""
-    site = 5000 + F.floor(F.col("s_suppkey") / 25) * 20_000 + F.col("s_suppkey") % 3 * 100
-    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("chr"), F.col("s_nationkey")).alias("chrom"), site.alias("site"), "s_suppkey", _letters(F.col("s_suppkey"), 60).alias("ins"))
-    records = s.select("chrom", (F.col("site") + 1).alias("pos"), F.col("s_suppkey").cast("string").alias("id"), F.lit("A").alias("ref"), F.concat(F.lit("A"), F.col("ins")).alias("alt"), F.lit(".").alias("qual"), F.array().cast("array<string>").alias("filter"), F.lit(".").alias("info"), F.col("s_suppkey").alias("ordinal"))
-    w = Window.partitionBy("chrom").orderBy("pos", "ordinal")
-    records = records.withColumn("ordinal", F.row_number().over(w).cast("long"))
-    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("chr"), F.col("c_nationkey")).alias("chrom"), "c_custkey")
-    carried = c.join(s, "chrom").select("chrom", "c_custkey", "s_suppkey", F.struct(F.col("site").cast("bigint").alias("position"), (F.col("site") + 1).cast("bigint").alias("end"), F.lit("Ins").alias("indel"), F.lit(60).cast("bigint").alias("size"), F.col("ins").alias("sequence")).alias("v"))
+def genotype_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(records, reads, regions, ploidy): insertions at suppliers, 25 supplier numbers to a place and one contig a
+    nation. 15 customers in a row are reads over the place of one supplier, and carry the insertions there: all of
+    them those of every fourth supplier, half of them those of the next. Some reads are cut short of the window, some
+    lose two bases. Every 13th record has no sequence; some nations are haploid, some have no copy."""
+    place = F.floor(F.col("s_suppkey") / 25)
+    chrom = lambda n: F.concat(F.lit("chr"), F.col(n)).alias("chrom")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", chrom("s_nationkey"), place.alias("place"), (5000 + place * 20_000 + F.col("s_suppkey") % 3 * 100).alias("site"), _letters(F.col("s_suppkey"), 60).alias("ins"))
+    w = Window.partitionBy("chrom").orderBy("site", "s_suppkey")
+    records = s.select(
+        "chrom", (F.col("site") + 1).alias("pos"), F.col("s_suppkey").cast("string").alias("id"), F.lit("A").alias("ref"), F.when(F.col("s_suppkey") % 13 == 5, "<INS>").otherwise(F.concat(F.lit("A"), F.col("ins"))).alias("alt"),
+        F.lit(".").alias("qual"), F.array().cast("array<string>").alias("filter"), F.lit(".").alias("info"), F.row_number().over(w).cast("long").alias("ordinal"),
+    )
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.floor(F.col("c_custkey") / 15).alias("s_suppkey")).join(s.select("s_suppkey", "chrom", "place"), "s_suppkey").drop("s_suppkey")
+    seq = F.when(F.col("c_custkey") % 7 == 0, F.substring("ins", 1, 58)).otherwise(F.col("ins"))
+    v = F.struct(F.col("site").cast("bigint").alias("position"), (F.col("site") + 1).cast("bigint").alias("end"), F.lit("Ins").alias("indel"), F.length(seq).cast("bigint").alias("size"), seq.alias("sequence"))
     has = (F.col("s_suppkey") % 4 == 0) | (F.pmod(F.col("c_custkey") + F.col("s_suppkey"), F.lit(2)) == 0) & (F.col("s_suppkey") % 4 == 1)
-    reads = carried.groupBy("chrom", "c_custkey").agg(F.array_sort(F.collect_list(F.when(has, F.col("v")))).alias("pileups"))
-    reads = reads.select("chrom", F.lit(0).cast("bigint").alias("start"), F.lit(10_000_000).cast("bigint").alias("end"), "pileups", F.lit(None).cast("bigint").alias("ps"), F.lit(None).cast("int").alias("hp"), F.col("c_custkey").alias("read_ord"))
-    regions = table(spark, sf_dir, "nation").select(F.concat(F.lit("chr"), F.col("n_nationkey")).alias("chrom"), F.lit(10_000_000).cast("long").alias("length"))
-    return records, reads, intervals.contig_regions(regions)
+    reads = c.join(s, ["chrom", "place"]).groupBy("chrom", "place", "c_custkey").agg(F.array_sort(F.collect_list(F.when(has, v))).alias("pileups"))
+    start = 2000 + F.col("place") * 20_000
+    key = F.col("c_custkey")
+    reads = reads.select(
+        "chrom", start.alias("start"), (start + F.when(key % 11 == 0, 3500).otherwise(12_000)).alias("end"), "pileups",
+        F.when(key % 5 == 0, F.col("place") * 10 + 1).alias("ps"), F.when(key % 3 != 0, key % 2 + 1).cast("int").alias("hp"), key.alias("read_ord"),
+    )
+    nations = table(spark, sf_dir, "nation").select(chrom("n_nationkey"), F.lit(1 << 33).cast("long").alias("length"), "n_nationkey")
+    copies = F.when(F.col("n_nationkey") % 10 == 3, "1").when(F.col("n_nationkey") % 10 == 6, "0").otherwise("2")
+    bed = nations.select("chrom", F.lit(0).cast("long").alias("start"), F.col("length").alias("end"), text.ploidy_name(copies).alias("ploidy"), F.lit(0).cast("long").alias("ordinal"))
+    return records, reads, intervals.contig_regions(nations), bed
 
 
 @query("""
@@ -514,11 +510,11 @@ def variant_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT count(*) AS n_variants, count(*) FILTER (s_suppkey % 5 > 0) AS n_kept, count(*) FILTER (s_suppkey % 5 = 0) AS n_skipped,
-  (count(DISTINCT (s_nationkey, s_suppkey // 25)) FILTER (s_suppkey % 5 > 0))::BIGINT AS n_neighborhoods FROM supplier""")
+SELECT count(*) AS n_variants, count(*) FILTER (s_suppkey % 5 > 0 AND s_suppkey % 13 <> 5) AS n_kept, count(*) FILTER (s_suppkey % 5 = 0 OR s_suppkey % 13 = 5) AS n_skipped,
+  (count(DISTINCT (s_nationkey, s_suppkey // 25)) FILTER (s_suppkey % 5 > 0 AND s_suppkey % 13 <> 5))::BIGINT AS n_neighborhoods FROM supplier""")
 def variant_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many records pass, and the neighbourhoods they make; every fifth fails its filter."""
-    records, _, regions = genotype_inputs(spark, sf_dir)
+    records, _, regions, _ = genotype_inputs(spark, sf_dir)
     failed = F.col("id").cast("long") % 5 == 0
     records = records.withColumn("filter", F.when(failed, F.array(F.lit("q10"))).otherwise(F.array().cast("array<string>")))
     p = GenotypeParams(passonly=True)
@@ -526,17 +522,103 @@ def variant_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.keep_tally(flagged, neighborhoods.bounds(neighborhoods.binned_neighborhoods(flagged.where("keep"), p.neighdist, 1 << 14)))
 
 
-@query()
+def sql_genotype(one_to_one: bool) -> str:
+    """Genotypes of `genotype_inputs` from the definitions: neighbourhoods, spanning reads, all pairs of medoids, all
+    paths of the graph against all partial haplotypes."""
+    paths = """path(n, ne, tail, spot, ids, qs) AS (SELECT DISTINCT n, ne, 0::BIGINT, -1::BIGINT, []::BIGINT[], []::VARCHAR[] FROM nodes
+  UNION ALL SELECT p.n, p.ne, x.node, x.site, list_append(ids, x.node), list_append(qs, x.ins) FROM path p JOIN nodes x ON x.n = p.n AND x.ne = p.ne AND x.node > tail AND x.site <> spot),"""
+    forms = "SELECT n, ne, ord, hsize, m - bit_count(mask) AS gone, list_filter(qs, lambda q, i: mask >> (i - 1) & 1 = 1) AS fq FROM (SELECT *, unnest(range(1, (1 << m)::BIGINT)) AS mask FROM final) WHERE m - bit_count(mask) <= 3"
+    extra = ""
+    if one_to_one:
+        paths = "path AS (SELECT n, ne, [node] AS ids, [ins] AS qs FROM nodes),"
+        forms = "SELECT n, ne, ord, hsize, 0 AS gone, qs AS fq FROM final"
+        extra = "AND sq > 0"
+    alike = lambda a, b, part: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: CASE WHEN z[1] + z[2] >= 2 THEN {part} ELSE 0 END))"
+    feature = lambda lists: f"""SELECT l, list(x ORDER BY i) AS f FROM (SELECT g.l, g.i, coalesce(sum(x), 0)::BIGINT AS x
+  FROM (SELECT l, unnest(range(0, 256)) AS i FROM {lists}) g LEFT JOIN (SELECT l, k, x FROM (SELECT l, unnest(l) AS q FROM {lists}) JOIN km USING (q)) h ON h.l = g.l AND h.k = g.i GROUP BY g.l, g.i) GROUP BY l"""
+    call = sql_calls("SELECT *, dp - alt AS r, alt AS a FROM called", "*")
+    fits = lambda p: f"applied * log10({p}) + (dp - applied) * log10(1 - {p})"
+    hom = f"CASE WHEN dp < 10 THEN {fits(0.95)} >= greatest({fits(0.001)}, {fits(0.55)}) ELSE {fits(0.9)} >= greatest({fits(0.001)}, {fits(0.5)}) END"
+    return f"""
+WITH RECURSIVE s AS (SELECT s_suppkey, s_nationkey AS n, s_suppkey // 25 AS place, 5000 + s_suppkey // 25 * 20000 + s_suppkey % 3 * 100 AS site,
+  substr(translate(md5(s_suppkey || '/0') || md5(s_suppkey || '/1'), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 60) AS ins FROM supplier),
+opens AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY site, s_suppkey) AS o, CASE WHEN max(site + 1) OVER w + 1000 < site THEN 1 ELSE 0 END AS opens FROM s WHERE s_suppkey % 13 <> 5
+  WINDOW w AS (PARTITION BY n ORDER BY site, s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+islands AS (SELECT *, sum(opens) OVER (PARTITION BY n ORDER BY o ROWS UNBOUNDED PRECEDING) AS island FROM opens),
+nodes AS (SELECT *, min(site) OVER (PARTITION BY n, island) AS ne, max(site + 1) OVER (PARTITION BY n, island) AS far, row_number() OVER (PARTITION BY n, island ORDER BY o) AS node FROM islands),
+hoods AS (SELECT DISTINCT n, ne, far, CASE n % 10 WHEN 3 THEN 'Haploid' WHEN 6 THEN 'Zero' ELSE 'Unset' END AS ploidy FROM nodes),
+reads AS (SELECT c_custkey AS c, n, place, 2000 + place * 20000 AS rs, 2000 + place * 20000 + CASE WHEN c_custkey % 11 = 0 THEN 3500 ELSE 12000 END AS re,
+  CASE WHEN c_custkey % 5 = 0 THEN place * 10 + 1 END AS ps, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 2 + 1 END AS hp FROM customer JOIN s ON s_suppkey = c_custkey // 15),
+span AS (SELECT h.n, ne, far, ploidy, place, c, hp, ps FROM hoods h JOIN reads r ON r.n = h.n AND rs < greatest(0, ne - 1000) AND re > far + 1000 WHERE ploidy <> 'Zero'),
+depth AS (SELECT n, ne, count(*) AS dp, arg_min(ps, c) FILTER (ps IS NOT NULL) AS ps FROM span GROUP BY ALL),
+part AS (SELECT span.n, ne, ploidy, c, hp, site, CASE WHEN c % 7 = 0 THEN substr(ins, 1, 58) ELSE ins END AS q FROM span JOIN s ON s.n = span.n AND s.place = span.place AND site BETWEEN ne - 1000 AND far + 1000
+  WHERE s_suppkey % 4 = 0 OR s_suppkey % 4 = 1 AND (c + s_suppkey) % 2 = 0),
+km AS (SELECT q, (d[1]::INT * 64 + d[2]::INT * 16 + d[3]::INT * 4 + d[4]::INT) AS k, count(*) AS x
+  FROM (SELECT q, translate(substr(q, unnest(range(1, length(q) - 2)), 4), 'AGCT', '0123') AS d FROM (SELECT q FROM part UNION SELECT ins FROM nodes)) GROUP BY ALL),
+raw AS (SELECT n, ne, ploidy, c, hp, count(*) AS m, sum(length(q))::BIGINT AS size, list(q ORDER BY site, length(q), q) AS qs FROM part GROUP BY ALL),
+kinds AS (SELECT DISTINCT qs AS l FROM raw), whole AS ({feature("kinds")}),
+hap AS (SELECT raw.*, f, row_number() OVER (PARTITION BY n, ne ORDER BY m, size DESC, f DESC, c) - 1 AS pos, count(*) OVER (PARTITION BY n, ne) AS n_haps FROM raw JOIN whole ON whole.l = raw.qs),
+first AS (SELECT *, min(pos) OVER (PARTITION BY n, ne, hp, f) AS head FROM hap WHERE ploidy <> 'Haploid' AND n_haps > 1),
+sets AS (SELECT *, CASE WHEN max(head) OVER (PARTITION BY n, ne) = 0 THEN least(pos, 1) ELSE head END AS k FROM first),
+heads AS (SELECT a.*, w FROM sets a JOIN (SELECT n, ne, k, count(*) AS w FROM sets GROUP BY ALL) b ON a.n = b.n AND a.ne = b.ne AND a.pos = b.k),
+d AS (SELECT n, ne, i, j, w, (CASE WHEN total = 0 THEN 1::FLOAT ELSE apart::FLOAT / total::FLOAT END + CASE WHEN h1 <> h2 THEN 1::FLOAT ELSE 0::FLOAT END)::FLOAT AS d FROM (
+  SELECT a.n, a.ne, a.pos AS i, b.pos AS j, a.w, a.hp AS h1, b.hp AS h2, {alike("a.f", "b.f", "abs(z[1] - z[2])")} AS apart, {alike("a.f", "b.f", "z[1] + z[2]")} AS total FROM heads a JOIN heads b ON a.n = b.n AND a.ne = b.ne)),
+loss AS (SELECT a.n, a.ne, a.j AS x, b.j AS y, sum(a.w * least(a.d, b.d)::DOUBLE) AS loss FROM d a JOIN d b ON a.n = b.n AND a.ne = b.ne AND a.i = b.i AND a.j < b.j GROUP BY ALL),
+medoids AS (SELECT n, ne, arg_min(x, (loss, x, y)) AS x, arg_min(y, (loss, x, y)) AS y FROM loss GROUP BY n, ne),
+sided AS (SELECT s.n, s.ne, s.hp, CASE WHEN dy.d < dx.d THEN y ELSE x END AS medoid FROM sets s JOIN medoids m ON m.n = s.n AND m.ne = s.ne
+  JOIN d dx ON dx.n = s.n AND dx.ne = s.ne AND dx.i = s.k AND dx.j = x JOIN d dy ON dy.n = s.n AND dy.ne = s.ne AND dy.i = s.k AND dy.j = y),
+two AS (SELECT t.n, t.ne, t.medoid, count(sided.medoid) AS cov, count_if(hp = 1) AS ones, count_if(hp = 2) AS twos FROM (SELECT n, ne, unnest([x, y]) AS medoid FROM medoids) t
+  LEFT JOIN sided ON sided.n = t.n AND sided.ne = t.ne AND sided.medoid = t.medoid GROUP BY ALL),
+ranked AS (SELECT two.*, row_number() OVER (PARTITION BY n, ne ORDER BY cov, medoid) AS ord, sum(cov) OVER (PARTITION BY n, ne) AS applied, dp FROM two JOIN depth USING (n, ne)),
+decided AS (SELECT *, {hom} AS stay FROM ranked),
+mode AS (SELECT n, ne, size, m, f, count(*) AS x, min(pos) AS pos FROM hap WHERE ploidy = 'Haploid' GROUP BY ALL),
+chosen AS (SELECT n, ne, ord, medoid AS pos, CASE WHEN stay THEN cov ELSE applied END AS cov, CASE WHEN ones + twos = 0 THEN NULL WHEN ones >= twos THEN 1 ELSE 2 END AS hp FROM decided WHERE stay OR ord = 2
+  UNION ALL SELECT n, ne, 1, pos, 1, hp FROM hap WHERE n_haps = 1
+  UNION ALL SELECT m.n, m.ne, 1, m.pos, h.n_haps, h.hp FROM (SELECT n, ne, arg_min(pos, (-x, pos)) AS pos FROM mode GROUP BY n, ne) m JOIN hap h ON h.n = m.n AND h.ne = m.ne AND h.pos = m.pos WHERE h.n_haps > 1),
+final AS (SELECT c.*, h.qs, h.m, h.size AS hsize FROM chosen c JOIN hap h ON h.n = c.n AND h.ne = c.ne AND h.pos = c.pos),
+forms AS ({forms}),
+{paths}
+lists AS (SELECT DISTINCT l FROM (SELECT fq AS l FROM forms UNION ALL SELECT qs FROM path)), feats AS ({feature("lists")}),
+pairs AS (SELECT t.n, t.ne, t.ord, hsize, p.ids, gone, len(fq) AS parts, list_sum(list_transform(fq, lambda q: length(q))) AS fsize, coalesce(list_sum(list_transform(p.qs, lambda q: length(q))), 0) AS psize, a.f AS af, b.f AS bf
+  FROM forms t JOIN path p ON p.n = t.n AND p.ne = t.ne JOIN feats a ON a.l = t.fq JOIN feats b ON b.l = p.qs),
+sims AS (SELECT *, greatest(least(fsize, psize), 1)::FLOAT / greatest(fsize, psize, 1)::FLOAT AS sz, {alike("af", "bf", "abs(z[1] - z[2])")} AS apart, {alike("af", "bf", "z[1] + z[2]")} AS total FROM pairs WHERE psize > 0),
+scored AS (SELECT *, (sq + sz) / 2::FLOAT - 0.1::FLOAT * gone::FLOAT - 0.02::FLOAT * abs(parts - len(ids))::FLOAT AS score
+  FROM (SELECT *, CASE WHEN total = 0 THEN 0::FLOAT ELSE 1::FLOAT - apart::FLOAT / total::FLOAT END AS sq FROM sims) WHERE sz >= 0.9::FLOAT AND sq >= 0.9::FLOAT {extra}),
+-- of equal scores the path taken later, that is the farther from the haplotype's size, the longer, the larger
+best AS (SELECT n, ne, ord, max(score) AS score, arg_max(ids, (score, abs(hsize - psize), len(ids), ids, -gone)) AS ids, arg_max(gone = 0, (score, abs(hsize - psize), len(ids), ids, -gone)) AS whole FROM scored WHERE score > 0 GROUP BY ALL),
+found AS (SELECT n, ne, list({{'score': score, 'ids': ids, 'whole': whole, 'cov': cov, 'hp': hp}} ORDER BY CASE WHEN hp = 2 THEN 0 WHEN hp IS NULL THEN 1 ELSE 2 END, ord) AS ps FROM best JOIN final USING (n, ne, ord) GROUP BY n, ne),
+sites AS (SELECT x.s_suppkey, x.n, x.ne, x.node, h.ploidy, coalesce(dp, 0) AS dp, depth.ps AS phase, coalesce(found.ps, []) AS ps, coalesce(list_contains(found.ps[1].ids, x.node), false) AS in1, coalesce(list_contains(found.ps[2].ids, x.node), false) AS in2
+  FROM nodes x JOIN hoods h ON h.n = x.n AND h.ne = x.ne LEFT JOIN depth ON depth.n = x.n AND depth.ne = x.ne LEFT JOIN found ON found.n = x.n AND found.ne = x.ne),
+named AS (SELECT *, CASE WHEN ploidy = 'Haploid' THEN CASE WHEN in1 THEN 'H1' ELSE 'H0' END WHEN len(ps) = 1 AND in1 THEN 'one' WHEN len(ps) = 2 AND in1 AND in2 THEN 'both' WHEN len(ps) = 2 AND in1 THEN 'first' WHEN len(ps) = 2 AND in2 THEN 'second' ELSE 'none' END AS c FROM sites),
+single AS ({sql_calls("SELECT n, ne, dp - ps[1].cov AS r, ps[1].cov AS a FROM (SELECT DISTINCT n, ne, dp, ps FROM sites) WHERE len(ps) = 1", "n, ne")}),
+called AS (SELECT named.*, CASE c WHEN 'H1' THEN '1' WHEN 'H0' THEN CASE WHEN dp = 0 THEN '.' ELSE '0' END WHEN 'both' THEN '1|1' WHEN 'first' THEN '1|0' WHEN 'second' THEN '0|1'
+    WHEN 'one' THEN CASE WHEN one_state = 'Hom' THEN '1|1' WHEN ps[1].hp IS NULL OR ps[1].hp = 1 THEN '0|1' ELSE '1|0' END ELSE CASE WHEN dp = 0 THEN './.' ELSE '0|0' END END AS gt,
+  CASE WHEN c IN ('H1', 'both') THEN 'Hom' WHEN c IN ('first', 'second') THEN 'Het' WHEN c = 'one' THEN CASE WHEN one_state = 'Hom' THEN 'Hom' ELSE 'Het' END WHEN dp = 0 THEN 'Non' ELSE 'Ref' END AS called,
+  (CASE c WHEN 'H1' THEN ps[1].cov WHEN 'one' THEN ps[1].cov WHEN 'first' THEN ps[1].cov WHEN 'second' THEN ps[2].cov WHEN 'both' THEN ps[1].cov + ps[2].cov ELSE 0 END)::BIGINT AS alt,
+  CASE c WHEN 'one' THEN ps[1].whole WHEN 'first' THEN ps[1].whole WHEN 'second' THEN ps[2].whole WHEN 'both' THEN ps[1].whole OR ps[2].whole ELSE true END AS whole
+  FROM (SELECT named.*, single.state AS one_state FROM named LEFT JOIN single ON single.n = named.n AND single.ne = named.ne) named),
+done AS ({call})
+SELECT s_suppkey, 'chr' || n AS chrom, ne::BIGINT AS ne, CASE WHEN skip THEN './.' ELSE gt END AS gt,
+  (CASE WHEN skip THEN 0 ELSE CASE WHEN state <> called THEN 1 ELSE 0 END + CASE WHEN gq_raw < 5 THEN 2 ELSE 0 END + CASE WHEN dp < 5 THEN 4 ELSE 0 END + CASE WHEN called <> 'Ref' AND sq_raw < 5 THEN 8 ELSE 0 END
+    + CASE WHEN called <> 'Ref' AND alt < 5 THEN 16 ELSE 0 END + CASE WHEN NOT whole THEN 32 ELSE 0 END END)::INT AS ft,
+  CASE WHEN skip THEN 0 ELSE round(sq_raw) END::INT AS sq, CASE WHEN skip THEN 0 ELSE round(gq_raw) END::INT AS gq, CASE WHEN len(ps) > 0 THEN phase END::INT AS ps, dp::INT AS dp,
+  CASE WHEN skip THEN '' ELSE (dp - alt) || ',' || alt END AS ad, array_to_string(list_transform(ps, lambda x: trunc(x.score * 100::FLOAT)::INT), ',') AS ks, CASE WHEN skip THEN 'Non' ELSE called END AS gt_state
+FROM (SELECT *, ploidy = 'Zero' AS skip FROM done)
+UNION ALL SELECT s_suppkey, 'chr' || n, 0, './.', 0, 0, 0, NULL, 0, '', '', 'Non' FROM s WHERE s_suppkey % 13 = 5"""
+
+
+@query(sql_genotype(one_to_one=False))
 def full_genotype(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters, neighbourhoods, spanning reads, clustering, path search and annotation, end to end."""
-    records, reads, regions = genotype_inputs(spark, sf_dir)
-    done = genotype.genotype(records, reads, regions, GenotypeParams())
-    return done.select(F.col("id").cast("long").alias("s_suppkey"), "chrom", "ne", "gt", "ft", "sq", "gq", "dp", F.array_join("ad", ",").alias("ad"), F.array_join("ks", ",").alias("ks"), "gt_state")
+    return _genotyped(spark, sf_dir, GenotypeParams())
 
 
-@query()
+@query(sql_genotype(one_to_one=True))
 def full_genotype_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records, reads, regions = genotype_inputs(spark, sf_dir)
-    done = genotype.genotype(records, reads, regions, GenotypeParams(one_to_one=True))
-    return done.select(F.col("id").cast("long").alias("s_suppkey"), "gt", "dp", "gt_state")
+    return _genotyped(spark, sf_dir, GenotypeParams(one_to_one=True))
+
 
+def _genotyped(spark: SparkSession, sf_dir: str, p: GenotypeParams) -> DataFrame:
+    records, reads, regions, ploidy = genotype_inputs(spark, sf_dir)
+    done = genotype.genotype(records, reads, regions, p, ploidy)
+    return done.select(F.col("id").cast("long").alias("s_suppkey"), "chrom", "ne", "gt", "ft", "sq", "gq", "ps", "dp", F.array_join("ad", ",").alias("ad"), F.array_join("ks", ",").alias("ks"), "gt_state")
