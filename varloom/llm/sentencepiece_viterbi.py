@@ -6,10 +6,10 @@ For a BPE model a path's score is the sum of piece scores over steps that BPE it
 standing, minus infinity otherwise: a step is allowed if merging would never have joined the two pieces
 across their boundary. Exactly one path survives, and it is the library's own segmentation.
 
-Characters outside the vocabulary become byte pieces. Each distinct word is encoded once a block.
+Characters outside the vocabulary become byte pieces. Each distinct word is encoded once a block. A run of over
+160 characters without a space is searched in overlapping chunks of 144, all side by side.
 
-Defined cases: null or empty texts have no ids and decode to ''; texts of any length are one unit, with
-a word of n characters costing O(n); repeated rows are encoded each; an empty table gives an empty
+Defined cases: null or empty texts have no ids and decode to ''; texts of any length are one unit; repeated rows are encoded each; an empty table gives an empty
 result; other columns pass through `encode` untouched.
 """
 
@@ -30,6 +30,9 @@ SPACE = "▁"
 _B = np.uint64(0x9E3779B97F4A7C15)
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _NEVER = np.int64(1) << 62
+STRIDE, OVERLAP = 96, 48
+LONG = 160  # characters of a word from which it is searched in chunks
+_CHUNK_CHARS = 1 << 20  # characters searched at once
 
 
 @dataclass
@@ -204,7 +207,12 @@ class Viterbi:
         lens = np.zeros(len(words), np.int64)
         where = np.zeros(len(words), np.int64)
         start = 0
-        for size in np.unique(sizes):
+        long = np.flatnonzero(sizes > LONG)
+        if len(long):
+            ids, count = self._bytes(*self.encode_long([words[i] for i in long]))
+            lens[long], where[long], start = count, np.cumsum(count) - count, len(ids)
+            flats.append(ids)
+        for size in np.unique(sizes[sizes <= LONG]):
             index = np.flatnonzero(sizes == size)
             if size == 0:
                 continue
@@ -221,6 +229,35 @@ class Viterbi:
         order = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(where - (ends - lens), lens)
         return flat[order].astype(np.int32), lens
 
+    def encode_long(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """encode_equal for words of any length, as overlapping chunks of one length side by side.
+
+        Where two neighbouring chunks have a piece in common at the same place, the path of the left one up to it and
+        that of the right one after it are one path, all of whose neighbours stand: it is the word's only one.
+        Where they have none, the right one is searched again from a piece of the left one on, in step with it; failing
+        that, both as one, so that a stretch whose neighbours never agree costs as much as one long search.
+        """
+        chars = [np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) for w in words]
+        spans = [_chunks(len(c)) for c in chars]
+        found: list[dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]] = [{} for _ in words]
+        while True:
+            todo = [(k, a, b) for k, s in enumerate(spans) for a, b in s if (a, b) not in found[k]]
+            if not todo:
+                break
+            size = np.array([b - a for _, a, b in todo])
+            for n in np.unique(size):
+                rows = np.flatnonzero(size == n)
+                step = max(1, _CHUNK_CHARS // int(n))
+                for lo in range(0, len(rows), step):
+                    part = [todo[r] for r in rows[lo : lo + step]]
+                    ids, count = self.encode_equal(np.stack([chars[k][a:b] for k, a, b in part]))
+                    for (k, a, b), own in zip(part, np.split(ids, np.cumsum(count)[:-1]), strict=True):
+                        width = np.where(own >= 0, self.m.length[np.maximum(own, 0)], 1)
+                        found[k][a, b] = own, a + np.cumsum(width) - width
+            spans = [_agreeing(s, f) for s, f in zip(spans, found, strict=True)]
+        out = [_stitched(s, f) for s, f in zip(spans, found, strict=True)]
+        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+
     def _bytes(self, ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece, as the byte pieces of their UTF-8 form."""
         lone = np.flatnonzero(ids < -1)
@@ -240,6 +277,49 @@ class Viterbi:
         return out, np.bincount(word, weights=width, minlength=len(count)).astype(np.int64)
 
 
+def _chunks(n: int, first: int = 0) -> list[tuple[int, int]]:
+    """Spans of a word from `first` on; starts are multiples of 16 apart, so that runs of one character meet in step."""
+    out = [(a, a + STRIDE + OVERLAP) for a in range(first, n - STRIDE - OVERLAP, STRIDE)]
+    return [*out, (first + max(n - STRIDE - OVERLAP - first, 0) // 16 * 16, n)]
+
+
+def _common(left: tuple, right: tuple, least: int) -> int | None:
+    """Start of the first piece, at `least` or later, that two chunks have at the same place."""
+    (a, at_a), (b, at_b) = left, right
+    lo = np.searchsorted(at_a, max(least, int(at_b[0])))
+    key = lambda ids, at: at * (1 << 32) + (ids + (1 << 31))
+    mine = key(a[lo:], at_a[lo:])
+    same = mine[np.isin(mine, key(b, at_b), assume_unique=True)]
+    return int(same[0] >> 32) if len(same) else None
+
+
+def _agreeing(spans: list[tuple[int, int]], found: dict) -> list[tuple[int, int]]:
+    """spans, mended at their first neighbours that have no piece in common: the right one and all after it start
+    anew where a piece of the left one starts, or, if it does already, both become one."""
+    least = 0
+    for k, (one, two) in enumerate(zip(spans[:-1], spans[1:], strict=True)):
+        here = _common(found[one], found[two], least)
+        if here is None:
+            starts = found[one][1]
+            begin = int(starts[np.searchsorted(starts, max(least, two[0]))])
+            if begin in (two[0], one[0]):
+                return [*spans[:k], (one[0], two[1]), *spans[k + 2 :]]
+            return [*spans[: k + 1], *_chunks(spans[-1][1], begin)]
+        least = here
+    return spans
+
+
+def _stitched(spans: list[tuple[int, int]], found: dict) -> np.ndarray:
+    parts, least = [], 0
+    for span, after in zip(spans, [*spans[1:], None], strict=True):
+        ids, at = found[span]
+        stop = _common(found[span], found[after], least) if after else None
+        lo, hi = np.searchsorted(at, least), len(at) if stop is None else np.searchsorted(at, stop)
+        parts.append(ids[lo:hi])
+        least = stop if stop is not None else least
+    return np.concatenate(parts)
+
+
 class Codec:
     """Whole texts to ids and back."""
 
