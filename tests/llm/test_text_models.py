@@ -144,17 +144,38 @@ def test_items_beyond_18_bits_are_found_under_their_own_number():
     assert [(d, k, x) for d, k, x, _ in items.leaks(data, off)] == [(1, len(texts) - 1, 0), (2, 5, 0), (2, 1 << 18, 0)]
 
 
+def test_long_texts_are_read_in_pieces():
+    item = "the quick brown fox jumps over the lazy dog and runs into the deep dark forest at night"
+    items = decontaminate.Items([[5], [6]], [item, "tiny 7"], decontaminate.LeakParams())
+    for at in (0, 990, 1000, 1010, 1080, 2500, 4909):
+        raw = bytearray(b"z" * 5000)
+        raw[at : at + len(item)] = item.encode()
+        raw[3000:3006] = b"tiny 7"
+        data, off = np.frombuffer(b"ab" + bytes(raw) + item.encode(), np.uint8), np.array([0, 2, 5002, 5002 + len(item)])
+        got = items.leaks(data, off, piece=1000)
+        assert (1, 0, 0, at + len(item)) in got and (1, 1, 0, 3006) in got and (2, 0, 0, len(item)) in got and {g[0] for g in got} == {1, 2}
+
+
+def test_an_item_far_into_a_text():
+    item = "the quick brown fox jumps over the lazy dog and runs into the deep dark forest at night"
+    items = decontaminate.Items([[5]], [item], decontaminate.LeakParams())
+    data = np.full(70_000_100, ord("y"), np.uint8)
+    data[70_000_000 : 70_000_000 + len(item)] = np.frombuffer(item.encode(), np.uint8)
+    assert items.leaks(data, np.array([0, len(data)])) == [(0, 0, 0, 70_000_000 + len(item))]
+
+
 def test_find_and_drop_leaks(spark):
     item = "the quick brown fox jumps over the lazy dog and runs into the deep dark forest at night"
     docs = [(1, "A " + item.upper().replace(" ", "\n") + " b", "k"), (2, item[:60], "k"), (3, None, None), (4, "", "k"), (None, item, "k"), (6, "x" * 100_000 + item[:40] + "zz" + item[41:], "k"), (7, "a tiny b", "k"), (7, "a tiny b", "k")]
     df = spark.createDataFrame(docs, "doc_id long, text string, leaks string")
-    bench = spark.createDataFrame([(10, item), (11, "tiny"), (12, None), (13, ""), (14, "never there at all in these documents of mine, I say")], "item_id long, text string")
-    want = [(None, [10]), (1, [10]), (2, []), (3, []), (4, []), (6, [10]), (7, [11]), (7, [11])]
+    bench = spark.createDataFrame([(10, item), (11, "tiny"), (12, None), (13, ""), (14, "never there at all in these documents of mine, I say"), (15, "tiny")], "item_id long, text string")
+    want = [(None, [10]), (1, [10]), (2, []), (3, []), (4, []), (6, [10]), (7, [11, 15]), (7, [11, 15])]
     for part in (4 << 20, 60):  # one part, then several passes
         got = decontaminate.find_leaks(df, bench, p=decontaminate.LeakParams(part_bytes=part)).collect()
         assert sorted(((r.doc_id, sorted({x.item_id for x in r.leaks})) for r in got), key=str) == sorted(want, key=str)
-    kept = decontaminate.drop_leaks(df, bench)
-    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]
+        kept = decontaminate.drop_leaks(df, bench, p=decontaminate.LeakParams(part_bytes=part))
+        assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]
+    assert decontaminate.drop_leaks(df.limit(0), bench).collect() == []
     assert decontaminate.find_leaks(df.limit(0), bench).collect() == []
     assert all(not r.leaks for r in decontaminate.find_leaks(df, bench.limit(0)).collect())
 
@@ -184,3 +205,41 @@ def test_evidence_fusion(spark):
     assert langid.identify(df.limit(0), model).collect() == []
     none = langid.train(docs.limit(0))
     assert {r.lang for r in langid.identify(df, none).collect()} == {None}
+
+
+# --- long words
+
+
+@pytest.mark.parametrize("kind", ["letters", "pieces", "cjk", "runs", "periods", "mixed"])
+def test_words_of_any_length_get_the_librarys_ids(kind):
+    import public_tokenizers
+    import sentencepiece
+
+    rng, file = random.Random(kind), public_tokenizers.path("piece_bpe_32k.model")
+    make = {
+        "letters": lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)),
+        "pieces": lambda n: "".join(rng.choice(["the", "ing", "tion", "er", "house", "anti", "of", "X"]) for _ in range(n // 3)),
+        "cjk": lambda n: "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(n)),
+        "runs": lambda n: "".join(rng.choice("a=0-x") * rng.randint(1, 400) for _ in range(max(1, n // 200))),
+        "periods": lambda n: "".join(rng.choice(["ab", "abc", "0123456789", "-=", "han"]) * rng.randint(1, 150) for _ in range(max(1, n // 200))),
+        "mixed": lambda n: " ".join("".join(chr(rng.choice([97, 101, 233, 0x4E00, 0x1F600, 0x2581])) for _ in range(rng.randint(1, 400))) for _ in range(3)),
+    }[kind]
+    texts = [make(n) for n in (160, 161, 200, 303, 1000, 3001)]
+    ids, lens = sentencepiece_viterbi.codec(file).encode(texts)
+    want = sentencepiece.SentencePieceProcessor(model_file=file).encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])] == want
+
+
+def test_a_megabyte_without_a_space_takes_seconds():
+    import time
+
+    import public_tokenizers
+    import sentencepiece
+
+    file = public_tokenizers.path("piece_bpe_32k.model")
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    began = time.perf_counter()
+    ids, _ = sentencepiece_viterbi.codec(file).encode([text])
+    assert time.perf_counter() - began < 20
+    assert ids.tolist() == sentencepiece.SentencePieceProcessor(model_file=file).encode(text)

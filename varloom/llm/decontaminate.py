@@ -9,8 +9,9 @@ that many edits to leave a q-gram.
 
 Texts and items are compared with A-Z lower-cased and white space as blanks, over whole texts.
 
-The items are broadcast in parts of at most `part_bytes`; a larger benchmark takes several passes over the
-documents, each against one part.
+The distinct items are broadcast in parts of about `part_bytes` at most; a larger benchmark takes several scans of
+the documents, each against one part, which write nothing but hits. A benchmark's grams are dense in any text of
+its language, so that sending all shared grams to a join would move far more than the scans read.
 
 Defined cases: null or empty texts hold no item; null or empty items match nothing; items shorter than q
 are found as exact substrings; repeated items are reported each, repeated rows judged each; null ids stay
@@ -26,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, eight_bytes, text_buffers, written
+from .common import blocks, eight_bytes, text_buffers
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -130,58 +131,89 @@ class Items:
         best = cost.argmin(axis=1)
         return cost[np.arange(len(begin)), best], np.minimum(start + m + best, end - begin)
 
-    def leaks(self, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(document, item, edits, end) of verified regions, the best of overlapping bands."""
+    def leaks(self, data: np.ndarray, off: np.ndarray, piece: int = 4 << 20) -> list[tuple[int, int, int, int]]:
+        """(document, item, edits, end) of verified regions, the best of overlapping bands.
+
+        A text longer than `piece` is read in pieces that overlap by the longest region, so no text needs more memory."""
         data = _FOLD[data]
-        doc, item, first = self.bands(data, off)
         found: dict[tuple[int, int, int], int] = {}
-        for k in np.unique(item):
-            rows = np.flatnonzero(item == k)
+        lap = int((self.m + self.edits).max(initial=0)) + self.q
+        small = np.diff(off) <= piece + lap
+        run = np.flatnonzero(np.append(True, small[1:] & small[:-1] == 0)) if len(small) else np.zeros(0, np.int64)
+        for a, b in zip(run.tolist(), [*run[1:].tolist(), len(small)], strict=False):
+            if small[a]:
+                self._search(data[off[a] : off[b]], off[a : b + 1] - off[a], a, 0, found)
+            else:
+                for lo in range(0, int(off[b] - off[a]) - lap, piece):
+                    part = data[off[a] + lo : min(off[a] + lo + piece + lap, off[b])]
+                    self._search(part, np.array([0, len(part)]), a, lo, found)
+        return sorted((d, k, x, y) for (d, k, y), x in found.items())
+
+    def _search(self, data: np.ndarray, off: np.ndarray, first_doc: int, shift: int, found: dict[tuple[int, int, int], int]) -> None:
+        doc, item, first = self.bands(data, off)
+        order = np.argsort(item, kind="stable")
+        doc, item, first = doc[order], item[order], first[order]
+        cut = np.flatnonzero(np.append(True, item[1:] != item[:-1])[: len(item)])
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(item)], strict=False):
+            k = int(item[a])
             step = max(1, (1 << 18) // int(self.m[k] + 4 * self.edits[k] + 2))
-            for a in range(0, len(rows), step):
-                r = rows[a : a + step]
-                edits, end = self.align(int(k), data, off[doc[r]], off[doc[r] + 1], first[r])
-                for d, x, y in zip(doc[r].tolist(), edits.tolist(), end.tolist(), strict=True):
+            for lo in range(a, b, step):
+                r = slice(lo, min(lo + step, b))
+                edits, end = self.align(k, data, off[doc[r]], off[doc[r] + 1], first[r])
+                for d, x, y in zip((doc[r] + first_doc).tolist(), edits.tolist(), (end + shift).tolist(), strict=True):
                     if x <= self.edits[k]:
-                        found[d, int(k), y] = min(x, found.get((d, int(k), y), x))
+                        found[d, k, y] = min(x, found.get((d, k, y), x))
+        raw = data.tobytes() if self.short else b""
         for k in self.short:
-            if self.m[k]:
-                raw, want = data.tobytes(), self.texts[k].tobytes()
-                at = raw.find(want)
-                while at >= 0:
-                    d = int(np.searchsorted(off, at, side="right")) - 1
-                    if at + len(want) <= off[d + 1]:
-                        found[d, k, at + len(want) - int(off[d])] = 0
-                    at = raw.find(want, at + 1)
-        return sorted((d, k, x, y) for (d, k, y), x in found.items())
+            want = self.texts[k].tobytes()
+            at = raw.find(want) if want else -1
+            while at >= 0:
+                d = int(np.searchsorted(off, at, side="right")) - 1
+                if at + len(want) <= off[d + 1]:
+                    found[d + first_doc, k, at + len(want) - int(off[d]) + shift] = 0
+                at = raw.find(want, at + 1)
 
 
 _LEAKS = "array<struct<item_id:bigint,edits:bigint,end:bigint>>"
 
 
-def _passes(rows: DataFrame, benchmark: DataFrame, item: str, item_text: str, p: LeakParams, step) -> DataFrame:
-    """step(rows, broadcast index) for each part of the items, of about part_bytes at most. Of several parts,
-    each has a pass of its own, so that no worker holds two."""
-    spark = rows.sparkSession
+def _indexes(benchmark: DataFrame, item: str, item_text: str, p: LeakParams) -> list:
+    """Broadcast indexes of the distinct items, each over about part_bytes at most, with the ids of each."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t")).where("t <> ''")
+    items = items.groupBy("t").agg(F.collect_list("i").alias("ids"), F.count("*").alias("n"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = total // p.part_bytes + 1
+    out = []
     for k in range(parts):
-        part = items.where(F.pmod(F.xxhash64("t"), F.lit(parts)) == k).collect()
-        part = sorted(part, key=lambda r: (r.i is None, r.i, r.t))
-        index = spark.sparkContext.broadcast(Items([r.i for r in part], [r.t for r in part], p))
-        rows = step(rows, index)
-        if parts > 1:
-            rows = written(rows, "leak-pass")
-            index.unpersist()
-    return rows
+        part = sorted(items.where(F.pmod(F.xxhash64("t"), F.lit(parts)) == k).collect(), key=lambda r: r.t)
+        out.append(spark.sparkContext.broadcast(Items([sorted(r.ids) + [None] * (r.n - len(r.ids)) for r in part], [r.t for r in part], p)))
+    return out
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", p: LeakParams = LeakParams()) -> DataFrame:
     """(doc_id, leaks array<struct<item_id, edits, end>>) of every document; end is a byte offset."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.array().cast(_LEAKS).alias("leaks"))
-    step = lambda df, index: df.mapInArrow(_marker(index, p), f"doc_id long, text string, leaks {_LEAKS}")
-    return _passes(rows, benchmark, item, item_text, p, step).select("doc_id", "leaks")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    indexes = _indexes(benchmark, item, item_text, p)
+    if len(indexes) == 1:
+        return rows.mapInArrow(_marker(indexes[0], p), f"doc_id long, leaks {_LEAKS}")
+    hits = _hits(rows.select("text"), indexes, p).select(F.col("digest").alias("__digest"), "leaks")
+    marked = rows.select("doc_id", _digest("text").alias("digest")).join(hits, F.col("digest") == F.col("__digest"), "left")
+    return marked.select("doc_id", F.coalesce("leaks", F.array().cast(_LEAKS)).alias("leaks"))
+
+
+def _digest(text: str):
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
+def _hits(rows: DataFrame, indexes: list, p: LeakParams) -> DataFrame:
+    """(digest, leaks) of the texts that hold items of any part. Each part has a scan of its own, so that no worker
+    holds two indexes; only hits leave it."""
+    found = None
+    for index in indexes:
+        part = rows.select(_digest("text").alias("digest"), "text").mapInArrow(_marker(index, p), f"digest string, leaks {_LEAKS}").where(F.size("leaks") > 0).dropDuplicates(["digest"])
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("digest").agg(F.flatten(F.collect_list("leaks")).alias("leaks"))
 
 
 def _marker(index, p: LeakParams):
@@ -193,17 +225,18 @@ def _marker(index, p: LeakParams):
         items = index.value
         for batch in batches:
             data, off = text_buffers(batch.column(1))
-            before = batch.column(2).to_pylist()
+            got: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for i, j in blocks(off, p.block_bytes):
                 for d, k, x, y in items.leaks(data[off[i] : off[j]], off[i : j + 1] - off[i]):
-                    before[i + d].append({"item_id": items.ids[k], "edits": x, "end": y})
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(before, kind)], names=["doc_id", "text", "leaks"])
+                    got[i + d] += [{"item_id": name, "edits": x, "end": y} for name in items.ids[k]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, kind)], names=[batch.schema.names[0], "leaks"])
 
     return mark
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", p: LeakParams = LeakParams()) -> DataFrame:
-    """docs without the documents that hold an item; rows are filtered where they are read, nothing is shuffled."""
+    """docs without the documents that hold an item. Of one part of items, rows are filtered where they are read and
+    nothing is shuffled."""
     import pyarrow as pa
 
     place = docs.columns.index(text)
@@ -220,4 +253,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
 
         return work
 
-    return _passes(docs, benchmark, item, item_text, p, lambda df, index: df.mapInArrow(clean(index), docs.schema))
+    indexes = _indexes(benchmark, item, item_text, p)
+    if len(indexes) == 1:
+        return docs.mapInArrow(clean(indexes[0]), docs.schema)
+    hits = _hits(docs.select(F.col(text).alias("text")), indexes, p).select(F.col("digest").alias("__digest"))
+    return docs.join(hits, _digest(text) == F.col("__digest"), "left_anti")
