@@ -1,6 +1,7 @@
 """MinHash near-dedup, suffix arrays and the pipeline."""
 
 import collections
+import dataclasses
 import hashlib
 import itertools
 import random
@@ -33,31 +34,48 @@ def test_induced_sorting_against_sorting():
         assert sais.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: as_list[i:])
 
 
-def test_common_prefixes():
-    rng = np.random.default_rng(2)
-    text = rng.integers(97, 99, 300).astype(np.uint8)
-    text[150:250] = text[20:120]
-    sa = sais.suffix_array(np.append(text.astype(np.int32) + 1, 0))
-    agree = sais.common_prefix(np.append(text, 0).astype(np.uint8), sa, 16)
-    raw = text.tobytes()
-    for a, b in itertools.pairwise(sa.tolist()):
-        assert agree[b] == (raw[a : a + 16] == raw[b : b + 16] and len(raw[b : b + 16]) == 16 == len(raw[a : a + 16]))
+def test_induced_sorting_of_long_runs():
+    import time
+
+    rng = np.random.default_rng(5)
+    cases = [np.repeat(rng.integers(1, 4, 40), rng.integers(1, 200, 40)) for _ in range(12)]
+    cases += [np.full(3000, 2), np.concatenate([np.full(2000, 5), [3], np.full(2000, 5)]), np.tile([1, 2], 1500), np.concatenate([[9], np.full(2500, 4), [9], np.full(700, 4)])]
+    for x in cases:
+        t = np.append(x, 0)
+        raw = bytes(t.astype(np.uint8))
+        assert sais.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: raw[i:])
+    began = time.perf_counter()
+    sais.suffix_array(np.append(np.full(1_000_000, 7), 0))
+    assert time.perf_counter() - began < 10
 
 
-def brute_repeats(rows):
+def test_common_prefixes():
+    rng = np.random.default_rng(2)
+    for k in range(20):
+        text = rng.integers(97, 97 + 1 + k % 4, 300)
+        text[150:250] = text[20:120]
+        t = np.append(text, 0)
+        sa = sais.suffix_array(t)
+        got = sais.common_prefixes(t, sa, t.astype(np.uint8))
+        raw = bytes(t.astype(np.uint8))
+        common = lambda a, b: next((d for d in range(len(raw) - max(a, b)) if raw[a + d] != raw[b + d]), len(raw) - max(a, b))
+        assert [int(got[b]) for b in sa[1:]] == [common(a, b) for a, b in itertools.pairwise(sa.tolist())]
+
+
+def brute_repeats(rows, n=50):
     first = {}
     late = lambda d: 1 << 62 if d is None else d
     for d, t in rows:
         b = (t or "").encode()
-        for i in range(len(b) - 49):
-            first[b[i : i + 50]] = min(late(d), first.get(b[i : i + 50], 1 << 63))
+        for i in range(len(b) - n + 1):
+            first[b[i : i + n]] = min(late(d), first.get(b[i : i + n], 1 << 63))
     out = []
     for d, t in rows:
         b = (t or "").encode()
         gone = bytearray(len(b))
-        for i in range(len(b) - 49):
-            if first[b[i : i + 50]] < late(d):
-                gone[i : i + 50] = b"\1" * 50
+        for i in range(len(b) - n + 1):
+            if first[b[i : i + n]] < late(d):
+                gone[i : i + n] = b"\1" * n
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         spans = sum(gone[i] and not (i and gone[i - 1]) for i in range(len(b)))
         out.append((d, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
@@ -71,18 +89,27 @@ def random_docs():
     return [(i, "".join(piece() for _ in range(6)) + "a" * rng.randrange(200)) for i in range(120)], base
 
 
-SMALL = suffix_dedup.RepeatParams(bucket_bytes=1 << 13, shard_bytes=1 << 14, group_bytes=1 << 14, fan_in=4)
+SMALL = suffix_dedup.RepeatParams(bucket_bytes=1 << 13, shard_bytes=1 << 14, group_bytes=1 << 14, fan_in=4, hot_buckets=1)
 
 
-@pytest.mark.parametrize("repeated", [False, True])
-def test_repeats_against_brute_force(spark, repeated):
+@pytest.mark.parametrize(("repeated", "span", "hot"), [(False, 50, 1), (True, 50, 1), (False, 50, 64), (False, 200, 1), (False, 33, 1), (False, 20, 1)])
+def test_repeats_against_brute_force(spark, repeated, span, hot):
     docs, base = random_docs()
+    rng = random.Random(9)  # one anchor of many documents, with other bytes beside it
+    docs += [(700 + i, "".join(rng.choice("xyz") for _ in range(rng.randrange(60))) + " " * 40 + "".join(rng.choice(["uv", "w"]) for _ in range(rng.randrange(60)))) for i in range(60)]
     docs += [(500, None), (501, ""), (600, "ab" * 3000), (601, "ab" * 200), (602, "a" * 49), (603, "a" * 50)]
     if repeated:
         docs += [(None, base[:300]), (None, base[:300]), (None, base[200:600]), (3, base[100:700]), (3, base[100:700]), (3, base[50:400])]
     df = spark.createDataFrame([(d, t, "k") for d, t in docs], "doc_id long, text string, n_spans string")
-    got = suffix_dedup.remove_repeats(df, p=SMALL, keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_repeats(docs)
+    p = dataclasses.replace(SMALL, span=span, hot_buckets=hot)
+    got = suffix_dedup.remove_repeats(df, p=p, keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_repeats(docs, span)
+
+
+def test_spans_out_of_range_are_refused():
+    for span in (0, 17, 30_001):
+        with pytest.raises(ValueError, match="span"):
+            suffix_dedup.RepeatParams(span=span)
 
 
 def test_repeats_keep_columns_and_text(spark):

@@ -75,5 +75,22 @@ QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1
 """
 
 
+#: Every 50-byte window of every text as hex digits; a window goes if it also starts in a document of smaller id.
+OP7 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+r AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE doc_id > least),
+o AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS opens FROM r),
+g AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM o),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, a, b FROM runs UNION ALL SELECT doc_id, length(h) // 2, NULL FROM d),
+parts AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b NULLS LAST), 0) AS since FROM cuts)
+SELECT doc_id, any_value(length(h) // 2)::BIGINT AS n_bytes, coalesce(sum(b - a), 0)::BIGINT AS n_removed, count(b)::BIGINT AS n_spans,
+  sha256(unhex(string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a, b NULLS LAST))) AS kept_sha256
+FROM parts JOIN d USING (doc_id) GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1, "op2_chat_formatting": OP2, "op3_quality_rules": OP3, "op5_sharding": OP5}
+    return {"op1_url_filters": OP1, "op2_chat_formatting": OP2, "op3_quality_rules": OP3, "op5_sharding": OP5, "op7_suffix_dedup": OP7}

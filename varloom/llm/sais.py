@@ -46,6 +46,8 @@ def _induce(t: np.ndarray, short: np.ndarray, s: np.ndarray, marked: np.ndarray,
     head, size = _heads(short[marked][order])
     sym = short[marked][order][head].astype(np.int64)
     sa[np.repeat(ends[sym] - size - head, size) + every[: len(marked)]] = marked[order]
+    starts = np.append(0, np.flatnonzero(t[1:] != t[:-1]) + 1)  # of runs of one symbol
+    run_start = lambda x: starts[np.searchsorted(starts, x, side="right") - 1]
     flag = np.zeros(n + 2, bool)  # the last two stand for "no suffix before" (-1) and "no entry" (-2)
     flag[:n] = ~s
     # L-type suffixes, left to right
@@ -66,9 +68,14 @@ def _induce(t: np.ndarray, short: np.ndarray, s: np.ndarray, marked: np.ndarray,
         limit = int(live[take]) + at if take < len(live) else stop
         done = max(at + int(live[take - 1]) + 1, min(limit, int(reach[take - 1])))
         if take == 1:
-            c = t[j[0]]
-            sa[free[c]] = j[0]
-            free[c] += 1
+            c, x = t[j[0]], int(j[0])
+            slot = int(free[c])
+            run = 1
+            if slot == done:  # the next entry is this one: the symbol's run follows entry by entry
+                run = x - int(run_start(x)) + 1
+                done = slot + run - 1
+            sa[slot : slot + run] = np.arange(x, x - run, -1)
+            free[c] += run
         else:
             sym = short[j[:take]]
             order = sym.argsort(kind="stable")
@@ -98,9 +105,15 @@ def _induce(t: np.ndarray, short: np.ndarray, s: np.ndarray, marked: np.ndarray,
         limit = at - int(live[take]) if take < len(live) else stop
         done = min(at - int(live[take - 1]) - 1, max(limit, int(reach[take - 1]) + 1))
         if take == 1:
-            c = t[j[0]]
+            c, x = t[j[0]], int(j[0])
             free[c] -= 1
-            sa[free[c]] = j[0]
+            slot = int(free[c])
+            run = 1
+            if slot == done - 1:
+                run = x - int(run_start(x)) + 1
+                done = slot - run + 2
+            sa[slot - run + 1 : slot + 1] = np.arange(x - run + 1, x + 1)
+            free[c] -= run - 1
         else:
             sym = short[j[:take]]
             order = sym.argsort(kind="stable")
@@ -158,19 +171,32 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     return _induce(t, short, s, ordered, ends, counts)
 
 
-def common_prefix(text: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
-    """Permuted common prefixes: for each text position, whether its suffix and the one before it in the
-    array agree in cap bytes or more; bool, in text order.
+def common_prefixes(t: np.ndarray, sa: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Permuted common prefixes: for each text position in text order, how many bytes of raw its suffix and the one
+    before it in the array (its `phi`) have in common; 0 for the first of the array.
 
-    Positions compare eight bytes at a time with the suffix before (their `phi`), all at once.
+    Where a suffix and its phi follow the same symbol, the value is the last position's less one. Only the others are
+    compared, eight bytes at a time, all at once; their values sum to n log n at most.
     """
-    n = len(text)
+    n = len(t)
     phi = np.full(n, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
-    word = eight_bytes(np.concatenate([text, np.zeros(cap, np.uint8)]))
-    i = np.flatnonzero(phi >= 0)
-    for depth in [*range(0, cap - 7, 8), cap - 8]:
-        i = i[word[i + depth] == word[phi[i] + depth]]
-    out = np.zeros(n, bool)
-    out[i] = True
-    return out
+    own = phi < 1
+    own[0] = True
+    rest = np.flatnonzero(~own)
+    own[rest] = t[rest - 1] != t[phi[rest] - 1]
+    word = np.append(eight_bytes(raw), np.zeros(8, np.uint64))
+    out = np.zeros(n, np.int64)
+    live = np.flatnonzero(own & (phi >= 0))
+    depth = 0
+    while len(live):
+        x = word[live + depth] ^ word[phi[live] + depth]
+        low = x & (~x + np.uint64(1))
+        out[live] = depth + np.where(x == 0, 8, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) // 8)
+        depth += 8
+        live = live[x == 0]
+        live = live[np.maximum(live, phi[live]) + depth < n]
+    place = np.arange(n)
+    out = np.where(own, np.minimum(out, n - np.maximum(place, phi)), 0)
+    last = np.maximum.accumulate(np.where(own, place, 0))
+    return out[last] - (place - last)

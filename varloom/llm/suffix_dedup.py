@@ -9,7 +9,8 @@ overlaps count, and all strings are judged on the input.
    fingerprints of anchors alone, five bytes each, and keeps those of two documents or more; the segments
    at such anchors are then sent, with their bytes, to shards by anchor. Equal segments of a bucket of
    documents are sent once, with the smallest document: in the bucket's later documents they are repeats
-   already (a combine before the shuffle).
+   already (a combine before the shuffle). An anchor of many buckets (blanks, rules of dashes) is dealt to several
+   shards, by the bytes before or after it.
 2. In a shard, segments that share neither the bytes before and with their anchor nor those with and after
    it with another document (half of a window's other bytes lie on one side) are left out. The distinct
    others form the shard's text. Its suffix array is made by induced sorting (see sais), the permuted common
@@ -36,13 +37,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import _powers, blocks, eight_bytes, mix64, text_buffers, written
-from .sais import common_prefix, suffix_array
+from .sais import common_prefixes, suffix_array
 
 SPAN = 50
 GRAM = 16
 _PRINT_BITS = 40
+_HOT = np.uint64(1) << np.uint64(63)
 NO_ID = np.iinfo(np.int64).max
-_META = np.dtype([("anchor", "u1"), ("size", "u1"), ("n_places", "<u4"), ("shard", "<u4"), ("doc", "<i8")])
+_META = np.dtype([("anchor", "<u2"), ("size", "<u2"), ("n_places", "<u4"), ("shard", "<u4"), ("doc", "<i8")])
 _PLACE = np.dtype([("key", "<u8"), ("offset", "<i8"), ("bucket", "<i4")])
 _RUN = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("count", "<i4")])
 
@@ -205,8 +207,9 @@ def unpack_prints(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def live_prints(blobs: list[bytes]) -> list[np.ndarray]:
-    """Of each bucket's fingerprints, those of two documents or more, in the bucket or in another one."""
+def live_prints(blobs: list[bytes], hot_buckets: int) -> list[np.ndarray]:
+    """Of each bucket's fingerprints, those of two documents or more, in the bucket or in another one; marked as hot
+    if more than hot_buckets buckets have them."""
     lists = [unpack_prints(x) for x in blobs]
     every = np.concatenate([np.concatenate(x) for x in lists])
     many = np.concatenate([np.concatenate([np.zeros(len(x[0]), bool), np.ones(len(x[1]), bool)]) for x in lists])
@@ -218,25 +221,57 @@ def live_prints(blobs: list[bytes]) -> list[np.ndarray]:
     twice[:-1] |= equal
     alive = many.copy()
     alive[order] |= twice
+    head = np.flatnonzero(np.append(True, ~equal)[: len(got)])
+    size = np.diff(np.append(head, len(got)))
+    mark = np.zeros(len(got), np.uint64)
+    mark[order] = np.where(np.repeat(size, size) > hot_buckets, _HOT, np.uint64(0))
     cut = np.cumsum([len(x[0]) + len(x[1]) for x in lists])[:-1]
-    return [np.sort(p[a]) for p, a in zip(np.split(every, cut), np.split(alive, cut), strict=True)]
+    return [np.sort((p | m)[a]) for p, m, a in zip(np.split(every, cut), np.split(mark, cut), np.split(alive, cut), strict=True)]
 
 
-def cut_segments(data: np.ndarray, off: np.ndarray, doc: np.ndarray, bucket: int, span: int, shards: int, live: np.ndarray, groups: int) -> Batch:
-    """The segments at live anchors of some texts; live is ascending."""
+def cut_segments(data: np.ndarray, off: np.ndarray, doc: np.ndarray, bucket: int, span: int, shards: int, live: np.ndarray, hot: np.ndarray, groups: int) -> Batch:
+    """The segments at live anchors of some texts; live is ascending, hot tells which of it are hot.
+
+    A segment at a hot anchor is sent as two, by the bytes beside the anchor: windows with `side` bytes or more
+    before it, and the others, which have more than `side` after it. Equal windows still meet, since they have
+    their anchor at one place."""
     seg = Segments(data, off, span)
     h = seg.gram[seg.anchor] if len(seg.first) else np.zeros(0, np.uint64)
     name = name_prints(h, groups)
-    keep = np.flatnonzero(live[np.minimum(np.searchsorted(live, name), len(live) - 1)] == name)
-    first, size = seg.first[keep], (seg.last - seg.first)[keep] + span
+    at = np.minimum(np.searchsorted(live, name), len(live) - 1)
+    keep = live[at] == name
+    anchor, first, last, deal = seg.anchor, seg.first, seg.last, h
+    side = (span - GRAM) // 2
+    if side >= 8 and (keep & hot[at]).any():
+        word = eight_bytes(data)
+        split = keep & hot[at]
+        plain = keep & ~split
+        before = split & (first <= anchor - side)
+        after = split & (last > anchor - side)
+        rows = np.concatenate([np.flatnonzero(x) for x in (plain, before, after)])
+        parts = [h[plain], _beside(word, h[before], anchor[before] - side, side), _beside(word, ~h[after], anchor[after] + GRAM, span - GRAM - side + 1)]
+        lo = np.concatenate([first[plain], first[before], np.maximum(first[after], anchor[after] - side + 1)])
+        hi = np.concatenate([last[plain], np.minimum(last[before], anchor[before] - side), last[after]])
+        order = np.argsort(lo, kind="stable")
+        anchor, first, last, deal = anchor[rows][order], lo[order], hi[order], np.concatenate(parts)[order]
+    else:
+        anchor, first, last, deal = anchor[keep], first[keep], last[keep], deal[keep]
+    size = last - first + span
     owner = np.searchsorted(off, first, side="right") - 1
-    place, meta = np.zeros(len(keep), _PLACE), np.zeros(len(keep), _META)
+    place, meta = np.zeros(len(first), _PLACE), np.zeros(len(first), _META)
     place["key"], place["offset"], place["bucket"] = text_keys(data, off)[owner], first - off[owner], bucket
-    meta["anchor"], meta["size"], meta["doc"], meta["n_places"] = seg.anchor[keep] - first, size, doc[owner], 1
-    meta["shard"] = (h[keep] >> np.uint64(8)) % np.uint64(shards)
+    meta["anchor"], meta["size"], meta["doc"], meta["n_places"] = anchor - first, size, doc[owner], 1
+    meta["shard"] = (deal >> np.uint64(8)) % np.uint64(shards)
     return Batch(meta, place, data[_spans(first, size)])
 
 
+def _beside(word: np.ndarray, h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """h with the n bytes from each position (8 at least)."""
+    for depth in [*range(0, n - 7, 8), n - 8]:
+        h = mix64((h ^ word[at + depth]) * np.uint64(0x9E3779B97F4A7C15))
+    return h
+
+
 def shard_runs(batch: Batch, span: int) -> tuple[np.ndarray, np.ndarray]:
     """Repeated runs of a shard's documents, and their buckets."""
     start, size, _, _ = batch.starts()
@@ -262,7 +297,7 @@ def shard_runs(batch: Batch, span: int) -> tuple[np.ndarray, np.ndarray]:
     own[inside] = np.repeat(doc, size)
     # runs of neighbours that agree in span bytes, both of them whole windows
     real = windows[sa]
-    linked = common_prefix(raw, sa, span)[sa] & real
+    linked = (common_prefixes(t, sa, raw) >= span)[sa] & real
     linked[1:] &= real[:-1]
     linked[0] = False
     head = np.flatnonzero(~linked)
@@ -351,7 +386,7 @@ def _by_bucket(runs: np.ndarray, of: np.ndarray) -> list[tuple[int, bytes]]:
     return [(int(of[a]), pack.compress(runs[a:b].tobytes())) for a, b in zip(at, np.append(at[1:], len(runs)), strict=False)]
 
 
-def find_repeats(left: DataFrame, bucket: str, key: str, text: str, span: int, shards: int, groups: int, buckets: int, fan_in: int, block_bytes: int = 1 << 19) -> DataFrame:
+def find_repeats(left: DataFrame, bucket: str, key: str, text: str, span: int, shards: int, groups: int, buckets: int, fan_in: int, hot_buckets: int, block_bytes: int = 1 << 19) -> DataFrame:
     """(bucket, runs): packed runs of repeated windows, by bucket of documents."""
     import pyarrow as pa
     import zstandard
@@ -380,7 +415,7 @@ def find_repeats(left: DataFrame, bucket: str, key: str, text: str, span: int, s
 
     def live(key_, table):
         tool = zstandard.ZstdDecompressor()
-        got = live_prints([tool.decompress(x) for x in table.column("blob").to_pylist()])
+        got = live_prints([tool.decompress(x) for x in table.column("blob").to_pylist()], hot_buckets)
         pack, mine = zstandard.ZstdCompressor(level=1), key_[0].as_py() << _PRINT_BITS
         rows = [(b, pack.compress((p | np.uint64(mine)).tobytes())) for b, p in zip(table.column("b").to_pylist(), got, strict=True) if len(p)]
         return _packed(rows, ["b", "blob"])
@@ -392,9 +427,11 @@ def find_repeats(left: DataFrame, bucket: str, key: str, text: str, span: int, s
             return _packed([], ["shard", "part", "blob"])
         own = table.column(bucket)[0].as_py()
         alive = np.sort(np.concatenate([np.frombuffer(tool.decompress(x), np.uint64) for x in lists.column("blob").to_pylist()]))
+        order = np.argsort(alive & ~_HOT)
+        hot, alive = (alive[order] & _HOT) > 0, alive[order] & ~_HOT
         data, off = text_buffers(table.column(text))
         ids = table.column(key).cast(pa.int64()).fill_null(NO_ID).to_numpy()
-        found = [cut_segments(data[off[i] : off[j]], off[i : j + 1] - off[i], ids[i:j], own, span, shards, alive, groups) for i, j in blocks(off, block_bytes)]
+        found = [cut_segments(data[off[i] : off[j]], off[i : j + 1] - off[i], ids[i:j], own, span, shards, alive, hot, groups) for i, j in blocks(off, block_bytes)]
         # equal segments have one anchor and so one shard
         batch = Batch.join(found)
         if not len(batch.meta):
@@ -462,6 +499,11 @@ class RepeatParams:
     shard_bytes: int = 2 << 20  # of the text whose repeats meet in a shard
     group_bytes: int = 32 << 20  # of the text whose anchors meet in a group
     fan_in: int = 1024  # buckets whose segments meet at once
+    hot_buckets: int = 64  # buckets from which an anchor's segments are dealt by the bytes beside it, too
+
+    def __post_init__(self):
+        if not GRAM + 2 <= self.span <= 30_000:  # sizes of segments, below twice the span, take two bytes
+            raise ValueError(f"span must be in {GRAM + 2} to 30000, not {self.span}")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", p: RepeatParams = RepeatParams(), keep_text: bool = True) -> DataFrame:
@@ -493,7 +535,7 @@ def _cut_documents(docs: DataFrame, key: str, text: str, total: int, p: RepeatPa
 
     buckets, bucket = _prime_from(total // p.bucket_bytes + 1), "__bucket"
     left = docs.withColumn(bucket, _bucket_column(F.col(key).cast("long"), F.col(text), buckets))
-    runs = find_repeats(left, bucket, key, text, p.span, total // p.shard_bytes + 1, total // p.group_bytes + 1, buckets, p.fan_in)
+    runs = find_repeats(left, bucket, key, text, p.span, total // p.shard_bytes + 1, total // p.group_bytes + 1, buckets, p.fan_in, p.hot_buckets)
     keep = [c for c in docs.columns if c not in _ADDED and (keep_text or c != text)]
     fields = [T.StructField(c, docs.schema[c].dataType) for c in keep]
     schema = T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in _ADDED[:3]), T.StructField(_ADDED[3], T.StringType())])
