@@ -196,6 +196,57 @@ def test_block_links_are_exact():
         assert set(minhash.block_links(vectors, left, right, limit)) == want and want
 
 
+def test_linked_texts_share_a_rare_shingle():
+    rng = np.random.default_rng(6)
+    idf = minhash.idf_table(rng.integers(0, 1000, minhash.BUCKETS), 1000)
+    close = 0
+    for _ in range(2000):
+        s = np.unique(rng.integers(0, 1 << 44, 40).astype(np.uint64))
+        a, b = (np.sort(rng.choice(s, int(rng.integers(25, 41)), replace=False)) if len(s) >= 40 else s for _ in range(2))
+        va, vb = (a, idf[minhash.bucket(a)] * rng.integers(1, 3, len(a))), (b, idf[minhash.bucket(b)] * rng.integers(1, 2, len(b)))
+        for t in (0.4, 0.6, 0.8):
+            if minhash.weighted_jaccard(va, vb) >= t:
+                close += 1
+                assert set(minhash.rare_shingles(va, idf, t)) & set(minhash.rare_shingles(vb, idf, t))
+    assert close > 500
+
+
+def test_a_template_with_own_parts(spark):
+    """Texts alike in a template but under the threshold, with some links among them."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    template = [word() for _ in range(120)]
+    rows = []
+    for i in range(300):
+        own = [word() for _ in range(70)]
+        rows.append((i, " ".join(template + own)))
+        if i % 10 == 0:
+            rows.append((1000 + i, " ".join(template + own[:-2] + [word(), "x"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    p = minhash.MinHashParams(bands=24, rows=2, block=8, slot=16)
+    counts, n = minhash.document_frequency(df, "text", p)
+    got = sorted((r.doc_id, r.class_id) for r in minhash.near_duplicates(df, p=p).collect())
+    want = classes_by_brute_force(rows, minhash.idf_table(counts, n), p)
+    assert got == sorted(want) and len({c for _, c in want}) == 300
+
+
+def test_recall_of_production_parameters(spark):
+    """Ids divisible by 5 against all rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    p = minhash.MinHashParams()
+    counts, n = minhash.document_frequency(docs, "text", p)
+    idf = minhash.idf_table(counts, n)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    vectors = minhash._vectors(pa.array([t for _, t in rows], pa.large_string()), idf, p)
+    found = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs, p=p).collect()}
+    linked = []
+    for (d, t), v in zip(rows, vectors, strict=True):
+        if d % 5 == 0 and len(v[0]):
+            linked += [(d, e) for (e, u), w in zip(rows, vectors, strict=True) if e != d and len(w[0]) and minhash.weighted_jaccard(v, w) >= p.threshold]
+    assert len(linked) > 20
+    assert sum(found[a] == found[b] for a, b in linked) >= 0.99 * len(linked)
+
+
 def test_keep_first(spark):
     docs = near_docs()[:60]
     df = spark.createDataFrame([(d, t, "s") for d, t in docs] + [(docs[0][0], docs[0][1], "s")], "doc_id long, text string, source string")

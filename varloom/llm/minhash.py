@@ -9,8 +9,9 @@
 3. Functions are banded; texts sharing a band are candidates. Nothing pairs all members of a band: each
    member is verified against the band's most typical text (least mean idf), and only members below the
    threshold (left over) are compared with the rest of that text's group, in blocks of bounded size, where
-   one matrix product gives all exact similarities and only links leave the block. Every candidate pair is
-   so either verified or already in one class: no cap, no lost link.
+   one matrix product gives all exact similarities and only links leave the block; in groups with many of them,
+   only where two texts share one of their rarest shingles, as all links do. Every candidate pair is so either
+   verified, or too unlike, or already in one class: no cap, no lost link.
 4. Links are closed to classes by distributed connected components.
 
 Texts that are equal byte for byte are one node; a task computes each text it meets once.
@@ -45,6 +46,7 @@ class MinHashParams:
     bands: int = 12
     rows: int = 4
     block: int = 64  # texts a side of a block comparison
+    slot: int = 1024  # texts held against one copy of their head's text
     block_bytes: int = 1 << 19  # text bytes worked on at once
 
 
@@ -215,6 +217,14 @@ def _vectors(texts, idf, p: MinHashParams) -> list[tuple[np.ndarray, np.ndarray]
     return out
 
 
+def rare_shingles(vector: tuple[np.ndarray, np.ndarray], idf: np.ndarray, threshold: float) -> np.ndarray:
+    """The rarest shingles of a text, that hold just over 1 - threshold of its weight."""
+    s, w = vector
+    order = np.lexsort((s, -idf[bucket(s)]))
+    sums = np.cumsum(w[order])
+    return s[order[: int(np.searchsorted(sums, (1 - threshold + 1e-9) * sums[-1], side="right")) + 1]] if len(s) else s
+
+
 def block_links(vectors: list, left: np.ndarray, right: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     """Links (x, y) of similarity >= threshold between left and right members (indices into vectors).
 
@@ -314,25 +324,30 @@ def _classed(docs: DataFrame, key: str, text: str, p: MinHashParams, scratch: Sc
     texts = written(texts.withColumn("n", F.lit(1)).groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     def verify(batches):
-        cache: OrderedDict = OrderedDict()
+        name = vector = None
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
-                heads_ = part.column(1).to_pylist()
-                mine = _vectors(part.column(2), idf.value, p)
-                got = []
-                for k, head in enumerate(heads_):
-                    if head not in cache:
-                        cache[head] = _vectors(part.column(3).slice(k, 1), idf.value, p)[0]
-                        while len(cache) > 64:
-                            cache.popitem(last=False)
-                    got.append(weighted_jaccard(mine[k], cache[head]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got)], names=["node", "head", "sim"])
-
-    head_texts = texts.select(F.col("node").alias("head"), F.col("text").alias("head_text"))
-    pairs = tested.join(texts, "node").join(head_texts, "head").select("node", "head", "text", "head_text")
-    with arrow_rows(spark, 256):
-        stars = written(pairs.mapInArrow(verify, "node binary, head binary, sim double"), "stars")
+                heads_, is_head = part.column(0).to_pylist(), part.column(1).to_pylist()
+                got, sims = [], []
+                for k, own in enumerate(_vectors(part.column(3), idf.value, p)):
+                    if is_head[k]:
+                        name, vector = heads_[k], own
+                    elif heads_[k] == name:
+                        got.append(k)
+                        sims.append(weighted_jaccard(own, vector))
+                    else:
+                        raise ValueError("a member came before its head")
+                part = part.take(pa.array(got, pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), pa.array(sims, pa.float64())], names=["node", "head", "sim"])
+
+    # the members of a head are dealt to slots of bounded size; each slot has the head's text once, ahead of its members
+    slots = tested.groupBy("head").agg(F.ceil(F.count("*") / F.lit(p.slot)).cast("int").alias("slots"))
+    members = tested.join(texts, "node").join(slots, "head").select("head", F.pmod(F.xxhash64("node"), F.col("slots")).cast("int").alias("slot"), F.lit(False).alias("is_head"), "node", "text")
+    ahead = slots.join(texts.withColumnRenamed("node", "head"), "head").select("head", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(True).alias("is_head"), F.col("head").alias("node"), "text")
+    dealt = members.unionByName(ahead).repartition("head", "slot").sortWithinPartitions("head", "slot", F.desc("is_head"))
+    with arrow_rows(spark, 512):
+        stars = written(dealt.select("head", "is_head", "node", "text").mapInArrow(verify, "node binary, head binary, sim double"), "stars")
     links = stars.where(F.col("sim") >= p.threshold).select(F.col("node").alias("src"), F.col("head").alias("dst"))
     links = links.union(_left_over(stars, texts, idf, p, scratch))
     links = written(links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct(), "links")
@@ -354,26 +369,45 @@ def _classed(docs: DataFrame, key: str, text: str, p: MinHashParams, scratch: Sc
 def _left_over(stars: DataFrame, texts: DataFrame, idf, p: MinHashParams, scratch: Scratch) -> DataFrame:
     """Links of the members that are not linked to their head, with the other members of the head's group.
 
-    A group's linked members are one class already, so only left x left and left x linked blocks are
-    made. Members are dealt to blocks by hash; a block pair holds 2 * block texts on average and is one key.
+    A group's linked members are one class already, so only left x left and left x linked blocks are made. Where more
+    than a block is left over, members meet only where they share one of their rarest shingles: two texts of
+    similarity t have a common shingle among those that hold the rarest 1 - t of each one's weight, so no link is lost,
+    and texts that share a template alone do not meet. Members are dealt to blocks by hash; a block pair holds 2 *
+    block texts on average and is one key.
     """
     import pyarrow as pa
 
     group = stars.select("head", "node", (F.col("sim") >= p.threshold).alias("linked"))
-    sizes = group.groupBy("head").agg(F.sum((~F.col("linked")).cast("long")).alias("n_left"), F.sum(F.col("linked").cast("long")).alias("n_linked"))
-    sizes = sizes.where("n_left > 1 or (n_left = 1 and n_linked > 0)")
+    count = lambda df, *key: df.groupBy(*key).agg(F.sum((~F.col("linked")).cast("long")).alias("n_left"), F.sum(F.col("linked").cast("long")).alias("n_linked")).where("n_left > 1 or (n_left = 1 and n_linked > 0)")
+    sizes = scratch.written(count(group, "head"), "left-sizes")
+    few = group.join(sizes.where(F.col("n_left") <= p.block).select("head"), "head").select("head", F.lit(0).cast("long").alias("rare"), "node", "linked")
+    many = group.join(sizes.where(F.col("n_left") > p.block).select("head"), "head").join(texts, "node").select("head", "node", "linked", "text")
+
+    def rarest(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                lists = [rare_shingles(v, idf.value, p.threshold) for v in _vectors(part.column(3), idf.value, p)]
+                n = np.array([len(x) for x in lists])
+                rows = pa.array(np.repeat(np.arange(len(n)), n))
+                rare = pa.array(np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), rare, part.column(1).take(rows), part.column(2).take(rows)], names=["head", "rare", "node", "linked"])
+
+    with arrow_rows(stars.sparkSession, 512):
+        shared = scratch.written(many.mapInArrow(rarest, "head binary, rare long, node binary, linked boolean"), "rare")
+    met = few.unionByName(shared)
     parts = lambda c: F.ceil(F.col(c) / p.block).cast("int")
-    sizes = scratch.written(sizes.select("head", parts("n_left").alias("bl"), parts("n_linked").alias("bs")), "left-sizes")
-    g = group.join(sizes, "head")
+    sizes = scratch.written(count(met, "head", "rare").select("head", "rare", parts("n_left").alias("bl"), parts("n_linked").alias("bs")), "met-sizes")
+    g = met.join(sizes, ["head", "rare"])
     slot = F.pmod(F.xxhash64("node"), F.when(F.col("linked"), F.col("bs")).otherwise(F.col("bl"))).cast("int")
     g = g.withColumn("slot", slot)
     # block pairs: (left i, left j) with i <= j, then (left i, linked j) as (i, bl + j)
     others = F.when(F.col("linked"), F.transform(F.sequence(F.lit(0), F.col("bl") - 1), lambda i: F.struct(i.alias("a"), (F.col("bl") + F.col("slot")).alias("b"))))
     mine = F.transform(F.sequence(F.lit(0), F.col("bl") + F.col("bs") - 1), lambda j: F.struct(F.least(j, F.col("slot")).alias("a"), F.greatest(j, F.col("slot")).alias("b")))
-    g = g.select("head", "node", "linked", "slot", F.explode(others.otherwise(mine)).alias("pair"))
+    g = g.select("head", "rare", "node", "linked", "slot", F.explode(others.otherwise(mine)).alias("pair"))
     # in which half of the pair a member stands: 1 first, 2 second, 3 both (a block with itself)
     half = F.when(F.col("linked"), 2).otherwise(F.when(F.col("pair.a") == F.col("slot"), 1).otherwise(0) + F.when(F.col("pair.b") == F.col("slot"), 2).otherwise(0))
-    g = g.select("node", F.xxhash64("head", "pair.a", "pair.b").alias("task"), "head", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), half.alias("half"))
+    g = g.select("node", "head", "rare", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), half.alias("half"))
     g = g.join(texts, "node")
 
     def compare(pdf_key, table):
@@ -383,7 +417,7 @@ def _left_over(stars: DataFrame, texts: DataFrame, idf, p: MinHashParams, scratc
         found = _forest(block_links(vectors, left, right, p.threshold), len(nodes_))
         return pa.table({"src": pa.array([nodes_[a] for a, _ in found], pa.binary()), "dst": pa.array([nodes_[b] for _, b in found], pa.binary())})
 
-    return g.groupBy("head", "a", "b").applyInArrow(compare, "src binary, dst binary")
+    return g.groupBy("head", "rare", "a", "b").applyInArrow(compare, "src binary, dst binary")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", p: MinHashParams = MinHashParams()) -> DataFrame:
