@@ -24,6 +24,7 @@ from .common import written
 
 HASH_BITS = 60
 _STEP = 5
+_ROLL = 8
 
 
 def key_hash(key: Column) -> Column:
@@ -43,15 +44,33 @@ def directory(sized: DataFrame, limit: int) -> tuple[DataFrame, int]:
     while bits < HASH_BITS and not cells.where((F.col("b") > limit) & (F.col("keys") > 1)).isEmpty():
         bits = min(HASH_BITS, bits + 2 * _STEP)
         cells = written(sized.groupBy(_cell(bits).alias("cell")).agg(F.sum("bytes").alias("b"), F.count_distinct("h").alias("keys")), "cells")
-    level = cells.select("cell", "b", "keys", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth"))
-    level = level.withColumn("prefix", F.expr(f"shiftright(cell, {bits} - depth)"))
-    sums = level.groupBy("depth", "prefix").agg(F.sum("b").alias("shard_bytes"), F.sum("keys").alias("keys"))
-    fits = sums.where((F.col("shard_bytes") <= limit) | (F.col("keys") == 1) | (F.col("depth") == bits))
-    hit = level.join(fits.select("depth", "prefix", "shard_bytes").hint("merge"), ["depth", "prefix"])
+    fits, shallow = _fitting(cells, bits, limit)
+    # a prefix above the shallowest fitting one is too large, whatever it is: the directory needs no row for it
+    level = cells.select("cell", F.explode(F.sequence(F.lit(shallow), F.lit(bits))).alias("depth")).withColumn("prefix", F.expr(f"shiftright(cell, {bits} - depth)"))
+    hit = level.join(fits.hint("merge"), ["depth", "prefix"])
     best = hit.groupBy("cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes")).alias("s"))
     return written(best.select("cell", "s.depth", "s.prefix", "s.shard_bytes"), "directory"), bits
 
 
+def _fitting(cells: DataFrame, bits: int, limit: int) -> tuple[DataFrame, int]:
+    """((depth, prefix, shard_bytes) of the prefixes that need no split, the least depth of them or a smaller one).
+
+    Cells are rolled up _ROLL depths at a time, from the finest: once no prefix of a depth fits, none above it does,
+    so the few prefixes near the root, which hold all rows, are never keys of anything."""
+    base, high, every = cells.select(F.col("cell").alias("prefix"), "b", "keys"), bits, None
+    while True:
+        low = max(0, high - _ROLL)
+        level = base.select(F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"), F.col("prefix").alias("__p"), "b", "keys")
+        level = level.withColumn("prefix", F.expr(f"shiftright(__p, {high} - depth)"))
+        sums = written(level.groupBy("depth", "prefix").agg(F.sum("b").alias("b"), F.sum("keys").alias("keys")), "level")
+        ok = (F.col("b") <= limit) | (F.col("keys") == 1) | (F.col("depth") == bits)
+        fits = sums.where(ok).select("depth", "prefix", F.col("b").alias("shard_bytes"))
+        every = fits if every is None else every.unionByName(fits.where(F.col("depth") < high))
+        if low == 0 or sums.where(ok & (F.col("depth") == low)).isEmpty():
+            return every, low
+        base, high = sums.where(F.col("depth") == low).select("prefix", "b", "keys"), low
+
+
 def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 8 << 20) -> DataFrame:
     """docs with struct column `shard`: prefix, depth, page, shard_bytes, bytes."""
     spare = "__extendible"
@@ -96,4 +115,7 @@ def _pages(placed: DataFrame, spare: str, limit: int) -> tuple[DataFrame, Column
     half = F.lit(max(1, limit // 2))
     page = F.when(~over, 0).when(big, -1 - n).otherwise(F.floor(s / half)).cast("long")
     placed = placed.withColumn("__page", page)
-    return placed, F.col("__page")
+    # a page is a shard of its own size
+    sizes = placed.where(over).groupBy("__dir", "__page").agg(F.sum(F.col(spare)["bytes"]).alias("__bytes"))
+    placed = placed.join(sizes, ["__dir", "__page"], "left")
+    return placed.withColumn("__dir", F.col("__dir").withField("shard_bytes", F.coalesce("__bytes", F.col("__dir.shard_bytes")))), F.col("__page")
