@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import blocks, text_buffers, written
 
 FEATURES = 1 << 14
+_BLOCK = 1 << 15  # text bytes whose trigrams are looked up at once, a row of languages each
+_PIECE = 4 << 20  # of a longer text, whose trigrams are counted
 _SKIP = re.compile(r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 
 
@@ -100,7 +102,14 @@ def _score(texts: list[str], model: np.ndarray) -> np.ndarray:
 
     data, off = text_buffers(pa.array(texts, pa.large_string()))
     out = np.zeros((len(texts), model.shape[1]))
-    for i, j in blocks(off, 1 << 20):
+    for i, j in blocks(off, _BLOCK):
+        if off[j] - off[i] > _BLOCK:  # one long text: its counts, gathered piece by piece
+            tally = np.zeros(len(model), np.int64)
+            for lo in range(int(off[i]), int(off[j]), _PIECE):
+                part = data[lo : min(lo + _PIECE + 2, off[j])]
+                tally += np.bincount(trigrams(part, np.array([0, len(part)]))[0], minlength=len(model))
+            out[i] = tally @ model
+            continue
         feature, n = trigrams(data[off[i] : off[j]], off[i : j + 1] - off[i])
         cells = np.concatenate([np.zeros((1, model.shape[1])), np.cumsum(model[feature], axis=0)])
         ends = np.cumsum(n)
