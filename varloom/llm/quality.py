@@ -21,11 +21,32 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 #: Terminal marks that make a line a piece of prose.
 SENTENCE_END = "[.!?…。！？][\"'”’»)\\]]*($|[\\x20\\x09-\\x0D])"
 SEPARATOR = "[|»›•·]|(^|\\s)[/>](\\s|$)"
-NAVIGATION = "(?i)^\\W*(home|menu|next|previous|prev|back|top|search|login|log in|sign in|sign up|register|contact|contact us|about|about us|sitemap|share|read more|more|help|faq|skip to content)\\W*$"
-BOILERPLATE = (
-    "(?i)all rights reserved|licensed under|released under the|©|&copy;|cookie (policy|settings|notice)|uses cookies|privacy policy|terms of (use|service)"
-    "|enable javascript|click here|subscribe to|newsletter|lorem ipsum"
-)
+
+# Lines that are nothing but one of these lead elsewhere.
+NAVIGATION_WORDS = {
+    "en": ("home", "menu", "next", "previous", "prev", "back", "top", "search", "login", "log in", "sign in", "sign up", "register", "contact", "contact us", "about", "about us", "sitemap", "share", "read more", "more", "help", "faq", "skip to content"),
+    "de": ("startseite", "menü", "weiter", "zurück", "suche", "anmelden", "registrieren", "kontakt", "über uns", "teilen", "weiterlesen", "mehr lesen", "mehr", "hilfe", "zum inhalt"),
+    "es": ("inicio", "menú", "siguiente", "anterior", "volver", "buscar", "iniciar sesión", "registrarse", "contacto", "acerca de", "sobre nosotros", "compartir", "leer más", "más", "ayuda", "ir al contenido"),
+    "fr": ("accueil", "suivant", "précédent", "retour", "rechercher", "connexion", "inscription", "se connecter", "à propos", "partager", "lire la suite", "plus", "aide", "aller au contenu"),
+}
+# Lines that hold one of these are not the document's own.
+BOILERPLATE_PHRASES = {
+    "en": ("all rights reserved", "licensed under", "released under the", "©", "&copy;", "cookie policy", "cookie settings", "cookie notice", "uses cookies", "privacy policy", "terms of use", "terms of service",
+           "enable javascript", "click here", "subscribe to", "newsletter", "lorem ipsum"),
+    "de": ("alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen"),
+    "es": ("todos los derechos reservados", "política de privacidad", "términos de uso"),
+    "fr": ("tous droits réservés", "politique de confidentialité", "conditions d'utilisation"),
+}
+
+
+def navigation(words: dict[str, tuple[str, ...]] = NAVIGATION_WORDS) -> str:
+    """Pattern of a line that is one of the words."""
+    return "(?i)^\\W*(" + "|".join(dict.fromkeys(w for some in words.values() for w in some)) + ")\\W*$"
+
+
+def boilerplate(phrases: dict[str, tuple[str, ...]] = BOILERPLATE_PHRASES) -> str:
+    """Pattern of a line that holds one of the phrases."""
+    return "(?i)" + "|".join(p for some in phrases.values() for p in some)
 
 
 @dataclass(frozen=True)
@@ -35,6 +56,10 @@ class QualityParams:
     min_line_words_for_punctuation: int = 4  # shorter lines (headings, names) need no end mark
     nav_separators_per_word: float = 1 / 3
     max_lost_share: float = 0.5  # of the characters of non-blank lines
+    sentence_end: str = SENTENCE_END
+    separator: str = SEPARATOR
+    navigation: str = navigation()
+    boilerplate: str = boilerplate()
 
 
 def words_of(text: Column) -> Column:
@@ -76,10 +101,10 @@ def line_fails(line: Column, p: QualityParams) -> Column:
     """A non-blank line that breaks a rule; blank lines never fail."""
     n_words = F.regexp_count(line, F.lit("[^\\x20\\x09-\\x0D]+"))
     return (n_words > 0) & (
-        ((n_words >= p.min_line_words_for_punctuation) & ~line.rlike(SENTENCE_END))
-        | line.rlike(NAVIGATION)
-        | (F.regexp_count(line, F.lit(SEPARATOR)) >= F.greatest(F.lit(2.0), n_words * p.nav_separators_per_word))
-        | line.rlike(BOILERPLATE)
+        ((n_words >= p.min_line_words_for_punctuation) & ~line.rlike(p.sentence_end))
+        | line.rlike(p.navigation)
+        | (F.regexp_count(line, F.lit(p.separator)) >= F.greatest(F.lit(2.0), n_words * p.nav_separators_per_word))
+        | line.rlike(p.boilerplate)
     )
 
 
