@@ -6,9 +6,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from varloom.llm import chat, components, quality, sharding, url_filter
+from varloom.llm import chat, components, oracles, quality, queries, sharding, url_filter
 from varloom.llm.queries import URL_RULES
 
+SF = "/root/testdata/sf0.001"
+
 
 def rows(df):
     return [tuple(r) for r in df.collect()]
@@ -97,6 +99,41 @@ def test_components_against_union_find(spark):
         assert got == {x: find(x) for x in parent}
 
 
+def test_a_machine_local_folder_is_refused_on_a_cluster():
+    from types import SimpleNamespace
+
+    from varloom.llm import common
+
+    conf = {}
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(far)
+    conf["spark.checkpoint.dir"] = "hdfs://x/y/"
+    assert common.shared_dir(far) == "hdfs://x/y"
+
+
+# --- queries beside their SQL
+
+
+@pytest.fixture(scope="module")
+def duck():
+    import os
+
+    import duckdb
+
+    con = duckdb.connect()
+    for name in os.listdir(SF):
+        con.execute(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM '{SF}/{name}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
+def test_query_equals_its_sql(spark, duck, name):
+    got, want = queries.queries()[name](spark, SF).toPandas(), duck.sql(oracles.oracle_sql()[name]).df()
+    plain = lambda frame: sorted((tuple(None if x is None or x != x else str(x) for x in r) for r in frame[sorted(frame.columns)].itertuples(index=False)), key=str)
+    assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
+
+
 # --- chat
 
 
@@ -222,3 +259,18 @@ def test_equal_keys_overflow_to_pages(spark):
         size[name] = size.get(name, []) + [r.shard.bytes]
     assert sum(map(len, size.values())) == 52
     assert all(sum(x) <= 200 or len(x) == 1 for x in size.values())
+    assert all(r.shard.shard_bytes == sum(size[r.shard.prefix, r.shard.depth, r.shard.page]) for r in got)
+
+
+def test_roll_up_in_steps(spark, monkeypatch):
+    """More depths than one roll-up covers, with one cell that needs many bits."""
+    monkeypatch.setattr(sharding, "_ROLL", 2)
+    rng = random.Random(2)
+    hashes = [rng.randrange(1 << 60) for _ in range(60)] + [(5 << 50) + k for k in range(40)]
+    items = [(h, rng.randrange(1, 90)) for h in hashes]
+    sized = spark.createDataFrame(items, "h long, bytes long")
+    for limit in (120, 1000, 1 << 20):
+        cells, bits = sharding.directory(sized, limit)
+        found = {r.cell: (r.prefix, r.depth) for r in cells.collect()}
+        want = brute_shards(items, limit)
+        assert {h: found[h >> (60 - bits)] for h in hashes} == want

@@ -191,6 +191,84 @@ def test_held_out_accuracy(spark):
     assert np.mean([a == b for a, b in zip(got, held["lang"], strict=True)]) > 0.98
 
 
+def plain_identify(docs, pages, p):
+    """langid from its definition, with dictionaries."""
+    import html
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    def grams(text):
+        low = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+        return Counter(((low[i] << 16 | low[i + 1] << 8 | low[i + 2]) * 2654435761 % 2**32) >> 18 for i in range(len(low) - 2))
+
+    counts = defaultdict(Counter)
+    for text, lang in docs:
+        if lang and text is not None:
+            counts[lang].update(grams(text))
+    names = sorted(counts)
+    total = {n: sum(counts[n].values()) + p.smooth * langid.FEATURES for n in names}
+    rows = []
+    for key, url, page in pages:
+        seen = html.unescape(re.sub(r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ", page)) if page else ""
+        g = grams(seen)
+        s = [p.temper * sum(c * math.log((counts[n][f] + p.smooth) / total[n]) for f, c in g.items()) for n in names]
+        s = [x - max(s) for x in s]
+        e = [math.exp(x) for x in s]
+        host = (re.search(r"://([^/?#]*)", url or "") or [None, ""])[1].lower()
+        domain = (re.search(r"([^.]+\.[^.]+)$", host) or [None, ""])[1]
+        suffix = host.split(".")[-1] if re.fullmatch("[a-z]{2}", host.split(".")[-1]) else ""
+        said = (re.search(r"(?is)<html\b[^>]*\blang\s*=\s*[\"']?([a-zA-Z]{2,3})(?![a-zA-Z])", page or "") or [None, ""])[1].lower()
+        rows.append((key, host, domain, suffix, said, s, [x / sum(e) for x in e]))
+
+    def sums(k):
+        out = defaultdict(lambda: [0.0] * len(names))
+        for r in rows:
+            out[r[k]] = [a + b for a, b in zip(out[r[k]], r[6], strict=True)]
+        return out
+
+    by_host, by_domain, by_suffix, by_said = (sums(k) for k in (1, 2, 3, 4))
+    whole = [sum(r[6][i] for r in rows) for i in range(len(names))]
+    prior = [(x + 1) / (sum(whole) + len(names)) for x in whole]
+    out = []
+    for key, host, domain, suffix, said, s, q in rows:
+        f = []
+        for i in range(len(names)):
+            near = (max(by_domain[domain][i] - q[i], 0) + p.domain_weight * prior[i]) / (max(sum(by_domain[domain]) - 1, 0) + p.domain_weight)
+            near = (max(by_host[host][i] - q[i], 0) + p.host_weight * near) / (max(sum(by_host[host]) - 1, 0) + p.host_weight)
+            v = s[i] + math.log(near)
+            for table, own in ((by_said, said), (by_suffix, suffix)):
+                if own:
+                    n = len([x for x in table if x]) + 1
+                    v += math.log((table[own][i] + p.table_smooth) / (whole[i] + p.table_smooth * n))
+            f.append(v)
+        best = f.index(max(f))
+        out.append((key, names[best], 1 / sum(math.exp(x - max(f)) for x in f), names[q.index(max(q))], said, host))
+    return out
+
+
+def test_language_id_against_the_definition(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, pages = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
+    odd = spark.createDataFrame([(9000, None, None), (9001, "http://a.example.de/x", ""), (9002, "http://a.example.de/x", "<html lang='FR-fr'><p>une &eacute;t&eacute; &amp; un hiver"), (9003, "nothing", "<html lang=q1>x")], "page_id long, url string, html string")
+    pages = pages.unionByName(odd)
+    want = plain_identify([(r.text, r.lang) for r in docs.collect()], [tuple(r) for r in pages.collect()], langid.LangParams())
+    got = {r.page_id: r for r in langid.identify(pages, langid.train(docs)).collect()}
+    assert len(got) == len(want)
+    for key, lang, prob, text_lang, said, host in want:
+        r = got[key]
+        assert (r.lang, r.text_lang, r.declared, r.host) == (lang, text_lang, said, host) and r.prob == pytest.approx(prob, rel=1e-6)
+
+
+def test_long_pages_score_as_short_ones():
+    rng = np.random.default_rng(1)
+    model = rng.random((langid.FEATURES, 3))
+    text = "".join(chr(c) for c in rng.integers(97, 123, 100_000))
+    one = langid._score(["ab", text, "", "xyz"], model)
+    feature, _ = langid.trigrams(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    assert np.allclose(one[1], model[feature].sum(axis=0)) and not one[0].any() and not one[2].any() and one[3].all()
+
+
 def test_evidence_fusion(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.train(docs)

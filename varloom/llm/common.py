@@ -23,9 +23,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (tests only) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir; a temporary one only where driver and executors are one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="varloom-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
         _forget_at_exit(spark, root)

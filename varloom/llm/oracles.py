@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from .quality import BOILERPLATE, NAVIGATION, SENTENCE_END, SEPARATOR
 from .queries import SHARD_BYTES, URL_RULES
 
 _rules = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
 
-#: Classes come from a recursive closure over canonical and refresh links with absolute targets.
-OP1 = f"""
-WITH RECURSIVE rules(h, p, a) AS (VALUES {_rules}),
-u AS (SELECT page_id, html, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+_PAGES = """u AS (SELECT page_id, html, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
 s AS (SELECT page_id, html, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-        regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(r, '^[^?#]*(\\?[^#]*)?', 1) AS query FROM u),
-raw AS (SELECT host || path || query AS src, regexp_extract(regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'), '(?is)\\bhref\\s*=\\s*["'']([^"'']*)', 1) AS t FROM s WHERE host <> ''),
-link AS (SELECT DISTINCT src, split_part(split_part(t, '://', 2), '#', 1) AS dst FROM raw WHERE t LIKE '%://%'),
-both_ways AS (SELECT src, dst FROM link WHERE src <> dst UNION SELECT dst, src FROM link WHERE src <> dst),
+        regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(r, '^[^?#]*(\\?[^#]*)?', 1) AS query FROM u)"""
+
+#: Classes come from a recursive closure over link(src, dst).
+_CLASSES = """both_ways AS (SELECT src, dst FROM link WHERE src <> dst UNION SELECT dst, src FROM link WHERE src <> dst),
 reach(node, other) AS (SELECT src, src FROM both_ways UNION SELECT reach.node, both_ways.dst FROM reach JOIN both_ways ON reach.other = both_ways.src),
 fit AS (SELECT node, arg_max(a, length(h || p)) AS a FROM (SELECT DISTINCT node FROM reach) n, rules
         WHERE (split_part(node, '/', 1) = h OR ends_with(split_part(node, '/', 1), '.' || h)) AND starts_with(regexp_extract(node, '^[^/?]*([^?]*)', 1), p) GROUP BY node),
@@ -24,7 +20,23 @@ shared AS (SELECT reach.node, min(other) AS class_id, CASE WHEN bool_or(a = 'all
 own AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(a, length(h || p)) AS a
         FROM s, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
 SELECT s.page_id, host, path, rule, coalesce(own.a, shared.a, 'allow') AS verdict, class_id
-FROM s LEFT JOIN own USING (page_id) LEFT JOIN shared ON shared.node = host || path || query
+FROM s LEFT JOIN own USING (page_id) LEFT JOIN shared ON shared.node = host || path || query"""
+
+#: Links: a page's first canonical tag with an absolute target.
+OP1 = f"""
+WITH RECURSIVE rules(h, p, a) AS (VALUES {_rules}), {_PAGES},
+raw AS (SELECT host || path || query AS src, regexp_extract(regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'), '(?is)\\bhref\\s*=\\s*["'']([^"'']*)', 1) AS t FROM s WHERE host <> ''),
+link AS (SELECT DISTINCT src, split_part(split_part(t, '://', 2), '#', 1) AS dst FROM raw WHERE t LIKE '%://%'),
+{_CLASSES}
+"""
+
+#: The links that the query plants, by page id.
+ALIASES = f"""
+WITH RECURSIVE rules(h, p, a) AS (VALUES {_rules}), {_PAGES},
+n AS (SELECT page_id AS i, host || path || query AS a, 'mirror.org/' || page_id // 40 AS m, page_id % 10 AS k FROM s WHERE host <> ''),
+link AS (SELECT a AS src, 'hub.net/es/front' AS dst FROM n WHERE k = 0 UNION SELECT a, m FROM n WHERE k IN (1, 2, 3) OR i % 30 = 5 UNION SELECT a, 'b.net/fr/' || i // 400 FROM n WHERE k = 3
+  UNION SELECT a, 'mirror.org/' || (i // 40 + 1) FROM n WHERE k = 4 AND i // 40 % 5 <> 4 UNION SELECT 'mirror.org/' || page_id // 40, 'ok.com/x' FROM pages WHERE page_id % 280 = 5),
+{_CLASSES}
 """
 
 OP2 = """
@@ -42,8 +54,20 @@ FROM a GROUP BY conv_id, perspective
 """
 
 
-def _q(pattern: str) -> str:
-    return pattern.replace("'", "''")
+# The line rules, written out apart from the operator's.
+_END = r"[.!?…。！？][\"'”’»)\]]*($|[\x20\x09-\x0D])".replace("'", "''")
+_BARS = r"[|»›•·]|(^|\s)[/>](\s|$)"
+_LEADS = (
+    r"(?i)^\W*(home|menu|next|prev(ious)?|back|top|search|login|log in|sign (in|up)|register|contact( us)?|about( us)?|sitemap|share|(read )?more|help|faq|skip to content"
+    r"|startseite|menü|weiter|zurück|suche|anmelden|registrieren|kontakt|über uns|teilen|weiterlesen|mehr( lesen)?|hilfe|zum inhalt"
+    r"|inicio|menú|siguiente|anterior|volver|buscar|iniciar sesión|registrarse|contacto|acerca de|sobre nosotros|compartir|(leer )?más|ayuda|ir al contenido"
+    r"|accueil|suivant|précédent|retour|rechercher|connexion|inscription|se connecter|à propos|partager|lire la suite|plus|aide|aller au contenu)\W*$"
+)
+_NOTICES = (
+    r"(?i)all rights reserved|licensed under|released under the|©|&copy;|cookie (policy|settings|notice)|uses cookies|privacy policy|terms of (use|service)|enable javascript|click here|subscribe to|newsletter"
+    r"|lorem ipsum|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|todos los derechos reservados|política de privacidad|términos de uso|tous droits réservés"
+    r"|politique de confidentialité|conditions d''utilisation"
+)
 
 
 OP3 = f"""
@@ -54,8 +78,8 @@ twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id,
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
 l AS (SELECT doc_id, line, regexp_matches(line, '[^\\x20\\x09-\\x0D]') AS full_, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS nw
       FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
-b AS (SELECT doc_id, line, full_, nw > 0 AND ((nw >= 4 AND NOT regexp_matches(line, '{_q(SENTENCE_END)}')) OR regexp_matches(line, '{_q(NAVIGATION)}')
-        OR len(regexp_extract_all(line, '{_q(SEPARATOR)}')) >= greatest(2.0, nw * (1.0 / 3)) OR regexp_matches(line, '{_q(BOILERPLATE)}')) AS bad FROM l),
+b AS (SELECT doc_id, line, full_, nw > 0 AND ((nw >= 4 AND NOT regexp_matches(line, '{_END}')) OR regexp_matches(line, '{_LEADS}')
+        OR len(regexp_extract_all(line, '{_BARS}')) >= greatest(2.0, nw * (1.0 / 3)) OR regexp_matches(line, '{_NOTICES}')) AS bad FROM l),
 s AS (SELECT doc_id, count(*) FILTER (full_) - count(DISTINCT line) FILTER (full_) AS n_dup_lines, count(*) FILTER (bad) AS n_lines_removed,
         coalesce(sum(length(line)) FILTER (bad), 0) AS lost_chars, coalesce(sum(length(line)) FILTER (full_), 0) AS line_chars FROM b GROUP BY doc_id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
@@ -93,4 +117,4 @@ FROM parts JOIN d USING (doc_id) GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1, "op2_chat_formatting": OP2, "op3_quality_rules": OP3, "op5_sharding": OP5, "op7_suffix_dedup": OP7}
+    return {"op1_url_filters": OP1, "url_alias_classes": ALIASES, "op2_chat_formatting": OP2, "op3_quality_rules": OP3, "op5_sharding": OP5, "op7_suffix_dedup": OP7}

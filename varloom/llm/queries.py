@@ -28,6 +28,25 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def url_alias_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1's operator where links are: no page of the tables has one, so canonical tags, refresh redirects and a redirect
+    log are made from page ids. A tenth of the pages point to one blocked hub; others to mirrors, five in a chain."""
+    i = F.col("page_id")
+    mirror = lambda n: F.concat(F.lit("http://mirror.org/"), n.cast("string"))
+    here, tag = mirror(F.floor(i / 40)), i % 10
+    link = lambda to: F.concat(F.lit('<link rel="canonical" href="'), to, F.lit('">'))
+    move = lambda to: F.concat(F.lit('<meta http-equiv="refresh" content="0; url='), to, F.lit('">'))
+    html = (
+        F.when(tag == 0, link(F.lit("http://hub.net/es/front"))).when(tag == 1, link(here)).when(tag == 2, move(here))
+        .when(tag == 3, F.concat(link(here), move(F.concat(F.lit("http://b.net/fr/"), F.floor(i / 400).cast("string")))))
+        .when((tag == 4) & (F.floor(i / 40) % 5 != 4), link(mirror(F.floor(i / 40) + 1)))
+    )
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))
+    log = pages.where("page_id % 30 = 5").select(F.col("url").alias("src"), here.alias("dst"))
+    log = log.union(pages.where("page_id % 280 = 5").select(here.alias("src"), F.lit("http://ok.com/x").alias("dst")))
+    return url_filter.judge_urls(pages, URL_RULES, log)
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.rotate(read_table(spark, sf_dir, "conversations"))
     span = lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))
@@ -92,4 +111,4 @@ ALL = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in ALL}
+    return {f.__name__: f for f in (*ALL, url_alias_classes)}

@@ -521,11 +521,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", p:
     done = _cut_documents(once, "__id", "__text", total, p, True)
     done = written(done.withColumnsRenamed({"__text": "__kept", mark: "__mark"}), "cut-rows")
     back = rows.join(done, rows[key].cast("long").eqNullSafe(done["__id"]) & (rows[mark] == done["__mark"]), "left")
-    keep = [c for c in docs.columns if c not in _ADDED and (keep_text or c != text)]
-    return back.select(*[F.col("__kept").alias(c) if c == text else rows[c] for c in keep], *[done[c] for c in _ADDED])
+    keep = [c for c in docs.columns if c not in ADDED and (keep_text or c != text)]
+    return back.select(*[F.col("__kept").alias(c) if c == text else rows[c] for c in keep], *[done[c] for c in ADDED])
 
 
-_ADDED = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+ADDED = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def _cut_documents(docs: DataFrame, key: str, text: str, total: int, p: RepeatParams, keep_text: bool) -> DataFrame:
@@ -536,9 +536,9 @@ def _cut_documents(docs: DataFrame, key: str, text: str, total: int, p: RepeatPa
     buckets, bucket = _prime_from(total // p.bucket_bytes + 1), "__bucket"
     left = docs.withColumn(bucket, _bucket_column(F.col(key).cast("long"), F.col(text), buckets))
     runs = find_repeats(left, bucket, key, text, p.span, total // p.shard_bytes + 1, total // p.group_bytes + 1, buckets, p.fan_in, p.hot_buckets)
-    keep = [c for c in docs.columns if c not in _ADDED and (keep_text or c != text)]
+    keep = [c for c in docs.columns if c not in ADDED and (keep_text or c != text)]
     fields = [T.StructField(c, docs.schema[c].dataType) for c in keep]
-    schema = T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in _ADDED[:3]), T.StructField(_ADDED[3], T.StringType())])
+    schema = T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in ADDED[:3]), T.StructField(ADDED[3], T.StringType())])
 
     def cut(table, lists):
         tool = zstandard.ZstdDecompressor()
@@ -554,6 +554,6 @@ def _cut_documents(docs: DataFrame, key: str, text: str, total: int, p: RepeatPa
             given = table.column(text).to_pylist()
             columns[text] = pa.array([g if not n else x.decode("utf-8", "ignore") for g, n, x in zip(given, removed.tolist(), parts, strict=True)], pa.string())
         sha = pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string())
-        return pa.table(columns | dict(zip(_ADDED, (pa.array(np.diff(off)), pa.array(removed), pa.array(spans), sha), strict=True)))
+        return pa.table(columns | dict(zip(ADDED, (pa.array(np.diff(off)), pa.array(removed), pa.array(spans), sha), strict=True)))
 
     return left.groupBy(bucket).cogroup(runs.groupBy("bucket")).applyInArrow(cut, schema)
