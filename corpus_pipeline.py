@@ -4,6 +4,11 @@ All but the last return the columns of documents. Documents go where the quality
 a near copy with a smaller id stays, and where they hold a benchmark item; text goes line by line in the
 first stage and byte by byte where it repeats another document. No SQL expresses the samples, suffix arrays
 and pieces of the later stages, so `ORACLE_SQL` is None and tests compare the stages with brute force.
+
+Defined cases: null and empty texts fail the quality rules, so that later stages see them only if given them directly:
+then near-dedup, suffix dedup and decontamination keep them, and they have no ids; rows are told by id and text, and of
+repeated rows near-dedup keeps one; null ids are kept as such; empty tables give empty results; further columns pass
+through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.llm import decontaminate, minhash, quality, sentencepiece_viterbi, suffix_dedup
-from varloom.llm.common import read_table, written
+from varloom.llm.common import Scratch, read_table
 from varloom.llm.queries import tokenizer_path
 
 
@@ -28,7 +33,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings that repeat an earlier document."""
-    cut = suffix_dedup.remove_repeats(docs)
+    own = {c: f"__own_{c}" for c in docs.columns if c in suffix_dedup.ADDED}
+    cut = suffix_dedup.remove_repeats(docs.withColumnsRenamed(own)).drop(*suffix_dedup.ADDED).withColumnsRenamed({v: k for k, v in own.items()})
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
@@ -40,9 +46,10 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, and whether they decode to it."""
-    out = sentencepiece_viterbi.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path("piece_bpe_32k.model"), check="round_trip")
-    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "round_trip", "ids")
+    """Ids of every text, and whether they decode to it; beside doc_id and, where documents have them, lang and source."""
+    names = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
+    out = sentencepiece_viterbi.encode(docs.select(*names, "text"), tokenizer_path("piece_bpe_32k.model"), check="round_trip")
+    return out.select(*names, F.size("ids").cast("long").alias("n_tokens"), "round_trip", "ids")
 
 
 STAGES = [
@@ -56,7 +63,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, tables = read_table(spark, sf_dir, "documents"), Scratch()
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = tables.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        tables.drop(keep=(docs,))  # the stage before has been read
     return STAGES[-1][1](spark, docs, sf_dir)
