@@ -46,7 +46,7 @@ class MinHashParams:
     bands: int = 12
     rows: int = 4
     block: int = 64  # texts a side of a block comparison
-    slot: int = 1024  # texts held against one copy of their head's text
+    slot: int = 128  # texts held against one copy of their head's text
     block_bytes: int = 1 << 19  # text bytes worked on at once
 
 
