@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -101,6 +102,39 @@ def arrow_rows(spark: SparkSession, n: int):
         spark.conf.set(name, before)
 
 
+def release() -> None:
+    """Gives memory that numpy and Arrow have freed back to the system; Python workers live on from stage to stage."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not the C library of Linux
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(work):
+    """A batch function that releases memory at the end of its partition."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
+def lean_group(work):
+    """A function of two arguments, for grouped or cogrouped tables, that releases memory after each group."""
+
+    def run(one, two):
+        try:
+            return work(one, two)
+        finally:
+            release()
+
+    return run
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row, however often (and in whatever lambda) it is used."""
     return F.transform(F.array(value), body)[0]

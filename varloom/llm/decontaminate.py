@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, eight_bytes, text_buffers
+from .common import blocks, eight_bytes, lean, text_buffers
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -196,7 +196,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     indexes = _indexes(benchmark, item, item_text, p)
     if len(indexes) == 1:
-        return rows.mapInArrow(_marker(indexes[0], p), f"doc_id long, leaks {_LEAKS}")
+        return rows.mapInArrow(lean(_marker(indexes[0], p)), f"doc_id long, leaks {_LEAKS}")
     hits = _hits(rows.select("text"), indexes, p).select(F.col("digest").alias("__digest"), "leaks")
     marked = rows.select("doc_id", _digest("text").alias("digest")).join(hits, F.col("digest") == F.col("__digest"), "left")
     return marked.select("doc_id", F.coalesce("leaks", F.array().cast(_LEAKS)).alias("leaks"))
@@ -211,7 +211,7 @@ def _hits(rows: DataFrame, indexes: list, p: LeakParams) -> DataFrame:
     holds two indexes; only hits leave it."""
     found = None
     for index in indexes:
-        part = rows.select(_digest("text").alias("digest"), "text").mapInArrow(_marker(index, p), f"digest string, leaks {_LEAKS}").where(F.size("leaks") > 0).dropDuplicates(["digest"])
+        part = rows.select(_digest("text").alias("digest"), "text").mapInArrow(lean(_marker(index, p)), f"digest string, leaks {_LEAKS}").where(F.size("leaks") > 0).dropDuplicates(["digest"])
         found = part if found is None else found.unionByName(part)
     return found.groupBy("digest").agg(F.flatten(F.collect_list("leaks")).alias("leaks"))
 
@@ -255,6 +255,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
 
     indexes = _indexes(benchmark, item, item_text, p)
     if len(indexes) == 1:
-        return docs.mapInArrow(clean(indexes[0]), docs.schema)
+        return docs.mapInArrow(lean(clean(indexes[0])), docs.schema)
     hits = _hits(docs.select(F.col(text).alias("text")), indexes, p).select(F.col("digest").alias("__digest"))
     return docs.join(hits, _digest(text) == F.col("__digest"), "left_anti")

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, text_buffers, written
+from .common import blocks, lean, text_buffers, written
 
 FEATURES = 1 << 14
 _BLOCK = 1 << 15  # text bytes whose trigrams are looked up at once, a row of languages each
@@ -84,7 +84,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", smooth: f
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(got[at])], names=["lang", "feature", "n"])
 
     rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null")
-    counts = rows.mapInArrow(count, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.mapInArrow(lean(count), "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(counts["lang"].unique())  # at most FEATURES rows a language
     table = np.full((FEATURES, len(names)), smooth)
     for k, name in enumerate(names):
@@ -146,7 +146,7 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray], key: str = "
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.ListArray.from_arrays(cut, pa.array(ll.ravel()))], names=["page_id", "host", "declared", "ll"])
 
     kind = pages.schema[key].dataType.simpleString()
-    scored = rows.mapInArrow(score, f"page_id {kind}, host string, declared string, ll array<double>")
+    scored = rows.mapInArrow(lean(score), f"page_id {kind}, host string, declared string, ll array<double>")
     # the text's own posterior
     scored = scored.withColumn("s", F.transform("ll", lambda x: F.lit(p.temper) * (x - F.array_max("ll"))))
     scored = scored.withColumn("e", F.transform("s", F.exp))

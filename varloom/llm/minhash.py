@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, blocks, mix64, shingle_hashes, text_buffers, word_hashes, written
+from .common import Scratch, arrow_rows, blocks, lean, mix64, shingle_hashes, text_buffers, word_hashes, written
 from .components import connected_components
 
 BUCKETS = 1 << 18
@@ -84,7 +84,7 @@ def document_frequency(docs: DataFrame, text: str, p: MinHashParams) -> tuple[np
         at = np.flatnonzero(tally)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(tally[at], n))], names=["bucket", "n"])
 
-    counts = docs.select(text).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counts = docs.select(text).mapInArrow(lean(count), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     with arrow_rows(docs.sparkSession, 2000):
         rows = counts.toArrow()
     at, n = rows["bucket"].to_numpy(), rows["n"].to_numpy()
@@ -195,7 +195,7 @@ def sign_documents(docs: DataFrame, key: str, text: str, idf, p: MinHashParams)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(node, pa.binary()), pa.array(typical_all), lists], names=["doc_id", "node", "typical", "bands"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, node binary, typical float, bands array<long>")
+    return rows.mapInArrow(lean(sign), "doc_id long, node binary, typical float, bands array<long>")
 
 
 def weighted_jaccard(a, b) -> float:
@@ -347,7 +347,7 @@ def _classed(docs: DataFrame, key: str, text: str, p: MinHashParams, scratch: Sc
     ahead = slots.join(texts.withColumnRenamed("node", "head"), "head").select("head", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(True).alias("is_head"), F.col("head").alias("node"), "text")
     dealt = members.unionByName(ahead).repartition("head", "slot").sortWithinPartitions("head", "slot", F.desc("is_head"))
     with arrow_rows(spark, 512):
-        stars = written(dealt.select("head", "is_head", "node", "text").mapInArrow(verify, "node binary, head binary, sim double"), "stars")
+        stars = written(dealt.select("head", "is_head", "node", "text").mapInArrow(lean(verify), "node binary, head binary, sim double"), "stars")
     links = stars.where(F.col("sim") >= p.threshold).select(F.col("node").alias("src"), F.col("head").alias("dst"))
     links = links.union(_left_over(stars, texts, idf, p, scratch))
     links = written(links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct(), "links")
@@ -394,7 +394,7 @@ def _left_over(stars: DataFrame, texts: DataFrame, idf, p: MinHashParams, scratc
                 yield pa.RecordBatch.from_arrays([part.column(0).take(rows), rare, part.column(1).take(rows), part.column(2).take(rows)], names=["head", "rare", "node", "linked"])
 
     with arrow_rows(stars.sparkSession, 512):
-        shared = scratch.written(many.mapInArrow(rarest, "head binary, rare long, node binary, linked boolean"), "rare")
+        shared = scratch.written(many.mapInArrow(lean(rarest), "head binary, rare long, node binary, linked boolean"), "rare")
     met = few.unionByName(shared)
     parts = lambda c: F.ceil(F.col(c) / p.block).cast("int")
     sizes = scratch.written(count(met, "head", "rare").select("head", "rare", parts("n_left").alias("bl"), parts("n_linked").alias("bs")), "met-sizes")

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix64, text_buffers
+from .common import blocks, lean, mix64, release, text_buffers
 from .token_files import _Codes, gather
 
 SPACE = "▁"
@@ -393,6 +393,7 @@ _codecs: dict[str, Codec] = {}
 def codec(file: str, model: Model | None = None) -> Codec:
     if file not in _codecs:
         _codecs[file] = Codec(model or load_model(file))
+        release()
     return _codecs[file]
 
 
@@ -420,7 +421,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", out: str = "ids
                     columns.append(pa.array(tool.round_trip(ids, lens, data[off[i] : off[j]], off[i : j + 1] - off[i])[0], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, out, *[check] * bool(check)])
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(lean(work), schema)
 
 
 def digest(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
@@ -448,7 +449,7 @@ def _run(rows: DataFrame, model_file: str, block_bytes: int) -> DataFrame:
                     names=["doc_id", "n_tokens", "ids_crc32", "n_bytes", "round_trip"],
                 )
 
-    return rows.mapInArrow(work, "doc_id long, n_tokens long, ids_crc32 long, n_bytes long, round_trip boolean")
+    return rows.mapInArrow(lean(work), "doc_id long, n_tokens long, ids_crc32 long, n_bytes long, round_trip boolean")
 
 
 def _plain(data: np.ndarray) -> np.ndarray:
@@ -478,4 +479,4 @@ def decode(encoded: DataFrame, model_file: str, ids: str = "ids", out: str = "te
             texts = [bytes(data[a:b]).decode("utf-8", "replace") for a, b in zip(off[:-1], off[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in keep), pa.array(texts, pa.string())], names=[*keep, out])
 
-    return encoded.mapInArrow(work, schema)
+    return encoded.mapInArrow(lean(work), schema)

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _powers, blocks, eight_bytes, mix64, text_buffers, written
+from .common import _powers, blocks, eight_bytes, lean_group, mix64, text_buffers, written
 from .sais import common_prefixes, suffix_array
 
 SPAN = 50
@@ -461,12 +461,12 @@ def find_repeats(left: DataFrame, bucket: str, key: str, text: str, span: int, s
             rows = _by_bucket(*shard_runs(Batch.join([Batch.unpack(x) for x in blobs]), span))
         return _packed(rows, ["bucket", "runs"])
 
-    alive = left.groupBy(bucket).applyInArrow(prints, "g int, b int, blob binary").groupBy("g").applyInArrow(live, "b int, blob binary")
-    sent = left.groupBy(bucket).cogroup(alive.groupBy("b")).applyInArrow(segments, "shard int, part int, blob binary")
+    alive = left.groupBy(bucket).applyInArrow(lean_group(prints), "g int, b int, blob binary").groupBy("g").applyInArrow(lean_group(live), "b int, blob binary")
+    sent = left.groupBy(bucket).cogroup(alive.groupBy("b")).applyInArrow(lean_group(segments), "shard int, part int, blob binary")
     while buckets > fan_in:  # a passage of every bucket meets itself at most fan_in times at once
         parts = sent.withColumn("part", F.floor(F.col("part") / F.lit(fan_in)).cast("int"))
-        sent, buckets = parts.groupBy("shard", "part").applyInArrow(merge, "shard int, part int, blob binary"), -(-buckets // fan_in)
-    return sent.groupBy("shard").applyInArrow(reduce, "bucket int, runs binary")
+        sent, buckets = parts.groupBy("shard", "part").applyInArrow(lean_group(merge), "shard int, part int, blob binary"), -(-buckets // fan_in)
+    return sent.groupBy("shard").applyInArrow(lean_group(reduce), "bucket int, runs binary")
 
 
 def _cut(data: np.ndarray, off: np.ndarray, ids: np.ndarray, runs: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -556,4 +556,4 @@ def _cut_documents(docs: DataFrame, key: str, text: str, total: int, p: RepeatPa
         sha = pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string())
         return pa.table(columns | dict(zip(ADDED, (pa.array(np.diff(off)), pa.array(removed), pa.array(spans), sha), strict=True)))
 
-    return left.groupBy(bucket).cogroup(runs.groupBy("bucket")).applyInArrow(cut, schema)
+    return left.groupBy(bucket).cogroup(runs.groupBy("bucket")).applyInArrow(lean_group(cut), schema)
