@@ -52,11 +52,13 @@ def files(tmp_path_factory):
 
 
 def parse(folder):
-    lines = sorted(x for f in folder.glob("part-*") for x in f.read_text().splitlines())
+    lines = folder.read_text().splitlines() if folder.is_file() else [x for f in sorted(folder.iterdir()) if f.suffix in (".vcf", ".txt") for x in f.read_text().splitlines()]
+    assert "#" not in "".join(x[0] for x in lines).lstrip("#")  # the header comes first
     return {x.split("\t")[2]: dict(zip(x.split("\t")[8].split(":"), x.split("\t")[9].split(":"), strict=True)) for x in lines if not x.startswith("#")}, [x for x in lines if x.startswith("#")]
 
 
-def test_command_line_end_to_end(spark, files):
+def test_command_line_end_to_end(spark, files, caplog):
+    caplog.set_level("INFO", "varloom")
     base = ["--neighdist", "100", "--sizemin", "10"]
     cli.run(["gt", "--input", f"{files}/in.vcf", "--reads", f"{files}/reads.sam", "--reference", f"{files}/ref.fa", "--out", f"{files}/out", "--sample", "S", *base], spark)
     got, head = parse(files / "out")
@@ -71,6 +73,13 @@ def test_command_line_end_to_end(spark, files):
     cli.run(["plup", "--reads", f"{files}/reads.sam", "--out", f"{files}/x.plup", "--sizemin", "10"], spark)
     cli.run(["gt", "--input", f"{files}/in.vcf", "--reads", f"{files}/x.plup", "--reference", f"{files}/ref.fa", "--out", f"{files}/out2", "--sample", "S", *base], spark)
     assert parse(files / "out2")[0] == got
+    assert "records 5, skipped 2, neighborhoods 3, Ref 1, Het 1, Hom 1, Non 2" in caplog.text
+    # from an index by place, into one file
+    cli.run(["plup", "--reads", f"{files}/reads.sam", "--out", f"{files}/x.plup.parquet", "--sizemin", "10"], spark)
+    cli.run(["gt", "--input", f"{files}/in.vcf", "--reads", f"{files}/x.plup.parquet", "--reference", f"{files}/ref.fa", "--out", f"{files}/out3.vcf", "--sample", "S", *base], spark)
+    assert parse(files / "out3.vcf") == parse(files / "out") and not (files / "out3.vcf.parts").exists()
+    with pytest.raises(FileNotFoundError, match="none.fa"):
+        cli.run(["gt", "--input", f"{files}/in.vcf", "--reads", f"{files}/x.plup", "--reference", f"{files}/none.fa", "--out", f"{files}/out4"], spark)
 
 
 def test_regions_ploidy_and_modes(spark, files):
@@ -310,3 +319,39 @@ def test_partial_haplotypes_of_every_customer(spark):
                 want[k, n] = (comb(len(xs), n), sum(sum(xs) - sum(out) for out in combinations(xs, n)))
     got = {(r.o_custkey, r.partial): (r.n, r.total) for r in table_queries.partial_haplotypes(spark, sf).collect()}
     assert max(map(len, keys.values())) > 12 and got == want
+
+
+def test_files_are_read_in_their_order(spark, tmp_path):
+    """A folder of two parts, the second one larger, equals one file."""
+    head = ["##fileformat=VCFv4.2", "##contig=<ID=c,length=100000>", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"]
+    records = [f"c\t{i + 1}\tv{i}\tA\tC\t.\t.\t{'x' * (5 if i < 50 else 400)}" for i in range(4000)]
+    (tmp_path / "one.vcf").write_text("\n".join(head + records) + "\n")
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "part-0.vcf").write_text("\n".join(head + records[:50]) + "\n")
+    (tmp_path / "two" / "part-1.vcf").write_text("\n".join(records[50:]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        for path in ("one.vcf", "two"):
+            got = text.read_vcf(spark, f"{tmp_path}/{path}").select("id", "ordinal").orderBy("ordinal").collect()
+            assert [r.id for r in got] == [f"v{i}" for i in range(4000)] and [r.ordinal for r in got] == list(range(3, 4003))
+            assert text.read_vcf_header(spark, f"{tmp_path}/{path}") == head
+        lines = text._ordered(spark, f"{tmp_path}/two").orderBy("ordinal").collect()
+        assert [r.value for r in lines] == head + records
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("width", [7, 60, 100_000])
+def test_fasta_over_many_splits(spark, tmp_path, width):
+    rng = random.Random(3)
+    contigs = {"a": bases(rng, 9000), "empty": "", "b>x": bases(rng, 150), "c": bases(rng, 20_011)}
+    body = "".join(f">{name} of a > b\n" + "".join(seq[i : i + width] + "\n" for i in range(0, len(seq), width)) for name, seq in contigs.items())
+    (tmp_path / "x.fa").write_text(body)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        got = text.read_fasta(spark, f"{tmp_path}/x.fa", 512).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.chrom, r.chunk_start, r.seq) for r in got) == sorted((n, i, s[i : i + 512]) for n, s in contigs.items() for i in range(0, len(s), 512))

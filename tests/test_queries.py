@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from varloom.plans import table_queries
+from varloom.plans import source_queries, table_queries
 from varloom.streaming.neighborhoods import session_neighborhoods
 
 SF = "/root/testdata/sf0.001"
@@ -31,7 +31,7 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(table_queries.SQL))
 def test_query_equals_its_sql(spark, duck, name):
-    got, want = table_queries.QUERIES[name](spark, SF).toPandas(), duck.sql(table_queries.SQL[name]).df()
+    got, want = source_queries.QUERIES[name](spark, SF).toPandas(), duck.sql(table_queries.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert plain(got) == plain(want)
 

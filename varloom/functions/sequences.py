@@ -81,11 +81,3 @@ def kmer_counts_sql(seq: Column, k: int) -> Column:
     index = F.transform(F.sequence(F.lit(1), F.length(digits) - k + 1), lambda i: F.conv(F.substring(digits, i, F.lit(k)), 4, 10).cast("int"))
     index = F.when(F.length(digits) >= k, index).otherwise(F.array().cast("array<int>"))
     return F.transform(F.array(index), tally)[0]
-
-
-def add_arrays(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + y)
-
-
-def subtract_arrays(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x - y)

@@ -28,6 +28,17 @@ def spanning_reads(reads: DataFrame, hoods: DataFrame, dist: int, width: int = 1
     return hit.select("chrom", "ne", "read_ord", "ps", "hp", inside.alias("pileups"))
 
 
+def near(reads: DataFrame, hoods: DataFrame) -> DataFrame:
+    """reads that may span a neighbourhood: those of its contigs, between the first and the last of them. The bounds are a
+    row a contig; as plain filters they reach the scan, which skips other contigs' folders and row groups."""
+    hoods = hoods.groupBy("chrom").agg(F.min("start").alias("lo"), F.max("end").alias("hi")).collect()
+    contig = "contig" if "contig" in reads.columns else "chrom"
+    wanted = F.lit(False)
+    for r in hoods:
+        wanted |= (F.col(contig) == r.chrom) & (F.col("start") < r.hi) & (F.col("end") > r.lo)
+    return reads.where(wanted).drop("contig")
+
+
 def coverage(spanning: DataFrame) -> DataFrame:
     """(chrom, ne, coverage, ps): spanning reads, with or without pileups, and the first phase set in read order."""
     first = F.min_by("ps", F.when(F.col("ps").isNotNull(), F.col("read_ord")))

@@ -88,11 +88,6 @@ def interval_lookup(points: DataFrame, intervals: DataFrame, key: Sequence[str],
     return points.join(first, list(key), "left")
 
 
-def first_non_null(rows: DataFrame, key: Sequence[str], value: str, order: str) -> DataFrame:
-    """First non-null value by order."""
-    return rows.groupBy(*key).agg(F.min_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias(value))
-
-
 def own_chunk(start: Column, chunk: int) -> Column:
     """The one chunk that owns a read: that of its start."""
     return F.floor(start / F.lit(chunk)).cast("long")

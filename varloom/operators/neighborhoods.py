@@ -22,7 +22,7 @@ def neighborhoods(rows: DataFrame, gap: int, chrom: str = "chrom", start: str =
 
 
 def binned_neighborhoods(rows: DataFrame, gap: int, width: int, chrom: str = "chrom", start: str = "start", end: str = "end", order: str = "ordinal") -> DataFrame:
-    """The same for rows in start order within their contig, without one task a contig.
+    """The same with rows taken in start order, then by `order`, without one task a contig.
 
     Rows are walked in bins of `width`; the largest end and the neighbourhoods opened before each bin are
     carried in from one row a bin. Neighbourhoods themselves are then grouped by (contig, number).
@@ -31,7 +31,7 @@ def binned_neighborhoods(rows: DataFrame, gap: int, width: int, chrom: str = "ch
     before = Window.partitionBy(chrom).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     per_bin = at.groupBy(chrom, "__bin").agg(F.max(end).alias("__far"))
     per_bin = per_bin.select(chrom, "__bin", F.max("__far").over(before).alias("__carried"))
-    inner = Window.partitionBy(chrom, "__bin").orderBy(order)
+    inner = Window.partitionBy(chrom, "__bin").orderBy(start, order)
     so_far = F.greatest(F.max(end).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.col("__carried"))
     marked = at.join(per_bin, [chrom, "__bin"]).withColumn("__opens", F.when(so_far + F.lit(gap) < F.col(start), 1).otherwise(0))
     opened = marked.groupBy(chrom, "__bin").agg(F.sum("__opens").alias("__n"))

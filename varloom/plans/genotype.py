@@ -58,6 +58,8 @@ def genotype(records: DataFrame, reads: DataFrame, regions: DataFrame, p: Genoty
         named = hoods.withColumn("ploidy", F.lit(None).cast("string"))
     named = named.select("chrom", "ne", "start", "end", F.coalesce("ploidy", F.lit("Unset")).alias("ploidy"))
     live = named.where("ploidy <> 'Zero'")
+    if "contig" in reads.columns:  # an index by contig and place: only what the neighbourhoods need is scanned
+        reads = haplotypes.near(reads, live)
     spanning = haplotypes.spanning_reads(reads, live, p.neighdist)
     if reference is not None:
         spanning = haplotypes.fill_deletions(spanning, reference, chunk)
