@@ -278,9 +278,10 @@ class Viterbi:
 
 
 def _chunks(n: int, first: int = 0) -> list[tuple[int, int]]:
-    """Spans of a word from `first` on; starts are multiples of 16 apart, so that runs of one character meet in step."""
-    out = [(a, a + STRIDE + OVERLAP) for a in range(first, n - STRIDE - OVERLAP, STRIDE)]
-    return [*out, (first + max(n - STRIDE - OVERLAP - first, 0) // 16 * 16, n)]
+    """Spans of one length that cover a word from `first` on; they start multiples of 16 apart, but for the last, so that
+    runs of one character meet in step."""
+    size = STRIDE + OVERLAP
+    return [*((a, a + size) for a in range(first, n - size, STRIDE)), (max(n - size, first), n)]
 
 
 def _common(left: tuple, right: tuple, least: int) -> int | None:
