@@ -295,7 +295,7 @@ def plain_quality(text):
     for line in (text or "").split("\n"):
         n = len([w for w in re.split(r"[\x20\x09-\x0D]+", line) if w])
         bars = len(re.findall(r"[|»›•·]|(?:^|[ \t\n\x0b\f\r])[/>](?:[ \t\n\x0b\f\r]|$)", line))
-        bad = n > 0 and (n >= 4 and not re.search(p.sentence_end, line) or re.search(p.navigation, line, re.ASCII) or bars >= max(2, n / 3) or re.search(p.boilerplate, line, re.ASCII))
+        bad = n > 0 and (n >= 4 and not re.search(p.sentence_end, line) or re.search(p.navigation, line, re.ASCII) or bars >= max(2, n / 3) or any(x in line.lower() for x in p.boilerplate))
         size += len(line) if n else 0
         lost += len(line) if bad else 0
         if not bad:

@@ -11,6 +11,7 @@ names) are untouched, since statistics live in one struct until the caller names
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,11 +45,6 @@ def navigation(words: dict[str, tuple[str, ...]] = NAVIGATION_WORDS) -> str:
     return "(?i)^\\W*(" + "|".join(dict.fromkeys(w for some in words.values() for w in some)) + ")\\W*$"
 
 
-def boilerplate(phrases: dict[str, tuple[str, ...]] = BOILERPLATE_PHRASES) -> str:
-    """Pattern of a line that holds one of the phrases."""
-    return "(?i)" + "|".join(p for some in phrases.values() for p in some)
-
-
 @dataclass(frozen=True)
 class QualityParams:
     min_words: int = 50
@@ -59,7 +55,7 @@ class QualityParams:
     sentence_end: str = SENTENCE_END
     separator: str = SEPARATOR
     navigation: str = navigation()
-    boilerplate: str = boilerplate()
+    boilerplate: tuple[str, ...] = tuple(p for some in BOILERPLATE_PHRASES.values() for p in some)  # in lower case
 
 
 def words_of(text: Column) -> Column:
@@ -100,11 +96,12 @@ def word_stats(text: Column) -> Column:
 def line_fails(line: Column, p: QualityParams) -> Column:
     """A non-blank line that breaks a rule; blank lines never fail."""
     n_words = F.regexp_count(line, F.lit("[^\\x20\\x09-\\x0D]+"))
+    holds = lambda low: reduce(lambda a, b: a | b, [low.contains(x) for x in p.boilerplate], F.lit(False))
     return (n_words > 0) & (
         ((n_words >= p.min_line_words_for_punctuation) & ~line.rlike(p.sentence_end))
         | line.rlike(p.navigation)
         | (F.regexp_count(line, F.lit(p.separator)) >= F.greatest(F.lit(2.0), n_words * p.nav_separators_per_word))
-        | line.rlike(p.boilerplate)
+        | let(F.lower(line), holds)
     )
 
 
