@@ -348,10 +348,15 @@ def test_fasta_over_many_splits(spark, tmp_path, width):
     contigs = {"a": bases(rng, 9000), "empty": "", "b>x": bases(rng, 150), "c": bases(rng, 20_011)}
     body = "".join(f">{name} of a > b\n" + "".join(seq[i : i + width] + "\n" for i in range(0, len(seq), width)) for name, seq in contigs.items())
     (tmp_path / "x.fa").write_text(body)
+    (tmp_path / "parts").mkdir()
+    lines = body.splitlines(keepends=True)
+    for k in range(0, len(lines), 41):  # contigs cross the borders of files
+        (tmp_path / "parts" / f"part-{k:06d}.fa").write_text("".join(lines[k : k + 41]))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
     try:
         got = text.read_fasta(spark, f"{tmp_path}/x.fa", 512).collect()
+        assert sorted(got) == sorted(text.read_fasta(spark, f"{tmp_path}/parts", 512).collect())
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sorted((r.chrom, r.chunk_start, r.seq) for r in got) == sorted((n, i, s[i : i + 512]) for n, s in contigs.items() for i in range(0, len(s), 512))

@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 def plain(frame):
     frame = frame[sorted(frame.columns)]
     cell = lambda x: None if x is None or isinstance(x, float) and math.isnan(x) or x is pd.NA else f"{x:.6g}" if isinstance(x, float) else str(x)
-    return sorted(tuple(map(cell, row)) for row in frame.itertuples(index=False))
+    return sorted((tuple(map(cell, row)) for row in frame.itertuples(index=False)), key=str)
 
 
 @pytest.fixture(scope="module")

@@ -127,8 +127,8 @@ def read_ploidy(spark: SparkSession, path: str) -> DataFrame:
 def read_fasta(spark: SparkSession, path: str, chunk: int = 1 << 16) -> DataFrame:
     """(chrom, chunk_start, seq) pieces of chunk bases; the last of a contig may be shorter.
 
-    Every line's place follows from running lengths within its split and what the splits before it leave over, one row a
-    split; lines are cut at chunk borders and joined by chunk. Nothing holds a contig.
+    Every line's place follows from running lengths within its split and what the splits before it (of its file, and of
+    the files before it in a folder) leave over, one row a split; lines are cut at chunk borders and joined by chunk. Nothing holds a contig.
     """
     lines = _placed(spark, path).withColumn("value", F.rtrim("value")).where("value <> ''")
     inside = Window.partitionBy("file", "block").orderBy("row")
@@ -138,12 +138,12 @@ def read_fasta(spark: SparkSession, path: str, chunk: int = 1 << 16) -> DataFram
     lines = lines.withColumns({"own": F.last("name", ignorenulls=True).over(so_far), "headers": F.count("name").over(so_far), "run": F.coalesce(F.sum("n").over(before), F.lit(0))})
     lines = lines.withColumn("base", F.max(F.when(head, F.col("run"))).over(so_far))  # bases of the split ahead of the last header
     splits = lines.groupBy("file", "block").agg(F.max_by("own", "row").alias("last"), (F.sum("n") - F.coalesce(F.max("base"), F.lit(0))).alias("tail"), (F.max("headers") > 0).alias("has"))
-    order = Window.partitionBy("file").orderBy("block")
-    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    past = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     # bases since the last header ahead of the split: the tail of the split that has it, and the whole splits between
-    splits = splits.withColumns({"carried": F.last("last", ignorenulls=True).over(past), "tails": F.sum("tail").over(past), "upto": F.last(F.when(F.col("has"), F.col("block")), ignorenulls=True).over(past)})
-    whole = splits.select("file", F.col("block").alias("upto"), F.coalesce("tails", F.lit(0)).alias("ahead"))
-    splits = splits.join(whole, ["file", "upto"], "left").select("file", "block", "carried", (F.coalesce("tails", F.lit(0)) - F.coalesce("ahead", F.lit(0))).alias("offset"))
+    splits = splits.withColumn("split", F.struct("file", "block"))
+    splits = splits.withColumns({"carried": F.last("last", ignorenulls=True).over(past), "tails": F.coalesce(F.sum("tail").over(past), F.lit(0)), "upto": F.last(F.when(F.col("has"), F.col("split")), ignorenulls=True).over(past)})
+    whole = splits.select(F.col("split").alias("upto"), F.col("tails").alias("ahead"))
+    splits = splits.join(whole, "upto", "left").select("file", "block", "carried", (F.col("tails") - F.coalesce("ahead", F.lit(0))).alias("offset"))
     rows = lines.where(~head).join(splits, ["file", "block"])
     at = F.when(F.col("own").isNull(), F.col("offset") + F.col("run")).otherwise(F.col("run") - F.col("base"))
     rows = rows.select(F.coalesce("own", "carried").alias("chrom"), at.cast("bigint").alias("at"), F.col("value").alias("s"))
