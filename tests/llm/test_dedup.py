@@ -106,6 +106,47 @@ def test_repeats_against_brute_force(spark, repeated, span, hot):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_repeats(docs, span)
 
 
+@pytest.mark.parametrize("fan_in", [3, 1024])
+def test_repeats_by_large_piles(spark, fan_in):
+    """Rows sent grow with what buckets and piles hold, not with their square; vast anchors alone are merged."""
+    docs, base = random_docs()
+    docs += [(200 + i, f"{i} " * 20 + base[:700] + f"{i}" * 60) for i in range(80)]
+    text = sum(len(t.encode()) for _, t in docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    p = dataclasses.replace(SMALL, bucket_bytes=1 << 10, shard_bytes=1 << 10, fan_in=fan_in, units=4, unit_bytes=1 << 14)
+    buckets, shards, pile = p.dealt(text)
+    piles = -(-shards // pile)
+    assert text / 4 < 1 << 16 and buckets <= 20 and shards > 100 and pile > 8
+    got = suffix_dedup.remove_repeats(df, p=p, keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_repeats(docs)
+    left = df.withColumn("b", suffix_dedup._bucket_column(df.doc_id, df.text, buckets))
+    rows = suffix_dedup.find_repeats(left, "b", "doc_id", "text", p.span, shards, 3, buckets, fan_in, p.hot_buckets, pile).count()
+    assert 0 < rows <= buckets * (2 * piles + 1)
+    sizes = [suffix_dedup.RepeatParams().dealt(10**k) for k in range(6, 12)]
+    assert all(b * -(-s // k) <= max(530**2, 10 ** (2 * e) / (1 << 45)) for e, (b, s, k) in zip(range(6, 12), sizes, strict=True))
+
+
+def test_sorted_text_of_a_pile(monkeypatch):
+    """Equal segments keep only their smallest document, and what no other one shares is not sorted; large piles are sorted in parts."""
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.integers(97, 101, 3000, np.uint8)) for _ in range(3)]
+    texts += [texts[0], texts[1], texts[2][:1000] + b"-" + texts[2][1000:], texts[0]]
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    h, _ = suffix_dedup.anchor_prints(data, off, 50)
+    live = np.unique(suffix_dedup.name_prints(h, 1))
+    batch = suffix_dedup.cut_segments(data, off, np.arange(len(texts)), 0, 50, 8, live, np.zeros(len(live), np.uint64), 1)
+    seen = []
+    sort = suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda t: (seen.append(len(t)), sort(t))[1])
+    want = [(d, n, removed) for d, (_, n, removed, *_) in enumerate(brute_repeats([(i, t.decode()) for i, t in enumerate(texts)]))]
+    for most in (1 << 20, 1):
+        monkeypatch.setattr(suffix_dedup, "_SORTED", most)
+        runs, _ = suffix_dedup.pile_runs(batch, 50)
+        _, removed, _ = suffix_dedup._cut(data, off, np.arange(len(texts)), runs, 50)
+        assert [(i, len(t), r) for i, (t, r) in enumerate(zip(texts, removed.tolist(), strict=True))] == want
+    assert sum(seen) < 2000  # only the segments around the "-", of 21,001 bytes in all
+
+
 def test_spans_out_of_range_are_refused():
     for span in (0, 17, 30_001):
         with pytest.raises(ValueError, match="span"):

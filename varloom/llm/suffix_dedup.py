@@ -10,10 +10,12 @@ overlaps count, and all strings are judged on the input.
    at such anchors are then sent, with their bytes, to shards by anchor. Equal segments of a bucket of
    documents are sent once, with the smallest document: in the bucket's later documents they are repeats
    already (a combine before the shuffle). An anchor of many buckets (blanks, rules of dashes) is dealt to several
-   shards, by the bytes before or after it.
+   shards, by the bytes before or after it. A blob goes from each bucket to each pile of shards, so buckets and
+   piles grow with the corpus up to `unit_bytes`; segments whose anchor is in over `fan_in` buckets, and only they,
+   are combined in steps first.
 2. In a shard, segments that share neither the bytes before and with their anchor nor those with and after
-   it with another document (half of a window's other bytes lie on one side) are left out. The distinct
-   others form the shard's text. Its suffix array is made by induced sorting (see sais), the permuted common
+   it with another document (half of a window's other bytes lie on one side) are left out, and once more when equal
+   ones are one. The distinct others form the shard's text. Its suffix array is made by induced sorting (see sais), the permuted common
    prefixes tell which neighbours agree in span bytes, and a window is a repeat if a neighbour in its run
    of agreeing suffixes comes from a smaller document.
 3. The repeats go back to their documents, which are cut.
@@ -43,6 +45,10 @@ SPAN = 50
 GRAM = 16
 _PRINT_BITS = 40
 _HOT = np.uint64(1) << np.uint64(63)
+_VAST = np.uint64(1) << np.uint64(62)
+_MARKS = _HOT | _VAST
+_BLOCK = 1 << 20  # bytes that are indexed or hashed at once
+_SORTED = 4 << 20  # bytes of shards that share a suffix array
 NO_ID = np.iinfo(np.int64).max
 _META = np.dtype([("anchor", "<u2"), ("size", "<u2"), ("n_places", "<u4"), ("shard", "<u4"), ("doc", "<i8")])
 _PLACE = np.dtype([("key", "<u8"), ("offset", "<i8"), ("bucket", "<i4")])
@@ -73,6 +79,15 @@ def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(n) + np.repeat(start - (ends - size), size)
 
 
+def _pieces(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """data[_spans(start, size)], with the index of a block at a time."""
+    edges = np.append(0, np.cumsum(size))
+    out = np.empty(int(edges[-1]), data.dtype)
+    for i, j in blocks(edges, _BLOCK):
+        out[edges[i] : edges[j]] = data[_spans(start[i:j], size[i:j])]
+    return out
+
+
 class Segments:
     """Anchored segments of a chunk of texts."""
 
@@ -135,13 +150,13 @@ class Batch:
 
     def take(self, rows: np.ndarray) -> Batch:
         start, size, first, n = self.starts()
-        return Batch(self.meta[rows], self.place[_spans(first[rows], n[rows])], self.text[_spans(start[rows], size[rows])])
+        return Batch(self.meta[rows], self.place[_spans(first[rows], n[rows])], _pieces(self.text, start[rows], size[rows]))
 
-    def split(self) -> list[tuple[int, Batch]]:
-        """(shard, its segments), by shard."""
+    def split(self, pile: int = 1) -> list[tuple[int, Batch]]:
+        """(shard, its segments), by shard; or by pile of so many shards."""
         whole = self.take(np.argsort(self.meta["shard"], kind="stable"))
         start, size, first, n = whole.starts()
-        shard = whole.meta["shard"]
+        shard = whole.meta["shard"] // np.uint32(pile)
         cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])[: len(shard)])
         text_at, place_at = np.append(start, len(whole.text)), np.append(first, len(whole.place))
         out = []
@@ -168,7 +183,7 @@ class Batch:
         runs["count"] = np.repeat(size[old] - span + 1, n[old])
         meta = self.meta[heads].copy()
         meta["n_places"] = np.bincount(group[~later], weights=n[kept], minlength=len(heads)).astype(np.uint32)
-        out = Batch(meta, self.place[_spans(first[kept], n[kept])], self.text[_spans(start[heads], size[heads])])
+        out = Batch(meta, self.place[_spans(first[kept], n[kept])], _pieces(self.text, start[heads], size[heads]))
         return out, runs, self.place["bucket"][where]
 
 
@@ -207,9 +222,9 @@ def unpack_prints(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def live_prints(blobs: list[bytes], hot_buckets: int) -> list[np.ndarray]:
+def live_prints(blobs: list[bytes], hot_buckets: int, fan_in: int) -> list[np.ndarray]:
     """Of each bucket's fingerprints, those of two documents or more, in the bucket or in another one; marked as hot
-    if more than hot_buckets buckets have them."""
+    if more than hot_buckets buckets have them, and as vast if more than fan_in do."""
     lists = [unpack_prints(x) for x in blobs]
     every = np.concatenate([np.concatenate(x) for x in lists])
     many = np.concatenate([np.concatenate([np.zeros(len(x[0]), bool), np.ones(len(x[1]), bool)]) for x in lists])
@@ -224,13 +239,14 @@ def live_prints(blobs: list[bytes], hot_buckets: int) -> list[np.ndarray]:
     head = np.flatnonzero(np.append(True, ~equal)[: len(got)])
     size = np.diff(np.append(head, len(got)))
     mark = np.zeros(len(got), np.uint64)
-    mark[order] = np.where(np.repeat(size, size) > hot_buckets, _HOT, np.uint64(0))
+    mark[order] = np.repeat(np.where(size > hot_buckets, _HOT, np.uint64(0)) | np.where(size > fan_in, _VAST, np.uint64(0)), size)
     cut = np.cumsum([len(x[0]) + len(x[1]) for x in lists])[:-1]
     return [np.sort((p | m)[a]) for p, m, a in zip(np.split(every, cut), np.split(mark, cut), np.split(alive, cut), strict=True)]
 
 
-def cut_segments(data: np.ndarray, off: np.ndarray, doc: np.ndarray, bucket: int, span: int, shards: int, live: np.ndarray, hot: np.ndarray, groups: int) -> Batch:
-    """The segments at live anchors of some texts; live is ascending, hot tells which of it are hot.
+def cut_segments(data: np.ndarray, off: np.ndarray, doc: np.ndarray, bucket: int, span: int, shards: int, live: np.ndarray, marks: np.ndarray, groups: int) -> Batch:
+    """The segments at live anchors of some texts; live is ascending, marks tells which of it are hot or vast.
+    Those at vast anchors go to as many shards of their own, after the others.
 
     A segment at a hot anchor is sent as two, by the bytes beside the anchor: windows with `side` bytes or more
     before it, and the others, which have more than `side` after it. Equal windows still meet, since they have
@@ -240,11 +256,11 @@ def cut_segments(data: np.ndarray, off: np.ndarray, doc: np.ndarray, bucket: int
     name = name_prints(h, groups)
     at = np.minimum(np.searchsorted(live, name), len(live) - 1)
     keep = live[at] == name
-    anchor, first, last, deal = seg.anchor, seg.first, seg.last, h
-    side = (span - GRAM) // 2
-    if side >= 8 and (keep & hot[at]).any():
+    anchor, first, last, deal, vast = seg.anchor, seg.first, seg.last, h, (marks[at] & _VAST) > 0
+    side, hot = (span - GRAM) // 2, (marks[at] & _HOT) > 0
+    if side >= 8 and (keep & hot).any():
         word = eight_bytes(data)
-        split = keep & hot[at]
+        split = keep & hot
         plain = keep & ~split
         before = split & (first <= anchor - side)
         after = split & (last > anchor - side)
@@ -253,15 +269,15 @@ def cut_segments(data: np.ndarray, off: np.ndarray, doc: np.ndarray, bucket: int
         lo = np.concatenate([first[plain], first[before], np.maximum(first[after], anchor[after] - side + 1)])
         hi = np.concatenate([last[plain], np.minimum(last[before], anchor[before] - side), last[after]])
         order = np.argsort(lo, kind="stable")
-        anchor, first, last, deal = anchor[rows][order], lo[order], hi[order], np.concatenate(parts)[order]
+        anchor, first, last, deal, vast = anchor[rows][order], lo[order], hi[order], np.concatenate(parts)[order], vast[rows][order]
     else:
-        anchor, first, last, deal = anchor[keep], first[keep], last[keep], deal[keep]
+        anchor, first, last, deal, vast = anchor[keep], first[keep], last[keep], deal[keep], vast[keep]
     size = last - first + span
     owner = np.searchsorted(off, first, side="right") - 1
     place, meta = np.zeros(len(first), _PLACE), np.zeros(len(first), _META)
     place["key"], place["offset"], place["bucket"] = text_keys(data, off)[owner], first - off[owner], bucket
     meta["anchor"], meta["size"], meta["doc"], meta["n_places"] = anchor - first, size, doc[owner], 1
-    meta["shard"] = (deal >> np.uint64(8)) % np.uint64(shards)
+    meta["shard"] = (deal >> np.uint64(8)) % np.uint64(shards) + np.where(vast, np.uint64(shards), np.uint64(0))
     return Batch(meta, place, data[_spans(first, size)])
 
 
@@ -272,13 +288,35 @@ def _beside(word: np.ndarray, h: np.ndarray, at: np.ndarray, n: int) -> np.ndarr
     return h
 
 
-def shard_runs(batch: Batch, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Repeated runs of a shard's documents, and their buckets."""
+def pile_runs(batch: Batch, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Repeated runs of the documents of some shards, and their buckets."""
+    batch = _live(batch, span)
+    if not len(batch.meta):
+        return np.zeros(0, _RUN), np.zeros(0, np.int32)
+    batch, whole, whole_bucket = batch.combine(span)
+    batch = _live(batch, span)  # equal segments no longer keep each other
+    shards = [batch]
+    if len(batch.text) > _SORTED:
+        shards = []
+        for _, x in batch.split():
+            if shards and len(shards[-1].text) + len(x.text) <= _SORTED:
+                shards[-1] = Batch.join([shards[-1], x])
+            else:
+                shards.append(x)
+    found = [(whole, whole_bucket), *(shard_runs(x, span) for x in shards)]
+    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+
+
+def _live(batch: Batch, span: int) -> Batch:
     start, size, _, _ = batch.starts()
-    live = np.flatnonzero(_may_repeat(batch.text, start, size, batch.meta["anchor"].astype(np.int64), batch.meta["doc"], span))
-    if not len(live):
+    live = _may_repeat(batch.text, start, size, batch.meta["anchor"].astype(np.int64), batch.meta["doc"], span)
+    return batch if live.all() else batch.take(np.flatnonzero(live))
+
+
+def shard_runs(batch: Batch, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Repeated runs of the documents of distinct segments, and their buckets."""
+    if not len(batch.meta):
         return np.zeros(0, _RUN), np.zeros(0, np.int32)
-    batch, whole, whole_bucket = batch.take(live).combine(span)
     start, size, first, n = batch.starts()
     doc = batch.meta["doc"]
 
@@ -313,25 +351,26 @@ def shard_runs(batch: Batch, span: int) -> tuple[np.ndarray, np.ndarray]:
     runs = np.zeros(len(where), _RUN)
     runs["key"], runs["doc"] = batch.place["key"][where], np.repeat(doc[seg], n[seg])
     runs["start"], runs["count"] = batch.place["offset"][where] + np.repeat(begin - at[seg], n[seg]), np.repeat(end - begin, n[seg])
-    return np.concatenate([whole, runs]), np.concatenate([whole_bucket, batch.place["bucket"][where]])
+    return runs, batch.place["bucket"][where]
 
 
 def _may_repeat(text: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.ndarray, doc: np.ndarray, span: int) -> np.ndarray:
     """Whether a segment shares with another document what any shared window would hold: the anchor with
     the `side` bytes before it, or with those after it, where half of a window's other bytes must lie."""
-    word = np.append(eight_bytes(text), np.zeros(40, np.uint64))
     side = (span - GRAM + 1) // 2
     live = np.zeros(len(start), bool)
-    at = start + anchor
+    edges = np.append(start, len(text))
     for lead, room in ((side, anchor >= side), (0, size - anchor - GRAM >= side)):
         rows = np.flatnonzero(room)
         if not len(rows):
             continue
-        base = at[rows] - lead
-        h = np.full(len(rows), np.uint64(lead + 1))
-        for depth in [*range(0, side + GRAM - 7, 8), side + GRAM - 8]:
-            h = (h ^ word[base + depth]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(32)
+        base, h = start[rows] + anchor[rows] - lead, np.full(len(rows), np.uint64(lead + 1))
+        for i, j in blocks(edges, _BLOCK):
+            a, b = np.searchsorted(rows, [i, j])
+            word = eight_bytes(text[edges[i] : edges[j]])
+            for depth in [*range(0, side + GRAM - 7, 8), side + GRAM - 8]:
+                h[a:b] = (h[a:b] ^ word[base[a:b] + (depth - edges[i])]) * np.uint64(0x9E3779B97F4A7C15)
+                h[a:b] ^= h[a:b] >> np.uint64(32)
         order = np.argsort(h)
         cut = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
         d = doc[rows][order]
@@ -342,18 +381,19 @@ def _may_repeat(text: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: n
 
 
 def _content(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    power, inverse = _powers(len(text) + 1)
-    total = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power[: len(text)], out=total[1:])
-    return mix64((total[start + size] - total[start]) * inverse[start])
+    """64-bit hash of each segment; they fill the text in their order."""
+    edges = np.append(start, len(text))
+    return np.concatenate([np.zeros(0, np.uint64), *(text_keys(text[edges[i] : edges[j]], edges[i : j + 1] - edges[i]) for i, j in blocks(edges, _BLOCK))])
 
 
 def _equal(text: np.ndarray, start: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether segments a and b (of equal sizes) are equal byte for byte."""
-    if not len(a):
-        return np.zeros(0, bool)
-    off = text[_spans(start[a], size[a])] != text[_spans(start[b], size[b])]
-    return np.add.reduceat(off, np.cumsum(size[a]) - size[a]) == 0
+    out = np.zeros(len(a), bool)
+    for i, j in blocks(np.append(0, np.cumsum(size[a])), _BLOCK):
+        x, y, n = start[a[i:j]], start[b[i:j]], size[a[i:j]]
+        off = text[_spans(x, n)] != text[_spans(y, n)]
+        out[i:j] = np.add.reduceat(off, np.cumsum(n) - n) == 0
+    return out
 
 
 def _prime_from(n: int) -> int:
@@ -386,11 +426,14 @@ def _by_bucket(runs: np.ndarray, of: np.ndarray) -> list[tuple[int, bytes]]:
     return [(int(of[a]), pack.compress(runs[a:b].tobytes())) for a, b in zip(at, np.append(at[1:], len(runs)), strict=False)]
 
 
-def find_repeats(left: DataFrame, bucket: str, key: str, text: str, span: int, shards: int, groups: int, buckets: int, fan_in: int, hot_buckets: int, block_bytes: int = 1 << 19) -> DataFrame:
-    """(bucket, runs): packed runs of repeated windows, by bucket of documents."""
+def find_repeats(left: DataFrame, bucket: str, key: str, text: str, span: int, shards: int, groups: int, buckets: int, fan_in: int, hot_buckets: int, pile: int = 1, block_bytes: int = 1 << 19) -> DataFrame:
+    """(bucket, runs): packed runs of repeated windows, by bucket of documents, from each pile of shards."""
     import pyarrow as pa
     import zstandard
 
+    piles = -(-shards // pile)  # and as many after them, for vast anchors
+    shards = piles * pile
+
     def prints(key_, table):
         """The bucket's anchors, by group."""
         data, off = text_buffers(table.column(text))
@@ -415,81 +458,92 @@ def find_repeats(left: DataFrame, bucket: str, key: str, text: str, span: int, s
 
     def live(key_, table):
         tool = zstandard.ZstdDecompressor()
-        got = live_prints([tool.decompress(x) for x in table.column("blob").to_pylist()], hot_buckets)
+        got = live_prints([tool.decompress(x) for x in table.column("blob").to_pylist()], hot_buckets, fan_in)
         pack, mine = zstandard.ZstdCompressor(level=1), key_[0].as_py() << _PRINT_BITS
         rows = [(b, pack.compress((p | np.uint64(mine)).tobytes())) for b, p in zip(table.column("b").to_pylist(), got, strict=True) if len(p)]
         return _packed(rows, ["b", "blob"])
 
     def segments(table, lists):
-        """The bucket's segments at live anchors, by shard; repeats within it under the shard -1 - bucket."""
+        """The bucket's segments at live anchors, by pile; repeats within it under the pile -1 - bucket."""
         tool, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         if not len(table) or not len(lists):
-            return _packed([], ["shard", "part", "blob"])
+            return _packed([], ["pile", "part", "blob"])
         own = table.column(bucket)[0].as_py()
         alive = np.sort(np.concatenate([np.frombuffer(tool.decompress(x), np.uint64) for x in lists.column("blob").to_pylist()]))
-        order = np.argsort(alive & ~_HOT)
-        hot, alive = (alive[order] & _HOT) > 0, alive[order] & ~_HOT
+        order = np.argsort(alive & ~_MARKS)
+        marks, alive = alive[order] & _MARKS, alive[order] & ~_MARKS
         data, off = text_buffers(table.column(text))
         ids = table.column(key).cast(pa.int64()).fill_null(NO_ID).to_numpy()
-        found = [cut_segments(data[off[i] : off[j]], off[i : j + 1] - off[i], ids[i:j], own, span, shards, alive, hot, groups) for i, j in blocks(off, block_bytes)]
+        found = [cut_segments(data[off[i] : off[j]], off[i : j + 1] - off[i], ids[i:j], own, span, shards, alive, marks, groups) for i, j in blocks(off, block_bytes)]
         # equal segments have one anchor and so one shard
         batch = Batch.join(found)
+        found.clear()
         if not len(batch.meta):
-            return _packed([], ["shard", "part", "blob"])
+            return _packed([], ["pile", "part", "blob"])
         batch, runs, _ = batch.combine(span)
-        rows = [(shard, own, pack.compress(part.pack())) for shard, part in batch.split()]
+        rows = [(k, own, pack.compress(part.pack())) for k, part in batch.split(pile)]
         rows += [(-1 - b, own, x) for b, x in _by_bucket(runs, np.full(len(runs), own))]
-        return _packed(rows, ["shard", "part", "blob"])
+        return _packed(rows, ["pile", "part", "blob"])
+
+    def joined(table):
+        tool = zstandard.ZstdDecompressor()
+        return Batch.join([Batch.unpack(tool.decompress(x.as_buffer())) for x in table.column("blob")])
+
+    def finished(k, table):
+        """Repeated runs of a pile, or those found so far, by bucket."""
+        if k >= 0:
+            return _by_bucket(*pile_runs(joined(table), span))
+        tool = zstandard.ZstdDecompressor()
+        return [(-1 - k, zstandard.ZstdCompressor(level=1).compress(b"".join(tool.decompress(x) for x in table.column("blob").to_pylist())))]
 
     def merge(key_, table):
-        """Equal segments of several buckets as one, before all meet."""
-        tool, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        blobs = [tool.decompress(x) for x in table.column("blob").to_pylist()]
-        shard, part = key_[0].as_py(), key_[1].as_py()
-        if shard < 0:
-            return _packed([(shard, part, pack.compress(b"".join(blobs)))], ["shard", "part", "blob"])
-        batch, runs, of = Batch.join([Batch.unpack(x) for x in blobs]).combine(span)
-        return _packed([(shard, part, pack.compress(batch.pack())), *((-1 - b, part, x) for b, x in _by_bucket(runs, of))], ["shard", "part", "blob"])
+        """Equal segments at vast anchors, of several buckets, as one; other piles are finished."""
+        k, part = key_[0].as_py(), key_[1].as_py()
+        if k < piles:
+            return _packed([(-1 - b, 0, x) for b, x in finished(k, table)], ["pile", "part", "blob"])
+        batch, runs, of = joined(table).combine(span)
+        pack = zstandard.ZstdCompressor(level=1)
+        return _packed([(k, part, pack.compress(batch.pack())), *((-1 - b, 0, x) for b, x in _by_bucket(runs, of))], ["pile", "part", "blob"])
 
     def reduce(key_, table):
-        tool = zstandard.ZstdDecompressor()
-        blobs = [tool.decompress(x) for x in table.column("blob").to_pylist()]
-        shard = key_[0].as_py()
-        if shard < 0:
-            rows = [(-1 - shard, zstandard.ZstdCompressor(level=1).compress(b"".join(blobs)))]
-        else:
-            rows = _by_bucket(*shard_runs(Batch.join([Batch.unpack(x) for x in blobs]), span))
-        return _packed(rows, ["bucket", "runs"])
+        return _packed(finished(key_[0].as_py(), table), ["bucket", "runs"])
 
     alive = left.groupBy(bucket).applyInArrow(lean_group(prints), "g int, b int, blob binary").groupBy("g").applyInArrow(lean_group(live), "b int, blob binary")
-    sent = left.groupBy(bucket).cogroup(alive.groupBy("b")).applyInArrow(lean_group(segments), "shard int, part int, blob binary")
+    sent = left.groupBy(bucket).cogroup(alive.groupBy("b")).applyInArrow(lean_group(segments), "pile int, part int, blob binary")
     while buckets > fan_in:  # a passage of every bucket meets itself at most fan_in times at once
-        parts = sent.withColumn("part", F.floor(F.col("part") / F.lit(fan_in)).cast("int"))
-        sent, buckets = parts.groupBy("shard", "part").applyInArrow(lean_group(merge), "shard int, part int, blob binary"), -(-buckets // fan_in)
-    return sent.groupBy("shard").applyInArrow(lean_group(reduce), "bucket int, runs binary")
+        parts = sent.withColumn("part", F.when(F.col("pile") >= piles, F.floor(F.col("part") / F.lit(fan_in))).otherwise(0).cast("int"))
+        sent, buckets = parts.groupBy("pile", "part").applyInArrow(lean_group(merge), "pile int, part int, blob binary"), -(-buckets // fan_in)
+    return sent.groupBy("pile").applyInArrow(lean_group(reduce), "bucket int, runs binary")
 
 
 def _cut(data: np.ndarray, off: np.ndarray, ids: np.ndarray, runs: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(removed flag of every byte, removed bytes a text, removed spans a text)"""
-    n = len(data)
     name = lambda doc, key: mix64(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ key)
-    mine = name(ids, text_keys(data, off))
+    mine = name(ids, _content(data, off[:-1], np.diff(off)))
     order = np.argsort(mine, kind="stable")
     wanted = name(runs["doc"], runs["key"])
     at = np.minimum(np.searchsorted(mine[order], wanted), max(len(mine) - 1, 0))
     hit = mine[order][at] == wanted if len(mine) else np.zeros(len(wanted), bool)
-    begin = off[:-1][order[at[hit]]] + runs["start"][hit]
-    diff = np.zeros(n + 1, np.int32)
-    np.add.at(diff, begin, 1)
-    np.add.at(diff, begin + runs["count"][hit] + span - 1, -1)
-    gone = np.cumsum(diff[:-1]) > 0
-    total = np.concatenate([[0], np.cumsum(gone)])
-    rise = gone.copy()
-    rise[1:] &= ~gone[:-1]
-    first = off[:-1][np.diff(off) > 0]
-    rise[first] = gone[first]
-    edges = np.concatenate([[0], np.cumsum(rise)])
-    return gone, total[off[1:]] - total[off[:-1]], edges[off[1:]] - edges[off[:-1]]
+    owner = order[at[hit]]
+    runs = runs[hit][np.argsort(owner, kind="stable")]
+    owner.sort()
+    gone, removed, spans = np.zeros(len(data), bool), np.zeros(len(mine), np.int64), np.zeros(len(mine), np.int64)
+    for i, j in blocks(off, _BLOCK):
+        a, b = np.searchsorted(owner, [i, j])
+        begin, ends = off[owner[a:b]] - off[i] + runs["start"][a:b], off[i : j + 1] - off[i]
+        diff = np.zeros(ends[-1] + 1, np.int32)
+        np.add.at(diff, begin, 1)
+        np.add.at(diff, begin + runs["count"][a:b] + span - 1, -1)
+        out = np.cumsum(diff[:-1]) > 0
+        gone[off[i] : off[j]] = out
+        total = np.concatenate([[0], np.cumsum(out)])
+        rise = out.copy()
+        rise[1:] &= ~out[:-1]
+        first = ends[:-1][np.diff(ends) > 0]
+        rise[first] = out[first]
+        edges = np.concatenate([[0], np.cumsum(rise)])
+        removed[i:j], spans[i:j] = total[ends[1:]] - total[ends[:-1]], edges[ends[1:]] - edges[ends[:-1]]
+    return gone, removed, spans
 
 
 @dataclass(frozen=True)
@@ -500,12 +554,20 @@ class RepeatParams:
     group_bytes: int = 32 << 20  # of the text whose anchors meet in a group
     fan_in: int = 1024  # buckets whose segments meet at once
     hot_buckets: int = 64  # buckets from which an anchor's segments are dealt by the bytes beside it, too
+    units: int = 512  # buckets, and piles of shards, that there may be before they grow
+    unit_bytes: int = 8 << 20  # to which they grow
 
     def __post_init__(self):
         if not GRAM + 2 <= self.span <= 30_000:  # sizes of segments, below twice the span, take two bytes
             raise ValueError(f"span must be in {GRAM + 2} to 30000, not {self.span}")
 
 
+    def dealt(self, total: int) -> tuple[int, int, int]:
+        """Number of buckets, of shards, and of shards in a pile, for so many bytes of text."""
+        unit = min(self.unit_bytes, total // self.units)
+        return _prime_from(total // max(self.bucket_bytes, unit) + 1), total // self.shard_bytes + 1, max(1, unit // self.shard_bytes)
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", p: RepeatParams = RepeatParams(), keep_text: bool = True) -> DataFrame:
     """docs (without its text unless keep_text; bytes of a character cut in two go) with n_bytes, n_removed,
     n_spans and kept_sha256 of each text."""
@@ -533,9 +595,9 @@ def _cut_documents(docs: DataFrame, key: str, text: str, total: int, p: RepeatPa
     import pyarrow as pa
     import zstandard
 
-    buckets, bucket = _prime_from(total // p.bucket_bytes + 1), "__bucket"
+    (buckets, shards, pile), bucket = p.dealt(total), "__bucket"
     left = docs.withColumn(bucket, _bucket_column(F.col(key).cast("long"), F.col(text), buckets))
-    runs = find_repeats(left, bucket, key, text, p.span, total // p.shard_bytes + 1, total // p.group_bytes + 1, buckets, p.fan_in, p.hot_buckets)
+    runs = find_repeats(left, bucket, key, text, p.span, shards, total // p.group_bytes + 1, buckets, p.fan_in, p.hot_buckets, pile)
     keep = [c for c in docs.columns if c not in ADDED and (keep_text or c != text)]
     fields = [T.StructField(c, docs.schema[c].dataType) for c in keep]
     schema = T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in ADDED[:3]), T.StructField(ADDED[3], T.StringType())])
