@@ -321,3 +321,26 @@ def test_a_megabyte_without_a_space_takes_seconds():
     ids, _ = sentencepiece_viterbi.codec(file).encode([text])
     assert time.perf_counter() - began < 20
     assert ids.tolist() == sentencepiece.SentencePieceProcessor(model_file=file).encode(text)
+
+
+def test_decoding_and_powers_take_little_memory():
+    """Texts are decoded some at a time, and powers of long texts go when a group or partition has ended."""
+    import tracemalloc
+
+    from varloom.llm import common
+
+    tool = sentencepiece_viterbi.codec(tokenizer_path("piece_bpe_32k.model"))
+    texts = ["plain words, again and again. " * 400] * 300 + ["", None, " x  y "]
+    ids, lens = tool.encode(texts)
+    data = np.frombuffer("".join(t or "" for t in texts).encode(), np.uint8)
+    off = np.cumsum([0, *(len((t or "").encode()) for t in texts)])
+    tracemalloc.start()
+    same, back = tool.round_trip(ids, lens, data, off)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(same) and back.tolist() == off.tolist()
+    assert peak < 4 * len(data)  # an index of all bytes takes 16 a byte
+    common._powers(3 << 20)
+    common.release()
+    assert len(common._pow) == len(common._inv) == 1 << 20
+    assert (common._powers(3 << 20)[0] * common._powers(3 << 20)[1] == 1).all()

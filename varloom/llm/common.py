@@ -103,9 +103,13 @@ def arrow_rows(spark: SparkSession, n: int):
 
 
 def release() -> None:
-    """Gives memory that numpy and Arrow have freed back to the system; Python workers live on from stage to stage."""
+    """Gives memory that numpy and Arrow have freed, and powers of long texts, back to the system; Python workers live on
+    from stage to stage."""
     import pyarrow as pa
 
+    global _pow, _inv
+    if len(_pow) > _POWERS:
+        _pow, _inv = _pow[:_POWERS].copy(), _inv[:_POWERS].copy()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not the C library of Linux
         ctypes.CDLL(None).malloc_trim(0)
@@ -144,6 +148,7 @@ def let(value: Column, body) -> Column:
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_POWERS = 1 << 20  # powers that are kept
 _pow = np.ones(1, np.uint64)
 _inv = np.ones(1, np.uint64)
 _IS_WS = np.zeros(256, bool)
@@ -155,7 +160,7 @@ _LOWER[65:91] += 32
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _inv
     if len(_pow) < n:
-        size = max(n, 1 << 20)
+        size = max(n, _POWERS)
         ones = np.full(size, _BASE)
         ones[0] = 1
         _pow = np.cumprod(ones)
