@@ -48,7 +48,7 @@ _HOT = np.uint64(1) << np.uint64(63)
 _VAST = np.uint64(1) << np.uint64(62)
 _MARKS = _HOT | _VAST
 _BLOCK = 1 << 20  # bytes that are indexed or hashed at once
-_SORTED = 4 << 20  # bytes of shards that share a suffix array
+_SORTED = 1 << 20  # bytes of shards that share a suffix array
 NO_ID = np.iinfo(np.int64).max
 _META = np.dtype([("anchor", "<u2"), ("size", "<u2"), ("n_places", "<u4"), ("shard", "<u4"), ("doc", "<i8")])
 _PLACE = np.dtype([("key", "<u8"), ("offset", "<i8"), ("bucket", "<i4")])
