@@ -36,6 +36,16 @@ def test_query_equals_its_sql(spark, duck, name):
     assert plain(got) == plain(want)
 
 
+def test_vectors_are_products_of_floats(spark, tmp_path):
+    """Floats next to a twentieth: a product of doubles stays below the whole number that SQL's floats reach."""
+    twentieths = [k / 20 for k in range(-40, 41)]
+    spark.createDataFrame([(i, twentieths[i : i + 64], 0) for i in range(18)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = table_queries.haplotype_sum(spark, str(tmp_path)).toPandas()
+    assert plain(got) == plain(con.sql(table_queries.SQL["haplotype_sum"]).df())
+
+
 def test_full_genotypes_are_what_was_planted(spark):
     nations = {r.s_suppkey: (r.s_nationkey, r.s_suppkey // 25) for r in spark.read.parquet(f"{SF}/supplier.parquet").collect()}
     got = {r.s_suppkey: r for r in table_queries.full_genotype(spark, SF).collect()}
