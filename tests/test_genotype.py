@@ -254,6 +254,24 @@ def test_swapped_medoids_agree_with_all_pairs():
         assert exact[0] == swapped[0] and exact[2] == pytest.approx(swapped[2])
 
 
+def test_medoids_of_many_rows_are_the_best_pair(spark, monkeypatch):
+    """Above 256 rows as below; in one matrix, and in stripes of seven rows with repeated features."""
+    rng = np.random.default_rng(11)
+    for _ in range(4):
+        points = rng.integers(-4, 5, (300, 6)).astype(np.float32)
+        d, w = cluster.distances(points, 2), rng.integers(1, 4, 300)
+        want = min((float(x.min()), i, i + 1 + int(x.argmin())) for i in range(299) for x in [w @ np.minimum(d[:, i : i + 1], d[:, i + 1 :]).astype(np.float64)])
+        for first in (0, 5, 64):
+            pair, _, loss = cluster.two_medoids(d, w, first)
+            assert pair == want[1:] and loss == pytest.approx(want[0])
+    monkeypatch.setattr(cluster, "_HELD", 7 * 300)
+    order = [k for k, n in enumerate(w.tolist()) for _ in range(n)]
+    rows = [(1, i, points[k].tolist()) for i, k in enumerate(order)] + [(2, -1, [1.0] * 6)]
+    got = {r.i: r.medoid for r in cluster.cluster_two(spark.createDataFrame(rows, "g int, i long, k array<float>"), "g", "i", "k", 2).collect()}
+    assert got.pop(-1) == -1 and {order[m] for m in got.values()} == set(want[1:]) and len(got) == len(order)
+    assert sum(d[order[i], order[m]] for i, m in got.items()) == pytest.approx(want[0], rel=1e-5)
+
+
 def test_annotation_without_paths_and_order(spark):
     v = spark.createDataFrame([("c", 0, 1, "A", "AC")], "chrom string, ne long, node int, ref string, alt string")
     found = spark.createDataFrame([("c", 0, "Unset", 0, [])], f"chrom string, ne long, ploidy string, coverage long, paths {annotate.PATHS}")
