@@ -81,3 +81,15 @@ def test_edges(spark):
     assert sorted((r.src, r.dst) for r in neighborhoods.edges(df, with_anchors=False).collect()) == [(1, 3)]
     full = sorted((r.src, r.dst) for r in neighborhoods.edges(df).collect())
     assert full == [(0, 1), (0, 2), (0, 3), (0, 4), (1, 3), (1, 4), (2, 4), (3, 4)]
+
+
+def test_size_join_makes_no_pairs_of_far_sizes(spark):
+    """All pairs of a ratio of 0.9 or more, its very border too, and none under 0.7; a key's two tables are not multiplied."""
+    sizes = [0, 1, 2, 9, 10, -10, 81, 90, 99, 100, 110, 900, 999, 1000, 1110, 5 * 10**8, 10**9, 123_456_789]
+    a = spark.createDataFrame([(k, s) for k in (1, 2) for s in sizes], "k int, x long")
+    b = spark.createDataFrame([(1, s) for s in sizes], "k int, y long")
+    got = sorted(tuple(r) for r in intervals.size_join(a, b, "k", "x", "y", 0.9).select("x", "y").collect())
+    ratio = lambda x, y: max(min(abs(x), abs(y)), 1) / max(abs(x), abs(y), 1)
+    pairs = [(x, y) for x in sizes for y in sizes]
+    assert {p for p in pairs if ratio(*p) >= 0.9} <= set(got) and len(got) == len(set(got))
+    assert all(ratio(*p) > 0.7 for p in got) and len(got) < len(pairs) / 3

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,6 +58,17 @@ def range_join(points: DataFrame, spans: DataFrame, on: str, point: Column, span
     return left.join(right.withColumnRenamed(on, "__on"), (F.col(on) == F.col("__on")) & (left["__bin"] == right["__bin"]) & condition).drop("__on", "__bin")
 
 
+def size_join(a: DataFrame, b: DataFrame, on: str, size_a: str, size_b: str, least: float) -> DataFrame:
+    """Pairs of a and b, equal in `on`, among them all whose smaller size is at least `least` (below 1) of the larger, 0 counting as 1.
+
+    Sizes meet in bins of their logarithm a hair wider than such a ratio spans: a size's own and the two beside it. Pairs
+    much less alike are not made; those in between are left to a filter."""
+    width = -1.001 * math.log(least)
+    place = lambda c: F.floor(F.ln(F.greatest(F.abs(F.col(c)), F.lit(1)).cast("double")) / width)
+    left = a.withColumn("__bin", F.explode(F.array(*[place(size_a) + k for k in (-1, 0, 1)])))
+    return left.join(b.withColumn("__bin", place(size_b)), [on, "__bin"]).drop("__bin")
+
+
 def spanning_counts(windows: DataFrame, spans: DataFrame, on: str, point: str, length: int, span_start: str, span_end: str, width: int) -> DataFrame:
     """windows with `n`, the number of spans that strictly hold [point, point + length]: start < point and
     end > point + length.
@@ -91,8 +103,3 @@ def interval_lookup(points: DataFrame, intervals: DataFrame, key: Sequence[str],
 def own_chunk(start: Column, chunk: int) -> Column:
     """The one chunk that owns a read: that of its start."""
     return F.floor(start / F.lit(chunk)).cast("long")
-
-
-def top_one(rows: DataFrame, key: Sequence[str], by: Sequence[Column]) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(*by)
-    return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
