@@ -272,6 +272,16 @@ def test_medoids_of_many_rows_are_the_best_pair(spark, monkeypatch):
     assert sum(d[order[i], order[m]] for i, m in got.items()) == pytest.approx(want[0], rel=1e-5)
 
 
+def test_subsets_carry_no_lists_of_parts(spark):
+    """A subset is a sum less what is left out: no list is built or searched for each of them."""
+    parts = spark.createDataFrame([(1, i, 10**i) for i in range(5)], "k int, i long, size long")
+    got = haplotypes.partial_sizes(parts, ["k"], "size", "i", 3, 100)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_append" not in plan and "array_contains" not in plan
+    want = [(len(x), 11111 - sum(10**i for i in x)) for k in range(4) for x in combinations(range(5), k)]
+    assert sorted((r.partial, r.total) for r in got.collect()) == sorted(want)
+
+
 def test_annotation_without_paths_and_order(spark):
     v = spark.createDataFrame([("c", 0, 1, "A", "AC")], "chrom string, ne long, node int, ref string, alt string")
     found = spark.createDataFrame([("c", 0, "Unset", 0, [])], f"chrom string, ne long, ploidy string, coverage long, paths {annotate.PATHS}")

@@ -93,18 +93,22 @@ def partial_sizes(parts: DataFrame, key: list[str], size: str, order: str, fnmax
     """(key, m, partial, total): the summed size of every subset of a key's m parts that leaves out at most fnmax
     (none of all); a key of pileupmax parts or more has its whole sum only.
 
-    Only those subsets are made: the parts left out are chosen in ascending order, and m stands for none.
+    Only those subsets are made: the parts left out are chosen in ascending order, and m stands for none. A subset carries
+    what its parts left out add up to, not the parts.
     """
+    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     whole = parts.groupBy(*key).agg(F.count("*").alias("m"), F.array_sort(F.collect_list(F.struct(order, size))).alias("ps"))
-    small = whole.where(F.col("m") < pileupmax).withColumns({"__last": F.lit(-1).cast("long"), "__out": F.array().cast("array<long>")})
+    whole = whole.select(*key, "m", F.transform("ps", lambda x: x[size].cast("long")).alias("ps")).withColumn("__whole", add(F.col("ps")))
+    none = {"__last": F.lit(-1).cast("long"), "__gone": F.lit(0).cast("long"), "partial": F.lit(0).cast("long")}
+    small = whole.where(F.col("m") < pileupmax).withColumns(none)
     for _ in range(fnmax):
         small = small.withColumn("__last", F.explode(F.sequence(F.least(F.col("__last") + 1, "m"), "m")))
-        small = small.withColumn("__out", F.when(F.col("__last") < F.col("m"), F.array_append("__out", F.col("__last"))).otherwise(F.col("__out")))
-    partial = F.size("__out").cast("long")
-    on = F.transform("ps", lambda x, i: F.when(F.array_contains("__out", i.cast("long")), 0).otherwise(x[size]))
-    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    out = small.where(partial < F.col("m")).select(*key, "m", partial.alias("partial"), add(on).alias("total"))
-    large = whole.where(F.col("m") >= pileupmax).select(*key, "m", F.lit(0).cast("long").alias("partial"), add(F.transform("ps", lambda x: x[size])).alias("total"))
+        part = F.get("ps", F.col("__last").cast("int"))
+        out = F.col("__last") < F.col("m")
+        small = small.withColumns({"__gone": F.when(out, F.col("__gone") + part).otherwise(F.col("__gone")), "partial": F.col("partial") + out.cast("long")})
+    total = F.col("__whole") - F.col("__gone")
+    out = small.where(F.col("partial") < F.col("m")).select(*key, "m", "partial", total.alias("total"))
+    large = whole.where(F.col("m") >= pileupmax).select(*key, "m", F.lit(0).cast("long").alias("partial"), F.col("__whole").alias("total"))
     return out.unionByName(large)
 
 
