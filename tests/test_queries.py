@@ -46,6 +46,15 @@ def test_vectors_are_products_of_floats(spark, tmp_path):
     assert plain(got) == plain(con.sql(table_queries.SQL["haplotype_sum"]).df())
 
 
+def test_parts_of_text_grow_with_the_lines(spark, monkeypatch):
+    monkeypatch.setattr(source_queries, "_PART", 100)
+    path = source_queries._written(spark.range(1000).select("id", F.col("id").cast("string").alias("line")), "test", "id")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    assert lines.groupBy("file").count().agg(F.count("*"), F.max("count"), F.sum("count")).collect()[0][0] >= 8
+    parts = [[int(r.value) for r in lines.where(F.col("file") == f.file).collect()] for f in lines.select("file").distinct().orderBy("file").collect()]
+    assert sum(parts, []) == list(range(1000)) and max(map(len, parts)) < 250
+
+
 def test_full_genotypes_are_what_was_planted(spark):
     nations = {r.s_suppkey: (r.s_nationkey, r.s_suppkey // 25) for r in spark.read.parquet(f"{SF}/supplier.parquet").collect()}
     got = {r.s_suppkey: r for r in table_queries.full_genotype(spark, SF).collect()}

@@ -16,6 +16,8 @@ from .table_queries import QUERIES, _letters, query, table
 
 __all__ = ["QUERIES"]
 
+_PART = 250_000  # lines a part, sorted by one task
+
 
 def _folder(spark: SparkSession, tag: str) -> str:
     """A new path in the folder all executors share; a temporary one only where they are one machine."""
@@ -28,9 +30,10 @@ def _folder(spark: SparkSession, tag: str) -> str:
 
 
 def _written(lines: DataFrame, tag: str, *order: str) -> str:
-    """Path of a folder of text: `line` in the given order."""
+    """Path of a folder of text: `line` in the given order, in as many parts as their number asks for."""
     path = _folder(lines.sparkSession, tag)
-    lines.repartitionByRange(4, *order).sortWithinPartitions(*order).select("line").write.text(path)
+    parts = max(4, -(-lines.count() // _PART))
+    lines.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("line").write.text(path)
     return path
 
 
