@@ -282,6 +282,21 @@ def test_subsets_carry_no_lists_of_parts(spark):
     assert sorted((r.partial, r.total) for r in got.collect()) == sorted(want)
 
 
+def test_cigars_are_parsed_once(spark, tmp_path):
+    """Their operations serve pileups and ends alike; indexes are written in the parts asked for, in order of place."""
+    rows = [("c", i * 7 % 50, f"{i + 1}M60D5M2I{i}S", "ACGT", 60, 0, None, None, i) for i in range(50)]
+    reads = spark.createDataFrame(rows, "chrom string, start long, cigar string, seq string, mapq int, flags int, ps string, hp string, read_ord long")
+    made = pileup.reads_to_pileups(reads, PileupParams())
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert sorted((r.start, r.end, r.pileups[0].position, r.pileups[0].size) for r in made.collect()) == sorted((s, s + i + 66, s + i, -60) for i in range(50) for s in [i * 7 % 50])
+    for write, read, name in ((text.write_plup, text.read_plup, "a.plup"), (text.write_index, text.read_index, "b.plup.parquet")):
+        write(made, f"{tmp_path}/{name}", PileupParams(), 5)
+        files = [f for f in (tmp_path / name).rglob("*") if f.suffix in (".txt", ".parquet")]
+        assert 5 <= len(files) <= 6
+        got = read(spark, f"{tmp_path}/{name}", P).select("start", "end", "pileups").collect()
+        assert sorted(map(str, got)) == sorted(map(str, made.select("start", "end", "pileups").collect()))
+
+
 def test_annotation_without_paths_and_order(spark):
     v = spark.createDataFrame([("c", 0, 1, "A", "AC")], "chrom string, ne long, node int, ref string, alt string")
     found = spark.createDataFrame([("c", 0, "Unset", 0, [])], f"chrom string, ne long, ploidy string, coverage long, paths {annotate.PATHS}")

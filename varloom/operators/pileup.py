@@ -23,8 +23,8 @@ def tag(value: Column, allowed: tuple[int, ...] | None = None) -> Column:
 
 def cigar_ops(cigar: Column) -> Column:
     """struct<n: array<bigint>, op: array<string>>"""
-    pattern = lambda n, op: F.regexp_extract_all(cigar, F.lit(f"{n}[0-9]+){op}[MIDNSHP=X])"), F.lit(1))
-    return F.struct(F.transform(pattern("(", "(?:"), lambda x: x.cast("bigint")).alias("n"), pattern("(?:", "(").alias("op"))
+    found = F.regexp_extract_all(cigar, F.lit("[0-9]+[MIDNSHP=X]"), F.lit(0))
+    return bind(found, lambda v: F.struct(F.transform(v, lambda x: F.substring(x, F.lit(1), F.length(x) - 1).cast("bigint")).alias("n"), F.transform(v, lambda x: F.right(x, F.lit(1))).alias("op")))
 
 
 def _advance(ops: Column, count: Column | None, kinds: tuple[str, ...]) -> Column:
@@ -34,6 +34,10 @@ def _advance(ops: Column, count: Column | None, kinds: tuple[str, ...]) -> Colum
 
 
 def walk_cigar(start: Column, cigar: Column, seq: Column, sizemin: int, sizemax: int) -> Column:
+    return walk_ops(start, cigar_ops(cigar), seq, sizemin, sizemax)
+
+
+def walk_ops(start: Column, ops: Column, seq: Column, sizemin: int, sizemax: int) -> Column:
     """array<PILEUP> of the insertions and deletions of a read with a size in bounds.
 
     The alignment offset starts one base left of the read; M, = and X advance both offsets, I and S the
@@ -49,19 +53,23 @@ def walk_cigar(start: Column, cigar: Column, seq: Column, sizemin: int, sizemax:
             F.when(v["ins"], F.substring(seq, (1 + _advance(ops, i, ("M", "=", "X", "I", "S"))).cast("int"), v["n"].cast("int"))).alias("sequence"),
         )))
 
-    return bind(cigar_ops(cigar), pick).cast(f"array<{PILEUP}>")
+    return bind(ops, pick).cast(f"array<{PILEUP}>")
 
 
 def aligned_end(start: Column, cigar: Column) -> Column:
-    return start + _advance(cigar_ops(cigar), None, ("M", "=", "X", "D", "N"))
+    return ops_end(start, cigar_ops(cigar))
+
+
+def ops_end(start: Column, ops: Column) -> Column:
+    return start + _advance(ops, None, ("M", "=", "X", "D", "N"))
 
 
 def reads_to_pileups(reads: DataFrame, p: PileupParams | GenotypeParams) -> DataFrame:
     """(chrom, start, end, pileups, ps, hp, read_ord) of the reads that pass; reads without pileups stay, as coverage."""
-    rows = reads.where(read_filter(p))
+    rows = reads.where(read_filter(p)).withColumn("__ops", cigar_ops(F.col("cigar")))  # parsed once for both its uses
     return rows.select(
-        "chrom", F.col("start").cast("bigint").alias("start"), aligned_end(F.col("start").cast("bigint"), F.col("cigar")).alias("end"),
-        walk_cigar(F.col("start"), F.col("cigar"), F.col("seq"), p.sizemin, p.sizemax).alias("pileups"),
+        "chrom", F.col("start").cast("bigint").alias("start"), ops_end(F.col("start").cast("bigint"), F.col("__ops")).alias("end"),
+        walk_ops(F.col("start"), F.col("__ops"), F.col("seq"), p.sizemin, p.sizemax).alias("pileups"),
         tag(F.col("ps")).alias("ps"), tag(F.col("hp"), (1, 2)).cast("int").alias("hp"), "read_ord",
     )
 
@@ -74,8 +82,7 @@ def encode_pileups(start: Column, pileups: Column) -> Column:
 
 def decode_pileups(start: Column, text: Column, sizemin: int, sizemax: int) -> Column:
     """array<PILEUP>; malformed items and sizes out of bounds are dropped. A number is a deletion."""
-    item = "(?:^|,){}[0-9]+){}[0-9]+|[A-Za-z=.*]+)(?=,|$)"
-    part = lambda a, b: F.regexp_extract_all(text, F.lit(item.format(a, b)), F.lit(1))
+    items = F.regexp_extract_all(text, F.lit("(?:^|,)([0-9]+:(?:[0-9]+|[A-Za-z=.*]+))(?=,|$)"), F.lit(1))
 
     def one(offset: Column, value: Column) -> Column:
         made = lambda v: F.struct(
@@ -84,7 +91,7 @@ def decode_pileups(start: Column, text: Column, sizemin: int, sizemax: int) -> C
         )
         return bind(F.struct((start + offset.try_cast("bigint")).alias("at"), value.try_cast("bigint").alias("cut")), made)
 
-    found = F.zip_with(part("(", ":(?:"), part("(?:", ":("), one)
+    found = F.transform(items, lambda x: bind(F.split(x, ":"), lambda v: one(v[0], v[1])))
     return F.filter(found, lambda v: v["position"].isNotNull() & F.abs(v["size"]).between(sizemin, sizemax)).cast(f"array<{PILEUP}>")
 
 

@@ -114,9 +114,11 @@ def plup_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("ps"), F.lit(None).cast("string").alias("hp"), F.monotonically_increasing_id().alias("read_ord"),
     )
     made, p = PileupParams(sizemin=50, sizemax=80), GenotypeParams(sizemin=60, sizemax=80)
-    reads = pileup.reads_to_pileups(rows, made)
-    one, two = _folder(spark, "index"), _folder(spark, "index") + ".plup.parquet"
-    text.write_plup(reads, one, made)
-    text.write_index(reads, two, made)
+    scratch, one, two = _folder(spark, "reads"), _folder(spark, "index"), _folder(spark, "index") + ".plup.parquet"
+    pileup.reads_to_pileups(rows, made).write.parquet(scratch)  # both sinks look at them twice
+    reads = spark.read.parquet(scratch)
+    parts = max(4, -(-reads.count() // _PART))
+    text.write_plup(reads, one, made, parts)
+    text.write_index(reads, two, made, parts)
     flat = lambda df: df.select("chrom", "start", "end", F.explode_outer("pileups").alias("v")).where("v is not null").select("chrom", "start", "end", "v.size", "v.position")
     return flat(text.read_plup(spark, one, p)).intersectAll(flat(text.read_reads(spark, two, p)))

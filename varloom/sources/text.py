@@ -213,10 +213,15 @@ def read_reads(spark: SparkSession, path: str, p: GenotypeParams) -> DataFrame:
     return pileup.reads_to_pileups(read_alignments(spark, path), p)
 
 
-def write_index(reads: DataFrame, path: str, p: PileupParams) -> None:
+def _by_place(reads: DataFrame, parts: int | None) -> DataFrame:
+    """reads in parts by place (of no number: the session's), each sorted. Spark works reads out twice for that, once for the borders."""
+    return reads.repartitionByRange(*([parts] if parts else []), "chrom", "start").sortWithinPartitions("chrom", "start")
+
+
+def write_index(reads: DataFrame, path: str, p: PileupParams, parts: int | None = None) -> None:
     """The reads of a pileup index as Parquet, a folder a contig, sorted by start: scans skip other contigs and places."""
-    kept = reads.withColumns({"contig": F.col("chrom"), "made_with": F.lit(json.dumps(asdict(p)))})
-    kept.repartitionByRange("chrom", "start").sortWithinPartitions("chrom", "start").write.mode("overwrite").partitionBy("contig").parquet(path)
+    kept = _by_place(reads, parts).withColumns({"contig": F.col("chrom"), "made_with": F.lit(json.dumps(asdict(p)))})
+    kept.write.mode("overwrite").partitionBy("contig").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str, p: GenotypeParams) -> DataFrame:
@@ -228,10 +233,10 @@ def read_index(spark: SparkSession, path: str, p: GenotypeParams) -> DataFrame:
     return rows.withColumn("pileups", fits).drop("made_with")
 
 
-def write_plup(reads: DataFrame, path: str, p: PileupParams) -> None:
+def write_plup(reads: DataFrame, path: str, p: PileupParams, parts: int | None = None) -> None:
     """One `# {params}` line in a part of its own, then the reads sorted by place."""
     spark = reads.sparkSession
-    lines = pileup.encode_reads(reads).repartitionByRange("chrom", "start").sortWithinPartitions("chrom", "start").select("line")
+    lines = pileup.encode_reads(_by_place(reads, parts)).select("line")
     spark.createDataFrame([("# " + json.dumps(asdict(p)),)], "line string").coalesce(1).write.mode("overwrite").text(path)
     lines.write.mode("append").text(path)
 
